@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_classifier, quality_rules
+from . import ngram_join, packing, quality_classifier, quality_rules
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = quality_classifier.document_statistics(table(spark, sf_dir, "documents"))
     model = quality_classifier.fit(stats, table(spark, sf_dir, "labels"))
@@ -27,5 +31,5 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality_classifier.fold() == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op8_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op5_ngram_jaccard_join, op8_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
