@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, packing, quality_classifier, quality_rules
+from . import ngram_join, packing, quality_classifier, quality_rules, secret_scan
 from .common import table
 
 
@@ -24,6 +24,13 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scanned = secret_scan.scan(docs.select("doc_id", "text"), secret_scan.fit(secret_scan.samples(docs)))
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{secret_scan.KINDS[kind]}")
+    return scanned.select("doc_id", number(0), number(1), number(2), F.sha2(secret_scan.written("base"), 256).alias("base_sha256"), secret_scan.written("spans").alias("spans"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = quality_classifier.document_statistics(table(spark, sf_dir, "documents"))
     model = quality_classifier.fit(stats, table(spark, sf_dir, "labels"))
@@ -31,5 +38,5 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality_classifier.fold() == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op5_ngram_jaccard_join, op8_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op5_ngram_jaccard_join, op7_secret_scan, op8_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
