@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, ngram_join, packing, quality_classifier, quality_rules, secret_scan
+from . import html_extract, ngram_join, packing, quality_classifier, quality_rules, secret_scan, url_filter
 from .common import table
 
 
@@ -38,10 +38,16 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality_classifier.fold() == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = url_filter.mine(url_filter.labelled_by_rules(pages))
+    return url_filter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict", "confidence")
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extract.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op5_ngram_jaccard_join, op7_secret_scan, op8_quality_classifier, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op5_ngram_jaccard_join, op7_secret_scan, op8_quality_classifier, op9_url_filter, op10_html_extraction)}
 ORACLE_SQL: dict[str, str] = {}
