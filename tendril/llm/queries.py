@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, ngram_join, packing, quality_classifier, quality_rules, secret_scan, url_filter
+from . import fingerprints, html_extract, ngram_join, packing, quality_classifier, quality_rules, secret_scan, url_filter
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op5_ngram_jaccard_join, op7_secret_scan, op8_quality_classifier, op9_url_filter, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_fingerprints, op5_ngram_jaccard_join, op7_secret_scan, op8_quality_classifier, op9_url_filter, op10_html_extraction)}
 ORACLE_SQL: dict[str, str] = {}
