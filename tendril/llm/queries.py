@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_extract, ngram_join, packing, quality_classifier, quality_rules, secret_scan, url_filter
+from . import fingerprints, html_extract, ngram_join, packing, quality_classifier, quality_rules, secret_scan, segmentation, url_filter
 from .common import table
 
 
@@ -24,6 +24,14 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of each sample, a digest of its ids, and a digest of the text that they decode to."""
+    drawn = segmentation.sample(table(spark, sf_dir, "documents"))
+    scored = drawn.withColumn("ids_crc32", F.crc32("ids"))
+    carry = ("doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_crc32")
+    return segmentation.decode(scored, carry).select(*carry, F.crc32("text").alias("text_crc32"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents"))
 
@@ -53,5 +61,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_fingerprints, op5_ngram_jaccard_join, op7_secret_scan, op8_quality_classifier, op9_url_filter, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_fingerprints, op4_sentencepiece, op5_ngram_jaccard_join, op7_secret_scan, op8_quality_classifier, op9_url_filter, op10_html_extraction)}
 ORACLE_SQL: dict[str, str] = {}
