@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_extract, ngram_join, packing, quality_classifier, quality_rules, secret_scan, segmentation, url_filter
+from . import fingerprints, html_extract, license_scan, ngram_join, packing, quality_classifier, quality_rules, secret_scan, segmentation, url_filter
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scanned = secret_scan.scan(docs.select("doc_id", "text"), secret_scan.fit(secret_scan.samples(docs)))
@@ -61,5 +65,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_fingerprints, op4_sentencepiece, op5_ngram_jaccard_join, op7_secret_scan, op8_quality_classifier, op9_url_filter, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_fingerprints, op4_sentencepiece, op5_ngram_jaccard_join, op6_license_scan, op7_secret_scan, op8_quality_classifier, op9_url_filter, op10_html_extraction)}
 ORACLE_SQL: dict[str, str] = {}
