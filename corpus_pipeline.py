@@ -1,21 +1,52 @@
-"""A corpus from raw documents to packed sequences."""
+"""A corpus from raw documents to packed sequences: judged, cleaned, without near copies and secrets, packed.
+
+Every stage takes the documents that the one before kept, as Parquet, and all but the last return their columns. What a
+stage learns (classifier, field, models) it learns from its own input, so that it can run on any table of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendril.llm import packing
+from tendril.llm import ngram_join, packing, quality_classifier, quality_rules, secret_scan
 from tendril.llm.common import stored, table
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents with a score under a half go."""
+    stats = quality_classifier.document_statistics(docs)
+    return quality_classifier.keep(docs, quality_classifier.fit(stats, table(spark, sf_dir, "labels")))
+
+
+def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules: documents that fail the base rules or hold too little content go."""
+    return quality_rules.keep(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def single_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group of near copies the document with the smallest id stays."""
+    return ngram_join.representatives(docs)
+
+
+def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scan: secrets are replaced by a mark; every document stays."""
+    return secret_scan.redact(docs, secret_scan.fit(secret_scan.samples(docs)))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing: where every piece of every document stands."""
     pieces = packing.token_pieces(docs)
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [
+    ("quality classifier", classify),
+    ("quality rules", judge),
+    ("n-gram Jaccard join", single_out),
+    ("secret scans", remove_secrets),
+    ("best-fit packing", pack),
+]
 #: The classifier, the field model, the shingle hashes and the tokens have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
