@@ -8,9 +8,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+#: Text that a Python function of a task works on at a time.
+SLICE_BYTES = 2 << 20
+
 _OWN_FOLDER: list[str] = []
 
 
@@ -39,13 +43,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_columns(df: DataFrame, columns: list[str], function: Callable, schema: str) -> DataFrame:
-    """mapInArrow over the named columns only; function takes their Python lists (or Arrow arrays) and returns column lists."""
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with about `most` bytes of text; a longer row is a run of its own."""
+    total = np.ones(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+            total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(total)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def map_columns(df: DataFrame, columns: list[str], function: Callable, schema: str, most: int = SLICE_BYTES) -> DataFrame:
+    """mapInArrow over the named columns only; function takes and returns a batch. What it holds at a time is bounded by `slices`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield function(batch)
+            for part in slices(batch, most):
+                yield function(part)
 
     return df.select(*columns).mapInArrow(run, schema)
 
