@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import report, tracked
+
+QUERIES = {**report.QUERIES, **tracked.QUERIES}
+ORACLE_SQL = {**report.ORACLE_SQL, **tracked.ORACLE_SQL}
