@@ -58,6 +58,6 @@ def csv_instant(instant: Column) -> Column:
 
 def months_of(text: Column) -> Column:
     """"24 meses", "3 años" in months."""
-    number = F.regexp_extract(text, r"(?iu)(\d+)\s*(mes|meses|año|años|ano|anos)\b", 1).try_cast("int")
-    unit = F.lower(F.regexp_extract(text, r"(?iu)(\d+)\s*(mes|meses|año|años|ano|anos)", 2))
+    number = F.regexp_extract(text, r"(?iu)(\d+)\)?\s*(mes|meses|año|años|ano|anos)\b", 1).try_cast("int")
+    unit = F.lower(F.regexp_extract(text, r"(?iu)(\d+)\)?\s*(mes|meses|año|años|ano|anos)", 2))
     return F.when(unit.startswith("a"), number * 12).otherwise(number)
