@@ -32,8 +32,8 @@ WORD = r"[A-Za-z0-9+/_=-]{6,}"
 
 FIT_DOCS = 3000
 FIRST, SPAN = ord("+"), ord("z") - ord("+") + 1
-#: Weight of the uniform chain within the model of random strings, in transitions a state.
-SMOOTH_RANDOM, SMOOTH_ORDINARY = 40.0, 0.5
+#: Weight, in transitions a state, of the uniform chain in the model of random strings, and of single characters in that of identifiers.
+SMOOTH_RANDOM, SMOOTH_ORDINARY = 40.0, 5.0
 LEAST_TOTAL, LEAST_EACH = 12.0, 0.8
 
 MARK = "[secret]"
@@ -78,9 +78,10 @@ def fit(labelled: DataFrame) -> np.ndarray:
     if not counts.sum(axis=1).all():
         return np.zeros((SPAN, SPAN))
     ordinary, random = counts.reshape(2, SPAN, SPAN)
-    each = lambda table, weight: np.log((table + weight / SPAN) / (table.sum(axis=1, keepdims=True) + weight))
-    # a key may use characters that the samples of this corpus do not: the uniform chain stands for those
-    return each(random, SMOOTH_RANDOM) - each(ordinary, SMOOTH_ORDINARY * SPAN)
+    each = lambda table, weight, rest: np.log((table + weight * rest) / (table.sum(axis=1, keepdims=True) + weight))
+    # a character that ordinary identifiers seldom have is rare after any other; a key may use any character
+    seldom = (ordinary.sum(axis=0) + 0.5) / (ordinary.sum() + 0.5 * SPAN)
+    return each(random, SMOOTH_RANDOM, 1 / SPAN) - each(ordinary, SMOOTH_ORDINARY, seldom)
 
 
 def _constant(model: np.ndarray) -> Column:
