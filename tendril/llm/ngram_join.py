@@ -10,9 +10,11 @@ threshold. The steps, all exact for the 64-bit shingle hashes:
 3. The classes left over are read in full. Their shingles get a global order, rarest first. A class with under
    ceil(t n) shingles that another has is out. What remains is indexed by the first n - ceil(t n) + 1 in that order.
 4. Candidates are classes with a common indexed shingle. Instead of all pairs of such a bucket, each round compares its
-   members with one hub; members that are already in the hub's component need no comparison, since only groups
-   are asked for. At the end every pair of a bucket that is still in two components is compared, so no link between
-   different groups is lost; a bucket inside one component costs nothing.
+   members with a few hubs from the component that has most of them; that component's own members need no comparison,
+   since only groups are asked for. At the end every pair of a bucket that is still in two components is compared, so no link between
+   different groups is lost; a bucket inside one component costs nothing. The join itself drops pairs that cannot
+   reach the threshold, by three exact bounds: the sizes, the places of the common shingle (no more can follow than
+   is left of either set), and bitmaps of the sets (their differing bits are differing shingles at least).
 5. Overlaps are counted by vertical partitioning: the global order is cut into fragments at quantiles, each fragment
    counts the partial overlap of a pair by itself, and the partial counts are summed per pair.
 
@@ -38,7 +40,10 @@ WIDTH = 5
 #: Similarity threshold as a fraction.
 THRESHOLD = (4, 5)
 FRAGMENTS = 8
-HUB_ROUNDS = 2
+#: Hubs of each bucket in each round.
+HUB_ROUNDS = (1, 4, 16)
+#: Bits of a set's bitmap, a multiple of 64.
+BITMAP = 512
 #: Ids are broadcast up to this many rows (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -58,23 +63,30 @@ def bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles at each bit: of two sets, differing bits <= differing shingles."""
+    odd = np.bincount((shingles >> np.uint64(17)).astype(np.int64) % BITMAP, minlength=BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """doc_id, n (set size), set_id (hash of the set), need (for the first filter), prefix (the smallest hashes)."""
+    """doc_id, n (set size), set_id (hash of the set), need (for the first filter), prefix (the smallest hashes), bits (bitmap)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, keys, needs, prefixes = [], [], [], []
+        sizes, keys, needs, prefixes, maps = [], [], [], [], []
         for text in batch.column(1):
             shingles = shingle_set(text.as_py(), width)
             n = len(shingles)
             sizes.append(n)
+            maps.append(bitmap(shingles))
             keys.append(int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True))
             needs.append(1 + extra(at_least(n, threshold)))
             prefixes.append(shingles[: n - at_least(n, threshold) + 1 + extra(n)].view(np.int64) if n else np.zeros(0, np.int64))
         offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
         values = pa.array(np.concatenate(prefixes))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(needs, pa.int64()), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "n", "set_id", "need", "prefix"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(needs, pa.int64()), pa.ListArray.from_arrays(offsets, values), pa.array(maps, pa.list_(pa.int64()))], names=["doc_id", "n", "set_id", "need", "prefix", "bits"])
 
-    return map_columns(docs, ["doc_id", "text"], run, "doc_id long, n long, set_id long, need long, prefix array<long>")
+    return map_columns(docs, ["doc_id", "text"], run, "doc_id long, n long, set_id long, need long, prefix array<long>, bits array<long>")
 
 
 def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -132,6 +144,16 @@ def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("overlap"))
 
 
+def may_link(threshold: tuple[int, int]):
+    """Bounds on a pair (n, rank, bits) and (hn, hrank, hbits) that hold for every link, at its first common shingle."""
+    up, down = threshold
+    both = F.col("n") + F.col("hn")
+    sizes = (F.col("n") * up <= F.col("hn") * down) & (F.col("hn") * up <= F.col("n") * down)
+    places = F.least(F.col("n") - F.col("rank"), F.col("hn") - F.col("hrank")) * (up + down) >= both * up
+    differing = sum((F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("hbits", F.lit(k)))) for k in range(BITMAP // 64)), F.lit(0))
+    return sizes & places & (differing * (up + down) <= both * (down - up))
+
+
 @dataclass
 class Found:
     """links: (a, b) between classes, enough to join every group; labels: node, component of linked classes."""
@@ -140,32 +162,33 @@ class Found:
     labels: DataFrame | None
 
 
-def link(docs: DataFrame, sets: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, n_fragments: int = FRAGMENTS, hub_rounds: int = HUB_ROUNDS) -> Found:
+def link(docs: DataFrame, sets: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, n_fragments: int = FRAGMENTS, hub_rounds: tuple[int, ...] = HUB_ROUNDS) -> Found:
     up, down = threshold
     ordered = ordered_shingles(docs, sets, width, threshold)
     parts = fragments(ordered, n_fragments)
-    indexed = ordered.filter(F.col("rank") <= F.col("n") - _ceil("n", threshold)).select("shingle", "a", "n")
-    index = stored(indexed.withColumn("bucket", F.count("*").over(Window.partitionBy("shingle"))).filter("bucket > 1").drop("bucket"), "index")
+    indexed = ordered.filter(F.col("rank") <= F.col("n") - _ceil("n", threshold)).select("shingle", "a", "n", "rank")
+    met = indexed.withColumn("bucket", F.count("*").over(Window.partitionBy("shingle"))).filter("bucket > 1").drop("bucket")
+    firsts = sets.filter("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("a"), F.first("bits").alias("bits"))
+    index = stored(met.join(firsts.select("a", "bits"), "a"), "index")
 
     links, labels = None, None
-    for turn in range(hub_rounds + 1):
+    for hubs in (*hub_rounds, None):
         at = index
         if labels is None:
             at = at.withColumn("c", F.col("a"))
         else:
             at = at.join(labels.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component")
-        if turn < hub_rounds:
-            order = F.xxhash64("a", F.lit(turn))
-            hubs = at.groupBy("shingle").agg(F.min(F.struct(order.alias("o"), "a", "n", "c")).alias("h"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
-            met = at.join(hubs.select("shingle", F.col("h.a").alias("ha"), F.col("h.n").alias("hn"), F.col("h.c").alias("hc")), "shingle").filter("c <> hc")
+        sizes = at.groupBy("shingle", "c").agg(F.count("*").alias("size"))
+        major = sizes.groupBy("shingle").agg(F.max(F.struct("size", "c")).alias("m"), F.count("*").alias("groups")).filter("groups > 1")
+        mixed = at.join(major.select("shingle", F.col("m.c").alias("major")), "shingle")
+        other = lambda df: df.select("shingle", F.col("a").alias("ha"), F.col("n").alias("hn"), F.col("c").alias("hc"), F.col("rank").alias("hrank"), F.col("bits").alias("hbits"))
+        if hubs:
+            first = Window.partitionBy("shingle").orderBy(F.xxhash64("a", F.lit(hubs)), "a")
+            chosen = mixed.filter("c = major").withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= hubs)
+            met = mixed.filter("c <> major").join(other(chosen), "shingle")
         else:
-            sizes = at.groupBy("shingle", "c").agg(F.count("*").alias("size"))
-            major = sizes.groupBy("shingle").agg(F.max(F.struct("size", "c")).alias("m"), F.count("*").alias("groups")).filter("groups > 1")
-            open_buckets = at.join(major.select("shingle", F.col("m.c").alias("major")), "shingle")
-            minor = open_buckets.filter("c <> major").select("shingle", F.col("a").alias("ha"), F.col("n").alias("hn"), F.col("c").alias("hc"))
-            met = open_buckets.join(minor, "shingle").filter("c <> hc and (c = major or a < ha)")
-        near = (F.col("n") * up <= F.col("hn") * down) & (F.col("hn") * up <= F.col("n") * down)
-        pairs = stored(met.filter(near).select(F.least("a", "ha").alias("a"), F.greatest("a", "ha").alias("b")).distinct(), "pairs")
+            met = mixed.join(other(mixed.filter("c <> major")), "shingle").filter("c <> hc and (c = major or a < ha)")
+        pairs = stored(met.filter(may_link(threshold)).select(F.least("a", "ha").alias("a"), F.greatest("a", "ha").alias("b")).distinct(), "pairs")
         close = overlaps(pairs, parts).filter(F.col("overlap") * (up + down) >= (F.col("na") + F.col("nb")) * up)
         found = stored(close.select("a", "b", "overlap", "na", "nb"), "links")
         if found.limit(1).count():
