@@ -6,7 +6,7 @@ import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
-os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), *filter(None, [os.environ.get("PYTHONPATH")])])  # Spark's Python workers import the package too
+os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), str(ROOT / "tests"), *filter(None, [os.environ.get("PYTHONPATH")])])  # Spark's Python workers import the package too
 
 DATA = "/root/testdata/sf0.001"
 
