@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import report, texts, tracked
+from .plans import reading, report, texts, tracked
 
-QUERIES = {**report.QUERIES, **tracked.QUERIES, **texts.QUERIES}
-ORACLE_SQL = {**report.ORACLE_SQL, **tracked.ORACLE_SQL, **texts.ORACLE_SQL}
+QUERIES = {**report.QUERIES, **tracked.QUERIES, **texts.QUERIES, **reading.QUERIES}
+ORACLE_SQL = {**report.ORACLE_SQL, **tracked.ORACLE_SQL, **texts.ORACLE_SQL, **reading.ORACLE_SQL}
