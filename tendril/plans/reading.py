@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import amounts, text
-from ..operators import readers
+from ..operators import more_readers, readers
 from ..sources.tables import table
 
 
@@ -46,12 +46,35 @@ def reading_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("nid", F.col("amount.amount").alias("amount"), "review")
 
 
+def reader_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of works made from parts: in typographic quotes, in straight ones, and in none; every seventh code differs from the portal's."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    key, long = F.col("p_partkey"), F.concat(F.lit("MEJORAMIENTO DEL "), F.upper("p_type"))
+    code = (F.lit(2_000_000) + key).cast("string")
+    name = F.when(key % 3 == 0, F.concat(F.lit("obra: “"), long, F.lit("”, con CUI "), code)).when(key % 3 == 1, F.concat(F.lit('obra "'), long, F.lit('" CUI N° '), code)).otherwise(F.concat(F.lit("obra: "), long, F.lit(", con CUI "), code))
+    said = F.concat(F.lower(long), F.lit(" CUI "), F.when(key % 7 == 0, "9999999").otherwise(code))
+    documents = parts.select("p_partkey", F.concat(F.lit("1.3 OBJETO DE LA CONVOCATORIA\n El procedimiento tiene por objeto la ejecución de la "), name, F.lit("\n1.4 x")).alias("text"), said.alias("said"))
+    r = F.col("object")
+    return more_readers.read_object(documents, description="said").select("p_partkey", r["name"].alias("name"), r["code"].alias("code"), F.array_join(r["warnings"]["warning"], ",").alias("warnings"), r["review"].alias("review"))
+
+
+def reader_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary tables made from the lines of orders: a row a line, its quantity as points, the sum stated, off by one for every ninth order."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.col("l_quantity").cast("int")).alias("points"))
+    row = F.concat(F.lit(" "), F.chr(F.lit(64) + F.col("l_linenumber")), F.lit(". MEJORA      "), F.col("points").cast("string"), F.lit(" puntos"))
+    made = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("row")))).alias("rows"), F.sum("points").alias("total"))
+    stated = F.col("total") + F.when(F.col("l_orderkey") % 9 == 0, 1).otherwise(0)
+    documents = made.select("l_orderkey", F.concat(F.lit("CUADRO RESUMEN DE LOS FACTORES DE EVALUACIÓN\n"), F.array_join(F.transform("rows", lambda x: x["row"]), "\n"), F.lit("\nPUNTAJE TOTAL  "), stated.cast("string"), F.lit(" puntos\n")).alias("text"))
+    r = F.col("factors")
+    return more_readers.read_factors(documents).select("l_orderkey", F.size(r["factors"]).cast("long").alias("n"), r["total"].cast("long").alias("total"), r["sum"].cast("long").alias("sum"), F.array_join(r["warnings"]["warning"], ",").alias("warnings"), r["review"].alias("review"))
+
+
 def text_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     return parts.select("p_partkey", text.tidy(F.concat_ws(" ; ", "p_type", "p_name")).alias("tidy"), text.work_name(F.concat(F.lit("Ejecución de la obra: "), F.col("p_name"), F.lit(", CUI 2345678"))).alias("work"))
 
 
-QUERIES = {f.__name__: f for f in (reader_amount, reader_experience, reading_chain, text_tidy)}
+QUERIES = {f.__name__: f for f in (reader_amount, reader_experience, reading_chain, reader_object, reader_factors, text_tidy)}
 
 _TOTAL = "CAST(o_totalprice AS DECIMAL(15,2))"
 _LOW = f"CAST((CAST({_TOTAL} * 100 AS BIGINT) * 95 + 99) // 100 * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(15,2))"
@@ -67,6 +90,12 @@ ORACLE_SQL = {
     "reader_experience": f"""
         SELECT o_orderkey AS nid, CASE WHEN o_orderkey % 11 > 0 THEN CAST(3 AS BIGINT) END AS page, CASE WHEN o_orderkey % 11 > 0 THEN {_TOTAL} END AS amount, CASE WHEN o_orderkey % 11 > 0 THEN CAST(10 AS BIGINT) END AS years,
           CASE WHEN o_orderkey % 11 > 0 THEN 'Viales' END AS specialty, CASE WHEN o_orderkey % 11 = 0 THEN 'sin requisito de experiencia del postor' END AS review FROM orders""",
+    "reader_object": """
+        SELECT p_partkey, 'MEJORAMIENTO DEL ' || upper(p_type) AS name, CAST(2000000 + p_partkey AS VARCHAR) AS code, CASE WHEN p_partkey % 7 = 0 THEN 'cui_distinto_seace' ELSE '' END AS warnings, CAST(NULL AS VARCHAR) AS review FROM part""",
+    "reader_factors": """
+        WITH l AS (SELECT l_orderkey, l_linenumber, max(CAST(l_quantity AS INT)) AS points FROM lineitem GROUP BY 1, 2),
+        o AS (SELECT l_orderkey, count(*) AS n, CAST(sum(points) AS BIGINT) AS sum, CAST(sum(points) AS BIGINT) + CASE WHEN l_orderkey % 9 = 0 THEN 1 ELSE 0 END AS total FROM l GROUP BY 1)
+        SELECT l_orderkey, n, total, sum, concat_ws(',', CASE WHEN sum <> total THEN 'suma_distinta_total' END, CASE WHEN total <> 100 THEN 'total_distinto_100' END) AS warnings, CAST(NULL AS VARCHAR) AS review FROM o""",
     "reading_chain": f"""
         SELECT o_orderkey AS nid, CASE WHEN o_orderkey % 11 > 0 THEN {_TOTAL} END AS amount,
           CASE WHEN o_orderkey % 22 = 0 THEN 'documento escaneado' WHEN o_orderkey % 11 = 0 THEN 'sin sección 1.4' END AS review FROM orders""",
