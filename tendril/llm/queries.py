@@ -26,10 +26,8 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of each sample, a digest of its ids, and a digest of the text that they decode to."""
-    drawn = segmentation.sample(table(spark, sf_dir, "documents"))
-    scored = drawn.withColumn("ids_crc32", F.crc32("ids"))
-    carry = ("doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_crc32")
-    return segmentation.decode(scored, carry).select(*carry, F.crc32("text").alias("text_crc32"))
+    drawn = segmentation.sample(table(spark, sf_dir, "documents"), with_text=True)
+    return drawn.select("doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", F.crc32("ids").alias("ids_crc32"), F.crc32("text").alias("text_crc32"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,9 @@ from .common import map_columns, mix
 SAMPLES = 3
 ALPHA = 1.0
 SEED = 11
-SLICE_TEXT = 1 << 20
+SLICE_TEXT = 384 << 10
+#: Rows of lattices that a worker keeps from slice to slice, about 150 bytes each.
+KEPT_ROWS = 700_000
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -62,6 +64,7 @@ class Vocabulary:
     def __init__(self, path: str):
         import sentencepiece
 
+        self.path = path
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = self.model.get_piece_size()
         self.spelled: list[bytes] = [b""] * size
@@ -77,6 +80,9 @@ class Vocabulary:
                 pieces[piece] = (i, -float(np.log(2 + min(-self.model.get_score(i), size))))
         self.byte_weight = -float(np.log(2 + size))
         self.longest = max(map(len, pieces))
+        self.weights = np.full(size + 2, self.byte_weight)  # by id; the last two are for what is no piece
+        for i, log_weight in pieces.values():
+            self.weights[i] = log_weight
         #: By length: sorted hashes of prefixes, piece id (-1: a prefix only) and log weight.
         self.levels = []
         for length in range(1, self.longest + 1):
@@ -101,67 +107,139 @@ def vocabulary(path: str) -> Vocabulary:
 class Lattice:
     """Lattices of different words, end to end. Row: a position; column: pieces by length - 1; the last row of a word is its end."""
 
-    starts: np.ndarray
     end: np.ndarray  # of each row: is it a word's end
     ids: np.ndarray  # -1: no piece, -2: the bytes of one character beyond ASCII
-    chance: np.ndarray  # of each piece, given the position
+    reach: np.ndarray  # chance of the pieces up to a column, given the position; over 1 from the last piece on
+    mass: np.ndarray  # log mass of the paths from a position to the end
     points: np.ndarray
 
+    def columns(self) -> tuple[np.ndarray, ...]:
+        return self.end, self.ids, self.reach, self.mass, self.points
 
-def lattice(words: list[str], known: Vocabulary, alpha: float) -> Lattice:
-    joined = "\0".join(words) + "\0"
-    points = _points(joined)
+
+def lattice(words: list[str], known: Vocabulary, alpha: float) -> tuple[Lattice, np.ndarray]:
+    """The lattices of some words, and the first row of each."""
+    points = _points("\0".join([*words, ""]))
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
     is_end = np.zeros(len(points), bool)
     is_end[ends] = True
     points[ends] = np.uint64(2**32)  # no character; a NUL of a text stays one
 
     width = known.longest
     ids = np.full((len(points), width), -1, np.int32)
-    weight = np.full((len(points), width), -np.inf)
-    alive, used = np.flatnonzero(~is_end), 1
+    alive = np.flatnonzero(~is_end)
     hashes = np.zeros(len(alive), np.uint64)
+    rows, columns, weights = [], [], []  # of the pieces
     for k, (prefixes, piece, log_weight) in enumerate(known.levels):
         inside = alive + k < len(points)
-        alive, hashes = alive[inside], hashes[inside]
-        hashes = _longer(hashes, points[alive + k])
+        if not inside.all():
+            alive, hashes = alive[inside], hashes[inside]
+        if not len(alive):
+            break
+        hashes = _longer(hashes, points.take(alive + k))
         at = np.minimum(np.searchsorted(prefixes, hashes), len(prefixes) - 1)
-        hit = prefixes[at] == hashes
+        hit = prefixes.take(at) == hashes
         if k == 0:
             lost = alive[~hit | (piece[at] < 0)]
             ids[lost, 0] = np.where(points[lost] < 0x80, known.bytes[np.minimum(points[lost], 0x7F).astype(np.int64)], -2)
-            size = 1 + (points[lost] > 0x7F) + (points[lost] > 0x7FF) + (points[lost] > 0xFFFF)
-            weight[lost, 0] = alpha * known.byte_weight * size
-        alive, hashes, at = alive[hit], hashes[hit], at[hit]
-        whole = piece[at] >= 0
-        used = k + 1 if whole.any() else used
-        ids[alive[whole], k] = piece[at[whole]]
-        weight[alive[whole], k] = alpha * log_weight[at[whole]]
-
-    width, ids, weight = used, ids[:, :used], np.ascontiguousarray(weight[:, :used])
+            rows.append(lost)
+            columns.append(np.zeros(len(lost), np.int64))
+            weights.append(alpha * known.byte_weight * _byte_count(points[lost]))
+        hit = np.flatnonzero(hit)
+        alive, hashes, at = alive.take(hit), hashes.take(hit), at.take(hit)
+        whole = np.flatnonzero(piece.take(at) >= 0)
+        found, at = alive.take(whole), at.take(whole)
+        ids[found, k] = piece.take(at)
+        rows.append(found)
+        columns.append(np.full(len(found), k))
+        weights.append(alpha * log_weight.take(at))
+
     # log mass of what follows each position, from the ends back, all words at the same time
-    mass = np.zeros(len(points) + width)
+    row, column, weight = np.concatenate(rows), np.concatenate(columns), np.concatenate(weights)
     to_end = np.repeat(ends, lengths + 1) - np.arange(len(points))
-    order = np.argsort(to_end, kind="stable")
-    borders = np.searchsorted(to_end[order], np.arange(1, int(lengths.max(initial=0)) + 2))
-    step = np.arange(1, width + 1)
+    order = np.argsort((to_end[row] << 34) | (row << 4) | column)  # at most 16 columns, and fewer than 2**30 rows
+    row, column, weight = row.take(order), column.take(order), weight.take(order)
+    firsts = np.flatnonzero(np.diff(row, prepend=-1))
+    borders = np.searchsorted(to_end[row[firsts]], np.arange(1, int(lengths.max(initial=0)) + 2))
+    mass, chance = np.zeros(len(points)), np.zeros(len(row))
     for a, b in zip(borders, borders[1:], strict=False):
-        rows = order[a:b]
-        values = weight[rows] + mass[rows[:, None] + step]
-        top = values.max(axis=1)
-        mass[rows] = top + np.log(np.exp(values - top[:, None]).sum(axis=1))
-        weight[rows] = np.exp(values - mass[rows][:, None])
-    weight[is_end] = 0.0
-    return Lattice(starts, is_end, ids, weight, points)
+        lo, hi = firsts[a], firsts[b] if b < len(firsts) else len(row)
+        values = weight[lo:hi] + mass.take(row[lo:hi] + column[lo:hi] + 1)
+        groups = firsts[a:b] - lo
+        sizes = np.diff(groups, append=hi - lo)
+        top = np.maximum.reduceat(values, groups)
+        values = np.exp(values - np.repeat(top, sizes))
+        total = np.add.reduceat(values, groups)
+        mass[row[firsts[a:b]]] = top + np.log(total)
+        chance[lo:hi] = values / np.repeat(total, sizes)
+    sums = np.cumsum(chance)
+    sizes = np.diff(firsts, append=len(row))
+    reached = sums - np.repeat(sums[firsts] - chance[firsts], sizes)
+    reached[firsts + sizes - 1] = 2.0
+    reach = np.zeros((len(points), width), np.float32)
+    reach[row, column] = reached
+    np.maximum.accumulate(reach, axis=1, out=reach)
+    return Lattice(is_end, ids, reach, mass, points), ends - lengths
+
+
+def _byte_count(points: np.ndarray) -> np.ndarray:
+    return 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF).astype(np.int64)
+
+
+class Store:
+    """Lattices of the words that come again and again, up to KEPT_ROWS rows, followed by those of the slice at hand."""
+
+    def __init__(self, known: Vocabulary, alpha: float):
+        self.known, self.alpha = known, alpha
+        self.kept: dict[str, int] = {}
+        self.rows = 0
+        width = known.longest
+        self.room = [np.zeros((KEPT_ROWS, *shape), kind) for shape, kind in (((), bool), ((width,), np.int32), ((width,), np.float32), ((), np.float64), ((), np.uint64))]
+
+    def of(self, words: dict[str, int]) -> tuple[Lattice, np.ndarray]:
+        """The lattices, and the first row of each word. words: in order of their numbers."""
+        get = self.kept.get
+        places = [get(w, -1) for w in words]
+        fresh = [w for w, at in zip(words, places, strict=True) if at < 0]
+        starts = np.array(places, np.int64)
+        if not fresh:
+            return Lattice(*(x[: self.rows] for x in self.room)), starts
+        more, first = lattice(fresh, self.known, self.alpha)
+        size = self.rows + len(more.end)
+        if size > len(self.room[0]):
+            self.room = [np.concatenate((x[: self.rows], np.zeros((size - self.rows + size // 4, *x.shape[1:]), x.dtype))) for x in self.room]
+        for room, x in zip(self.room, more.columns(), strict=True):
+            room[self.rows : size] = x
+        starts[starts < 0] = first + self.rows
+        return Lattice(*(x[:size] for x in self.room)), starts
+
+    def keep(self, words: dict[str, int], counts: np.ndarray, starts: np.ndarray, least: int = 2) -> None:
+        """Move the lattices of the slice's frequent new words to the kept ones."""
+        named = list(words)
+        for number in np.flatnonzero((counts >= least) & (starts >= self.rows)).tolist():
+            size, start = len(named[number]) + 1, int(starts[number])
+            if self.rows + size > min(KEPT_ROWS, start + size):
+                break
+            if start > self.rows:
+                for room in self.room:
+                    room[self.rows : self.rows + size] = room[start : start + size].copy()
+            self.kept[named[number]] = self.rows
+            self.rows += size
+
+
+_STORES: dict[tuple[str, float], Store] = {}
+
+
+def salted(keys: np.ndarray, salt: int) -> np.ndarray:
+    return mix(keys ^ np.uint64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF))
 
 
 def uniform(keys: np.ndarray, *salts: int) -> np.ndarray:
     """In (0, 1), a hash of keys and salts."""
     h = keys
     for salt in salts:
-        h = mix(h ^ np.uint64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF))
+        h = salted(h, salt)
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
@@ -181,27 +259,38 @@ class Path:
     log: np.ndarray
 
 
-def draw(lat: Lattice, keys: np.ndarray, words: np.ndarray, rows: np.ndarray, sample: int) -> Path:
+def logs(lat: Lattice, rows: np.ndarray, columns: np.ndarray, known: Vocabulary, alpha: float) -> np.ndarray:
+    """Log chance of pieces, given their positions."""
+    ids = lat.ids.ravel().take(rows * lat.ids.shape[1] + columns)
+    weight = alpha * known.weights.take(ids, mode="wrap")
+    if (beyond := ids == -2).any():
+        weight[beyond] = alpha * known.byte_weight * _byte_count(lat.points[rows[beyond]])
+    return np.minimum(weight + lat.mass.take(rows + columns + 1) - lat.mass.take(rows), 0.0)
+
+
+def draw(lat: Lattice, keys: np.ndarray, words: np.ndarray, rows: np.ndarray, sample: int, known: Vocabulary, alpha: float) -> Path:
     """Ancestral draws from each given row to the end of its word; words: index into keys, ascending."""
     out = []
     active, row, step = words, rows, 0
+    keys = salted(keys, sample)
     while True:
-        going = ~lat.end[row]
-        active, row = active[going], row[going]
+        going = np.flatnonzero(~lat.end.take(row))
+        active, row = active.take(going), row.take(going)
         if not len(active):
             break
-        chance = lat.chance[row]
-        total = np.cumsum(chance, axis=1)
-        u = uniform(keys[active], sample, step) * total[:, -1]
-        column = (total < u[:, None]).sum(axis=1)
-        out.append((active, row, column, chance[np.arange(len(row)), column]))
+        u = uniform(keys.take(active), step).astype(np.float32)
+        above = lat.reach.take(row, axis=0)
+        above -= u[:, None]
+        column = np.argmax(above >= 0, axis=1)
+        out.append((active, row, column))
         row = row + column + 1
         step += 1
     if not out:
         return Path(*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0))
-    word, row, column, chance = (np.concatenate(x) for x in zip(*out, strict=True))
+    word, row, column = (np.concatenate(x) for x in zip(*out, strict=True))
     order = np.argsort(word, kind="stable")
-    return Path(word[order], row[order], column[order], np.log(np.minimum(chance[order], 1.0)))
+    word, row, column = word.take(order), row.take(order), column.take(order)
+    return Path(word, row, column, logs(lat, row, column, known, alpha))
 
 
 @dataclass
@@ -212,68 +301,91 @@ class Drawn:
     log_inclusion: float = 0.0
 
 
-def search(lat: Lattice, keys: np.ndarray, text_keys: np.ndarray, word_row: np.ndarray, bounds: np.ndarray, k: int) -> list[list[Drawn]]:
+#: No draw of a Gumbel lies further above its location than this (53 bits).
+HIGHEST = 37.0
+
+
+#: Steps whose log mass is below this are looked at only if they could still matter.
+NEAR = -60.0
+
+
+def other_keys(log: np.ndarray, sums: np.ndarray, key: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Keys of the groups of other children at steps of paths: log chance of the step, log mass before it, key of the path."""
+    rest = -np.expm1(log)
+    rest[rest < 1e-12] = 0.0
+    with np.errstate(divide="ignore"):
+        return below(sums + np.log(rest), key, u)
+
+
+def search(lat: Lattice, known: Vocabulary, alpha: float, keys: np.ndarray, text_keys: np.ndarray, word_row: np.ndarray, bounds: np.ndarray, k: int) -> list[list[Drawn]]:
     """For each text its k segmentations or all. bounds: words bounds[t]..bounds[t + 1] are text t's; word_row: start of each."""
     n = len(text_keys)
     root = -np.log(-np.log(uniform(text_keys, 1)))
     found: list[list[Drawn]] = [[] for _ in range(n)]
+    # a node: (-key, serial, path, step, columns taken there, log mass before the step)
     heaps: list[list[tuple]] = [[] for _ in range(n)]
-    # a node: (-key, serial, path, step, rows taken there, log mass before the step)
     serial = 0
     jobs = [(t, root[t], None, 0, 0.0) for t in range(n)]  # text, key, prefix, its length, its log mass
     for sample in range(k):
-        words, rows, heads = [], [], {}
+        words, rows = [], []
         for t, _key, prefix, size, _ in jobs:
             lo, hi = bounds[t], bounds[t + 1]
             start = word_row[lo:hi]
             if prefix is not None:
-                at = prefix.word[size - 1]
-                start = np.concatenate(([prefix.row[size - 1] + prefix.column[size - 1] + 1], word_row[at + 1 : hi]))
-                lo = at
-                heads[t] = prefix
+                lo = prefix.word[size - 1]
+                start = np.concatenate(([prefix.row[size - 1] + prefix.column[size - 1] + 1], word_row[lo + 1 : hi]))
             words.append(np.arange(lo, hi))
             rows.append(start)
-        drawn = draw(lat, keys, np.concatenate(words) if words else np.zeros(0, np.int64), np.concatenate(rows) if rows else np.zeros(0, np.int64), sample)
+        if not jobs:
+            break
+        drawn = draw(lat, keys, np.concatenate(words), np.concatenate(rows), sample, known, alpha)
         cut = np.searchsorted(drawn.word, np.array([[bounds[t], bounds[t + 1]] for t, *_ in jobs]).reshape(-1, 2))
-        rest = np.maximum(1.0 - np.exp(drawn.log), 0.0)
-        rest[rest < 1e-12] = 0.0
-        with np.errstate(divide="ignore"):
-            log_rest = np.log(rest)
-        u = uniform(keys[drawn.word] ^ mix(drawn.row.astype(np.uint64)), sample, 7) if len(drawn.word) else np.zeros(0)
-        for (t, key, prefix, size, before), (a, b) in zip(jobs, cut, strict=True):
+        sizes = cut[:, 1] - cut[:, 0]
+        sums = np.concatenate(([0.0], np.cumsum(drawn.log)))
+        shift = np.array([before for *_, before in jobs]) - sums[cut[:, 0]]
+        before_step = sums[:-1] + np.repeat(shift, sizes)
+        path_key = np.repeat(np.array([float(key) for _, key, *_ in jobs]), sizes)
+        # a draw is known by row key, word and place in the word, whatever else the slice holds
+        number = lambda at: uniform(keys[drawn.word[at]] ^ mix((drawn.row[at] - word_row[drawn.word[at]]).astype(np.uint64)), sample, 7)  # noqa: E731, B023
+        near = np.flatnonzero(before_step > NEAR)
+        near_keys = other_keys(drawn.log[near], before_step[near], path_key[near], number(near))
+        near_cut = np.searchsorted(near, cut)
+        for (t, key, prefix, size, before), (a, b), (na, nb) in zip(jobs, cut.tolist(), near_cut.tolist(), strict=True):
             path = Path(drawn.word[a:b], drawn.row[a:b], drawn.column[a:b], drawn.log[a:b])
-            sums = before + np.concatenate(([0.0], np.cumsum(path.log)))
-            others = below(sums[:-1] + log_rest[a:b], np.full(b - a, key), u[a:b])
-            if prefix is not None:
-                path = Path(*(np.concatenate((x[:size], y)) for x, y in ((prefix.word, path.word), (prefix.row, path.row), (prefix.column, path.column), (prefix.log, path.log))))
-            found[t].append(Drawn(path, float(sums[-1]), float(key)))
-            # no more than k of these can still be among the best
+            others = near_keys[na:nb]
+            if nb - na < b - a and not (nb - na >= k and np.partition(others, -k)[-k] > before_step[a + nb - na] + HIGHEST):
+                others = other_keys(path.log, before_step[a:b], path_key[a:b], number(np.arange(a, b)))
             best = np.argpartition(-others, k)[:k] if len(others) > k else np.arange(len(others))
-            for j in best:
+            whole = path
+            if prefix is not None:
+                whole = Path(*(np.concatenate((x[:size], y)) for x, y in ((prefix.word, path.word), (prefix.row, path.row), (prefix.column, path.column), (prefix.log, path.log))))
+            found[t].append(Drawn(whole, float(before + sums[b] - sums[a]), float(key)))
+            for j in best.tolist():
                 if others[j] > -np.inf:
                     serial += 1
-                    heapq.heappush(heaps[t], (-float(others[j]), serial, path, size + int(j), (int(path.column[size + j]),), float(sums[j])))
+                    heapq.heappush(heaps[t], (-float(others[j]), serial, whole, size + j, (int(path.column[j]),), float(before_step[a + j])))
         jobs = []
         if sample == k - 1:
             break
         for t in range(n):
-            if not heaps[t] or len(found[t]) <= sample:
+            if not heaps[t]:
                 continue
             key, _, path, step, taken, before = heapq.heappop(heaps[t])
             row = int(path.row[step])
-            chance = lat.chance[row].copy()
-            chance[list(taken)] = 0.0
+            columns = np.array([c for c in np.flatnonzero(lat.ids[row] != -1).tolist() if c not in taken])
+            log = logs(lat, np.full(len(columns), row), columns, known, alpha)
+            total = np.cumsum(np.exp(log))
             word_key = text_keys[t : t + 1] ^ mix(np.array([path.word[step] - bounds[t]], np.uint64))
-            total = np.cumsum(chance)
-            column = int((total < uniform(word_key, sample, step, 13)[0] * total[-1]).sum())
-            left = total[-1] - chance[column]
-            if left > 1e-12:
+            place = row - int(word_row[path.word[step]])
+            chosen = min(int((total < uniform(word_key, sample, place, 13)[0] * total[-1]).sum()), len(columns) - 1)
+            left = total[-1] - np.exp(log[chosen])
+            column = int(columns[chosen])
+            if len(columns) > 1 and left > 1e-12:
                 serial += 1
-                value = below(np.array([before + np.log(left)]), np.array([-key]), uniform(word_key, sample, step, 17))[0]
+                value = below(np.array([before + np.log(left)]), np.array([-key]), uniform(word_key, sample, place, 17))[0]
                 heapq.heappush(heaps[t], (-float(value), serial, path, step, (*taken, column), before))
-            log = float(np.log(lat.chance[row, column]))
-            prefix = Path(*(np.concatenate((x[:step], [y])) for x, y in ((path.word, path.word[step]), (path.row, row), (path.column, column), (path.log, log))))
-            jobs.append((t, -key, prefix, step + 1, before + log))
+            prefix = Path(*(np.concatenate((x[:step], [y])) for x, y in ((path.word, path.word[step]), (path.row, row), (path.column, column), (path.log, log[chosen]))))
+            jobs.append((t, -key, prefix, step + 1, before + float(log[chosen])))
     for t in range(n):
         threshold = -heaps[t][0][0] if heaps[t] and len(found[t]) == k else -np.inf
         for x in found[t]:
@@ -284,7 +396,7 @@ def search(lat: Lattice, keys: np.ndarray, text_keys: np.ndarray, word_row: np.n
 
 
 def piece_ids(lat: Lattice, path: Path, known: Vocabulary) -> np.ndarray:
-    ids = lat.ids[path.row, path.column].astype(np.int64)
+    ids = lat.ids.ravel().take(path.row * lat.ids.shape[1] + path.column).astype(np.int64)
     if not len(ids) or ids.min() >= 0:
         return ids
     parts, done = [], 0
@@ -296,18 +408,26 @@ def piece_ids(lat: Lattice, path: Path, known: Vocabulary) -> np.ndarray:
 
 def sampled(texts: list[str], row_keys: np.ndarray, known: Vocabulary, k: int, alpha: float) -> list[list[tuple[Drawn, np.ndarray]]]:
     """For each text its samples with their piece ids."""
-    seen: dict[str, int] = {}
-    kinds: list[int] = []
+    words: list[str] = []
     bounds = [0]
     for text in texts:
-        kinds += [seen.setdefault(w, len(seen)) for w in _WORDS.findall(MARK + text.replace(" ", MARK) if text else "")]
-        bounds.append(len(kinds))
-    ends = np.array(bounds)
-    lat = lattice(list(seen), known, alpha)
+        if text:
+            words += _WORDS.findall(MARK + text.replace(" ", MARK))
+        bounds.append(len(words))
+    seen = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    kinds = list(map(seen.__getitem__, words))
+    ends, numbers = np.array(bounds), np.array(kinds, np.int64)
+    if (known.path, alpha) not in _STORES:
+        _STORES[known.path, alpha] = Store(known, alpha)
+    store = _STORES[known.path, alpha]
+    counts = np.bincount(numbers, minlength=len(seen))
+    lat, starts = store.of(seen)
     place = np.arange(len(kinds)) - np.repeat(ends[:-1], np.diff(ends))
     keys = mix(np.repeat(row_keys, np.diff(ends)) ^ mix(place.astype(np.uint64)))
-    word_row = lat.starts[np.array(kinds, np.int64)] if kinds else np.zeros(0, np.int64)
-    return [[(x, piece_ids(lat, x.path, known)) for x in each] for each in search(lat, keys, row_keys, word_row, ends, k)]
+    word_row = starts.take(numbers)
+    out = [[(x, piece_ids(lat, x.path, known)) for x in each] for each in search(lat, known, alpha, keys, row_keys, word_row, ends, k)]
+    store.keep(seen, counts, starts)
+    return out
 
 
 # --- over tables ------------------------------------------------------------------------------------------------
@@ -315,20 +435,25 @@ def sampled(texts: list[str], row_keys: np.ndarray, known: Vocabulary, k: int, a
 SCHEMA = "doc_id long, sample int, ids binary, n_pieces long, log_prob double, perturbed double, log_inclusion double"
 
 
-def sample(docs: DataFrame, k: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED, model: str | None = None) -> DataFrame:
-    """Per document and sample (from 1, by falling perturbed value): ids (little-endian unsigned 32-bit) and scores."""
-    path = model or default_model()
+def sample(docs: DataFrame, k: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED, model: str | None = None, with_text: bool = False) -> DataFrame:
+    """Per document and sample (from 1, by falling perturbed value): ids (little-endian unsigned 32-bit) and scores.
+
+    with_text: also the text that the ids decode to, made in the same Python function.
+    """
+    path, schema = model or default_model(), SCHEMA + ", text string" * with_text
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = vocabulary(path)
         doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
         row_keys = mix(np.array([(d if d is not None else -(1 << 63)) & 0xFFFFFFFFFFFFFFFF for d in doc_ids], np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         rows = [(d, i + 1, ids.astype("<u4").tobytes(), len(ids), x.log_prob, x.perturbed, x.log_inclusion) for d, each in zip(doc_ids, sampled(texts, row_keys, known, k, alpha), strict=True) for i, (x, ids) in enumerate(each)]
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-        columns = zip(*rows, strict=True) if rows else ([] for _ in kinds)
-        return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        columns = [pa.array(list(c), kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], kind) for kind in kinds]
+        if with_text:
+            columns.append(pa.array([decoded(r[2], known) for r in rows], pa.string()))
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
-    return map_columns(docs, ["doc_id", "text"], run, SCHEMA, SLICE_TEXT)
+    return map_columns(docs, ["doc_id", "text"], run, schema, SLICE_TEXT)
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:

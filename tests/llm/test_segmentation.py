@@ -83,6 +83,8 @@ def test_round_trip(spark):
         assert r["text"] == ("" if r["doc_id"] is None else TEXTS[r["doc_id"]])
     per_row = Counter(r["doc_id"] for r in back)
     assert per_row[None] == 1 and per_row[0] == 1 and per_row[1] == 6
+    same = S.sample(docs, with_text=True).collect()
+    assert sorted((str(r["doc_id"]), r["sample"], r["text"]) for r in same) == sorted((str(r["doc_id"]), r["sample"], r["text"]) for r in back)
     plain = {r["doc_id"]: r["text"] for r in S.decode(S.encode(docs)).collect()}
     assert plain[2] == TEXTS[2]
     assert S.sample(docs.limit(0)).count() == 0
