@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text that a Python function of a task works on at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _OWN_FOLDER: list[str] = []
 

@@ -192,13 +192,14 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
 
 def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The documents whose score is `least` or more, with their own columns (whatever their names)."""
-    own = docs.columns
-    described = with_statistics(docs, own)
-    slots = [c for c in described.columns if c != "stats"]
+    own, slots = docs.columns, [f"_c{i}" for i in range(len(docs.columns))]
+    kinds = dict(docs.dtypes)
 
+    # statistics and score in one function: one Python worker a task
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        good = pa.array(model.scores(_matrix(batch, len(slots))) >= least)
-        return batch.select(slots).filter(good)
+        stats = np.array([statistics(t.as_py()) for t in batch.column(len(slots))], float).reshape(batch.num_rows, -1)
+        return batch.select(slots).filter(pa.array(model.scores(stats) >= least))
 
-    kept = map_columns(described, described.columns, run, ", ".join(f"{s} {k}" for s, k in described.dtypes if s != "stats"))
+    named = docs.select(*(F.col(f"`{c}`").alias(s) for c, s in zip(own, slots, strict=True)), F.col("text").alias("_text"))
+    kept = map_columns(named, named.columns, run, ", ".join(f"{s} {kinds[c]}" for c, s in zip(own, slots, strict=True)))
     return kept.select(*(F.col(s).alias(c) for s, c in zip(slots, own, strict=True)))
