@@ -12,6 +12,7 @@ an empty result; language, source and id are never looked at.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,7 +44,7 @@ def statistics(text: str | None) -> list[float]:
     count = lambda marks: len(raw) - len(raw.translate(None, marks))
     letters = max(count(_LETTERS), 1)
     pairs = len(set(zip(words, words[1:], strict=False)))
-    distinct = set(words)
+    each = Counter(words)
     return [
         np.log1p(len(raw)),
         np.log1p(len(words)),
@@ -54,12 +55,12 @@ def statistics(text: str | None) -> list[float]:
         count(_DIGITS) / size,
         min(size / n, 20.0),
         min(raw.count(b"\n") / n, 1.0),
-        len(distinct) / n,
+        len(each) / n,
         min((raw.count(b".") + raw.count(b"?")) / n, 1.0),
         min(raw.count(b",") / n, 1.0),
         count(_WIDE) / size,
         1 - pairs / max(len(words) - 1, 1) if len(words) > 1 else 0.0,
-        max((words.count(w) for w in words[: 3 if n > 3 else 0]), default=0) / n,
+        max(each.values(), default=0) / n,
     ]
 
 

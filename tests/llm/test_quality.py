@@ -127,6 +127,18 @@ def test_normal_equations_and_held_out_labels(spark):
     assert np.linalg.solve(gram, (z * w[:, None]).T @ y) == pytest.approx(model.weights, abs=1e-5)
 
 
+def test_top_word_counts_the_whole_text():
+    at = C.STATISTICS.index("top_word")
+    assert C.statistics("some plain opening words " + "buy " * 96)[at] == pytest.approx(96 / 100)
+    assert C.statistics("the a b c d e")[at] == pytest.approx(1 / 6)
+    assert C.statistics("a b b")[at] == pytest.approx(2 / 3)
+    assert C.statistics("")[at] == C.statistics(None)[at] == 0.0
+    draw = random.Random(3)
+    for _ in range(50):
+        words = [draw.choice("abcdefg") for _ in range(draw.randint(1, 60))]
+        assert C.statistics(" ".join(words))[at] == pytest.approx(max(words.count(w) for w in words) / len(words))
+
+
 def test_classifier_defined_cases(spark):
     docs = spark.createDataFrame([(1, "a b", 0.5, "x"), (1, "a b", 0.5, "x"), (2, None, 0.1, "x"), (3, "", None, "x"), (None, "c", 1.0, "x")], "doc_id long, text string, score double, stats string")
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None)], "doc_id long, quality int")
