@@ -3,8 +3,9 @@
 Lines are described by counts taken over whole Arrow batches at once; Viterbi decoding labels the lines of each
 document; the share of word characters on content lines decides whether the document is kept.
 
-The field is fitted on a bounded sample of labelled documents (`FIT_DOCS` of each quality label, those with the
-smallest hash of their id, cut into windows of `FIT_LINES` lines). Labels belong to documents, so the lines of bad
+The field is fitted on a bounded sample of the labelled documents in the input (`FIT_DOCS` of each quality label, those
+with the smallest hash of their id, cut into windows of `FIT_LINES` lines, all of them used). It is blended with `DEFAULT`
+by the number of documents of the scarcer label (`PRIOR_DOCS`). Labels belong to documents, so the lines of bad
 documents are labelled in two steps: a logistic model of single lines, then the field on what that model says.
 
 Defined cases: a null or empty text has no words and fails the base rules; lines without a word are in no sequence;
@@ -25,6 +26,8 @@ from .common import map_columns, mix
 
 FIT_DOCS = 1500
 FIT_LINES = 48
+#: As many documents of the scarcer label weigh as much as DEFAULT.
+PRIOR_DOCS = 100
 MIN_WORDS = 50
 KEEP_SHARE = 0.5
 
@@ -242,25 +245,41 @@ def fit_field(windows: list[np.ndarray], good: list[bool], rounds: int = 80, rat
     return Field(tuple(theta[:f].tolist()), float(theta[f]), float(theta[f + 1]))
 
 
+def blended(field: Field, n_scarcer: int) -> Field:
+    """The fitted field and DEFAULT, weighed by the documents of the scarcer label against PRIOR_DOCS.
+
+    So a few rows move the verdict a little, and with more the fit takes over.
+    """
+    own = n_scarcer / (n_scarcer + PRIOR_DOCS)
+    mean = lambda a, b: own * a + (1 - own) * b
+    return Field(tuple(map(mean, field.weights, DEFAULT.weights)), mean(field.stay_content, DEFAULT.stay_content), mean(field.stay_other, DEFAULT.stay_other))
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_lines: int = FIT_LINES) -> Field:
-    """Fit on labelled documents: `fit_docs` of each label at most, and their first windows by position in the text."""
+    """Fit on labelled documents that `docs` has: `fit_docs` of each label at most, and all windows of their texts."""
     labelled = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    present = labelled.join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = None
     for value in (0, 1):
-        part = labelled.filter(F.col("quality") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
+        part = present.filter(F.col("quality") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
         chosen = part if chosen is None else chosen.union(part)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
-    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         lines = read_lines(batch.column(0).to_pylist())
         bounds = np.searchsorted(lines.doc, np.arange(lines.n_docs + 1))
-        # of a long text, the window in its middle
-        cut = [lines.features[(a + b - min(b - a, fit_lines)) // 2 :][: min(b - a, fit_lines)].astype("<f4").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(cut, pa.binary())], names=["quality", "lines"])
-
-    rows = map_columns(sample, ["text", "quality"], windows, "quality int, lines binary").collect()
-    pairs = [(np.frombuffer(r["lines"], "<f4").reshape(-1, len(FEATURES)).astype(float), r["quality"] == 1) for r in sorted(rows, key=lambda r: (r["quality"], bytes(r["lines"]))) if len(r["lines"])]
-    return fit_field([w for w, _ in pairs], [g for _, g in pairs])
+        found = [lines.features[a:b].astype("<f4").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["quality", "lines"])
+
+    rows = map_columns(sample, ["text", "quality"], whole, "quality int, lines binary").collect()
+    windows, good, n_docs = [], [], [0, 0]
+    for r in sorted(rows, key=lambda r: (r["quality"], bytes(r["lines"]))):
+        lines = np.frombuffer(r["lines"], "<f4").reshape(-1, len(FEATURES)).astype(float)
+        n_docs[r["quality"]] += len(lines) > 0
+        for at in range(0, len(lines), fit_lines):
+            windows.append(lines[at : at + fit_lines])
+            good.append(r["quality"] == 1)
+    return blended(fit_field(windows, good), min(n_docs))
 
 
 # --- judging ----------------------------------------------------------------------------------------------------

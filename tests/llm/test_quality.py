@@ -74,6 +74,41 @@ def test_rules_on_labels(spark, data):
     assert np.mean(clean) > 0.95
 
 
+def made(seed, n_lines, junk):
+    draw = random.Random(seed)
+    line = lambda: " ".join("".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 9))) for _ in range(12)) + "."
+    bad = lambda: " ".join("CLICK" + draw.choice("ABCDEFGH") + "!!" + str(draw.randint(0, 999)) + "***|" for _ in range(5))
+    return "\n".join(bad() if junk else line() for _ in range(n_lines))
+
+
+def test_sample_is_drawn_from_the_input_with_few_bad_documents(spark):
+    # as after the classifier: 3000 bad labels, of which three documents are in the input; and clean ones labelled bad
+    docs = [(k, made(k, 8, False)) for k in range(200)] + [(10_000 + 900 * k, made(k, 14, True)) for k in range(3)]
+    labels = [(k, int(k >= 2)) for k in range(200)] + [(10_000 + k, 0) for k in range(3000)]
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    field = R.fit(docs, labels, fit_docs=20)
+    assert field != R.DEFAULT
+    kept = {r["doc_id"] for r in R.keep(docs, field).collect()}
+    assert kept == set(range(200))
+
+
+def test_all_windows_of_a_sampled_text_teach(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(R, "fit_field", lambda windows, good: seen.append((windows, good)) or R.DEFAULT)
+    docs = spark.createDataFrame([(1, made(1, 110, False)), (2, made(2, 7, True)), (3, made(3, 5, True))], "doc_id long, text string")
+    R.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    windows, good = seen[0]
+    assert sorted(zip(map(len, windows), good)) == [(7, False), (14, True), (48, True), (48, True)]
+    assert sum(map(len, windows)) == 117
+
+
+def test_few_rows_move_the_field_a_little():
+    fitted = R.Field((9.0,) * len(R.FEATURES), 4.0, 4.0)
+    assert R.blended(fitted, 0) == R.DEFAULT
+    assert R.blended(fitted, R.PRIOR_DOCS).stay_content == pytest.approx((4.0 + R.DEFAULT.stay_content) / 2)
+    assert R.blended(fitted, 1).weights == pytest.approx(R.DEFAULT.weights, abs=0.2)
+
+
 def test_keep_carries_columns_and_defined_cases(spark):
     good = "This is a line of ordinary prose that goes on for a while and says something, more or less.\n" + " ".join(f"word{k}" for k in range(60))
     docs = spark.createDataFrame([(1, good, 5, "a"), (1, good, 5, "a"), (2, None, 6, "b"), (3, "", 7, None)], "doc_id long, text string, n_words long, `in_text` string")
