@@ -4,7 +4,7 @@ The fixed patterns give the base spans. The models are first-order chains over `
 strings, one of ordinary identifiers, each a table of transition counts with smoothing. A run of 16 or more key
 characters whose log-likelihood ratio, per transition and in all, reaches the thresholds is a span too, unless it meets
 a base span. The models are trained from labelled samples (value, random). `samples` makes them from the base patterns
-and the words of at most FIT_DOCS documents, those with the smallest hash of their id.
+and the words of all documents, however rare keys are among them.
 
 Positions are code points, the end exclusive. They come from the lengths of what lies between the matches, which
 `split` gives, and of the matches: Spark has no function for the positions of all matches.
@@ -30,7 +30,6 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KEY = r"[A-Za-z0-9+/_=-]{16,}"
 WORD = r"[A-Za-z0-9+/_=-]{6,}"
 
-FIT_DOCS = 3000
 FIRST, SPAN = ord("+"), ord("z") - ord("+") + 1
 #: Weight, in transitions a state, of the uniform chain in the model of random strings, and of single characters in that of identifiers.
 SMOOTH_RANDOM, SMOOTH_ORDINARY = 40.0, 5.0
@@ -53,28 +52,28 @@ def transitions(token: Column, of) -> Column:
     return F.zip_with(F.slice(characters, F.lit(1), n), F.slice(characters, F.lit(2), n), of)
 
 
-def samples(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """(value, random) from base matches (random) and other words (ordinary) of at most `fit_docs` documents."""
-    chosen = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").select("text")
+def samples(docs: DataFrame) -> DataFrame:
+    """(value, random) from base matches (random) and other words (ordinary) of all documents."""
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     assigned = F.transform(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(0)), lambda hit: F.regexp_extract(hit, ASSIGN, 1))
     keys = F.concat(assigned, F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))
     keys = F.filter(keys, lambda v: F.length(v) >= ASSIGN_LEAST)
     words = F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))
-    return texts.select(F.explode(keys).alias("value"), F.lit(True).alias("random")).union(texts.select(F.explode(words).alias("value"), F.lit(False).alias("random")))
+    marked = lambda values, random: F.transform(values, lambda v: F.struct(v.alias("value"), F.lit(random).alias("random")))
+    return docs.select(F.explode(F.concat(marked(keys, True), marked(words, False))).alias("sample")).select("sample.value", "sample.random")
 
 
 def fit(labelled: DataFrame) -> np.ndarray:
     """log P(b | a, random) - log P(b | a, ordinary) for every pair, from labelled samples (value, random).
 
-    The transitions are counted by Spark; two tables of SPAN x SPAN counts at most come to the driver.
+    The transitions are counted by Spark, equal samples once with their number; two tables of SPAN x SPAN counts at most
+    come to the driver.
     """
     clean = labelled.filter(F.col("value").rlike("^[+-z]{2,}$") & F.col("random").isNotNull())
-    pairs = clean.select("random", F.explode(transitions(F.col("value"), lambda a, b: (F.ascii(a) - FIRST) * SPAN + F.ascii(b) - FIRST)).alias("pair"))
+    pairs = clean.groupBy("random", "value").agg(F.count("*").alias("n")).select("random", "n", F.explode(transitions(F.col("value"), lambda a, b: (F.ascii(a) - FIRST) * SPAN + F.ascii(b) - FIRST)).alias("pair"))
     counts = np.zeros((2, SPAN * SPAN))
-    for row in pairs.groupBy("random", "pair").count().collect():
-        counts[int(row["random"]), row["pair"]] = row["count"]
+    for row in pairs.groupBy("random", "pair").agg(F.sum("n").alias("n")).collect():
+        counts[int(row["random"]), row["pair"]] = row["n"]
     if not counts.sum(axis=1).all():
         return np.zeros((SPAN, SPAN))
     ordinary, random = counts.reshape(2, SPAN, SPAN)

@@ -84,3 +84,31 @@ def test_without_samples(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.samples(docs).count() == 0
     assert S.scan(docs, np.zeros((S.SPAN, S.SPAN))).count() == 0
+
+
+def test_few_keys_among_many_documents_teach_the_models(spark):
+    draw = Random(4)
+    key = lambda: "".join(draw.choice(string.ascii_letters + string.digits) for _ in range(40))
+    prose = F.lit("ordinary_function_name of the configuration_settings and another-long-identifier within documentation")
+    clean = spark.range(20_000).select(F.col("id").alias("doc_id"), prose.alias("text"))
+    with_keys = spark.createDataFrame([(20_000 + k, f"password = {key()}") for k in range(4)], "doc_id long, text string")
+    bare = key()
+    docs = clean.union(with_keys)
+    model = S.fit(S.samples(docs))
+    assert model.any()
+    asked = spark.createDataFrame([(1, f"see {bare} there"), (2, "see ordinary_configuration_documentation there")], "doc_id long, text string")
+    spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in S.scan(asked, model).collect()}
+    assert spans == {1: [(4, 44)], 2: []}
+
+
+def test_samples_are_counted_with_repeats(spark):
+    once = spark.createDataFrame([("aaab", True), ("aaab", True), ("abab", False), ("abab", False), ("abab", False)], "value string, random boolean")
+    model = S.fit(once)
+    counts = np.zeros((2, S.SPAN, S.SPAN))
+    for r in once.collect():
+        for a, b in zip(r["value"], r["value"][1:]):
+            counts[int(r["random"]), ord(a) - S.FIRST, ord(b) - S.FIRST] += 1
+    ordinary, random = counts
+    seldom = (ordinary.sum(axis=0) + 0.5) / (ordinary.sum() + 0.5 * S.SPAN)
+    each = lambda table, weight, rest: np.log((table + weight * rest) / (table.sum(axis=1, keepdims=True) + weight))
+    assert model == pytest.approx(each(random, S.SMOOTH_RANDOM, 1 / S.SPAN) - each(ordinary, S.SMOOTH_ORDINARY, seldom))
