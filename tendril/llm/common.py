@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,18 +15,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text that a Python function of a task works on at a time.
 SLICE_BYTES = 1 << 20
+#: A table is broadcast only if its bytes, summed before, are not more than this.
+BROADCAST_BYTES = 32 << 20
 
-_OWN_FOLDER: list[str] = []
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tendril-shared-")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The folder every executor sees: spark.checkpoint.dir.
+
+    Where it is unset, a local session takes a folder of its own; on a cluster that is an error, since executors could
+    not read what the driver's machine holds.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not _OWN_FOLDER:
-        _OWN_FOLDER.append(tempfile.mkdtemp(prefix="tendril-shared-"))
-    return _OWN_FOLDER[0]
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        return _local_folder()
+    return folder.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -4,8 +4,8 @@ from tendril.llm import html_extract as H
 from tendril.llm import urls
 
 
-def text(html, template=frozenset()):
-    return H.main_text(H.read_page(html), set(template))
+def text(html, template=None):
+    return H.main_text(H.read_page(html), template)[0]
 
 
 @pytest.mark.parametrize(
@@ -74,16 +74,65 @@ def test_empty(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_counts_as_brute_force(spark):
-    rows = [(k, f"https://f{k % 2}.example/{k}", page(k % 7, f"<p>{k % 5}</p>")) for k in range(40)]
-    seen = {}
+def varied(k, tag="div", rng=None):
+    """A page without telling names: menu and advert differ from page to page, a repeated passage stands in the text."""
+    menu = "".join(f"<li><a href='/{k}{j}'>entry {k * 7 + j}</a></li>" for j in range(5))
+    prose = "".join(f"<p>Sentence {k} {j} of a text that is long enough to be the main part of its page.</p>" for j in range(3))
+    return (
+        f"<html><body><div class='x1'><ul>{menu}</ul></div><div class='x2'>Offer number {k} today</div><{tag} class='x3'><h1>Title {k}</h1>{prose}<p>This passage stands on every page.</p>"
+        f"<table><tr><td>cell {k}</td></tr></table><div class='x4'><a>more {k}</a> <a>less {k}</a></div></{tag}><div class='x5'>Line {k} of the house</div></body></html>",
+        "\n".join([f"Title {k}", *(f"Sentence {k} {j} of a text that is long enough to be the main part of its page." for j in range(3)), "This passage stands on every page.", f"cell {k}"]),
+    )
+
+
+@pytest.mark.parametrize("tag", ["div", "article"])
+@pytest.mark.parametrize("marks", [True, False])
+def test_template_without_telling_names(spark, tag, marks):
+    rows = [(k, f"https://g.example/{k}", varied(k, tag)[0]) for k in range(12)]
+    found = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), marks=marks).collect()
+    assert {r["page_id"]: r["text"] for r in found} == {k: varied(k)[1] for k in range(12)}
+    assert {r["n_template"] for r in found} == {4}
+
+
+def test_small_hosts_share_their_domain(spark):
+    rows = [(k, f"https://h{k % 6}.sites.example/{k}", varied(k)[0]) for k in range(12)]
+    found = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), marks=False).collect()
+    assert {r["page_id"]: r["text"] for r in found} == {k: varied(k)[1] for k in range(12)}
+
+
+def test_counts_and_texts_as_brute_force(spark):
+    """The whole operator against sets and loops over the same pages."""
+    rows = [(k, f"https://f{k % 2}.example/{k}", page(k % 11, f"<p>{k % 5}</p><div>note {k % 3}</div>") if k % 3 else varied(k)[0]) for k in range(60)]
+    sites = {}
     for _, url, html in rows:
-        for h in H.candidates(H.read_page(html)).tolist():
-            seen.setdefault((url.split("/")[2], h), set()).add(html)
-    expected = {k for k, v in seen.items() if len(v) >= 8}
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    found = H.subtrees(pages).select("host", "subtree", "page").distinct().groupBy("host", "subtree").count().filter("count >= 8").collect()
-    assert {(r["host"], r["subtree"] & (2**64 - 1)) for r in found} == expected
+        sites.setdefault(url.split("/")[2], {})[html] = H.read_page(html)
+    expected = {}
+    for host, pages in sites.items():
+        content, at = {}, {}
+        for html, read in pages.items():
+            for h in H.content_hashes(read):
+                content.setdefault(h, set()).add(html)
+            for place, values in H.places(read).items():
+                at.setdefault(place, []).append((*values, read.elements[0].chars))
+        often = lambda n: n >= H.MIN_PAGES and n >= H.MIN_SHARE * len(pages)  # noqa: E731, B023
+        at = {p: v for p, v in at.items() if often(len(v))}
+        way = {p for p, v in at.items() if sum(x[4] for x in v) >= H.HEAVY * sum(x[6] for x in v) and 2 * len({x[3] for x in v}) >= len(v)}
+        forks = {at[p][0][0] for p in way}
+        gone = {p for p, v in at.items() if p not in way and v[0][1] and v[0][0] in way and (v[0][2] or v[0][0] in forks)}
+        gone |= {p for p, v in at.items() if p not in way and sum(x[5] for x in v) >= H.LINKED * sum(x[4] for x in v)}
+        expected[host] = ({h for h, v in content.items() if often(len(v))}, gone, way)
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["host"]: (set(r["content"]), set(r["places"]), set(r["way"])) for r in H.site_templates(frame).collect()}
+    assert found == expected
+    texts = {r["page_id"]: r["text"] for r in H.extract(frame).collect()}
+    for k, url, html in rows:
+        assert texts[k] == text(html, H.Template(*map(frozenset, expected[url.split("/")[2]])))
+
+
+def test_places_far_down_and_long_pages():
+    body = "<div class='a'>" * 300 + "".join(f"<p>word {k}</p>" for k in range(20_000))
+    read = H.read_page(body)
+    assert len(H.places(read)) == 300 and text(body).count("\n") == 19_999
 
 
 @pytest.mark.parametrize(
