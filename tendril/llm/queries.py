@@ -42,7 +42,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scanned = secret_scan.scan(docs.select("doc_id", "text"), secret_scan.fit(secret_scan.samples(docs)))
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{secret_scan.KINDS[kind]}")
-    return scanned.select("doc_id", number(0), number(1), number(2), F.sha2(secret_scan.written("base"), 256).alias("base_sha256"), secret_scan.written("spans").alias("spans"))
+    return scanned.select("row.doc_id", number(0), number(1), number(2), F.sha2(secret_scan.written("base"), 256).alias("base_sha256"), secret_scan.written("spans").alias("spans"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

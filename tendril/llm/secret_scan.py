@@ -7,10 +7,12 @@ a base span. The models are trained from labelled samples (value, random). `samp
 and the words of all documents, however rare keys are among them.
 
 Positions are code points, the end exclusive. They come from the lengths of what lies between the matches, which
-`split` gives, and of the matches: Spark has no function for the positions of all matches.
+`split` gives, and of the matches: Spark has no function for the positions of all matches. Sums and maxima along them
+are folds over pieces of the arrays, so that a text with very many matches takes about n * sqrt(n) small steps.
 
 Defined cases: a null or empty text has no span; repeated rows are scanned each; an empty table gives an empty result;
-without samples of both kinds the models are uniform and add nothing; other columns are carried along untouched.
+without samples of both kinds the models are uniform and add nothing; other columns are carried along untouched, whatever their names (`scan` puts them into one struct); very long texts are
+scanned whole.
 """
 
 from __future__ import annotations
@@ -98,32 +100,98 @@ def likelihood_ratio(token: Column, model: np.ndarray) -> Column:
 # --- spans ------------------------------------------------------------------------------------------------------
 
 
-def located(text: str, pattern: str, kind: int) -> Column:
-    """(start, kind, end, hit) of every match of a pattern that never matches the empty string."""
-    hits = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    pieces = F.zip_with(hits, F.slice(F.split(F.col(text), pattern, -1), F.lit(1), F.size(hits)), lambda hit, gap: F.struct(F.length(gap).alias("before"), F.length(hit).alias("long"), hit.alias("hit")))
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once a row however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, start, step) -> Column:
+    """Exclusive running fold of an array of numbers by an associative step: [start, step(start, v0), ...], one longer than values.
+
+    An array that grows by appending is copied at each step, so the fold works on pieces of about sqrt(n) values: first
+    the folds of whole pieces, then those within each piece from there. The work is n * sqrt(n) at most.
+    """
+    nothing = F.array().cast("array<long>")
+
+    def appended(items: Column, first: Column) -> Column:
+        grow = lambda acc, v: F.struct(step(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(items, F.struct(first.alias("at"), nothing.alias("out")), grow)
+
+    def pieces(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        count = F.ceil(F.size(v) / size).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(v, k * size + 1, size))
+        folded = lambda all_: F.transform(all_, lambda x: F.aggregate(x, F.lit(start).cast("long"), step))
+        joined = lambda all_: let(appended(folded(all_), F.lit(start).cast("long")), lambda top: F.concat(F.flatten(F.zip_with(all_, top["out"], lambda x, first: appended(x, first)["out"])), F.array(top["at"])))
+        return let(cut, joined)
+
+    return let(values, lambda v: F.when(F.size(v) == 0, F.array(F.lit(start).cast("long"))).otherwise(pieces(v)))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["before"]
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["long"]).alias("end"), x["hit"].alias("hit"))
-        return F.struct((start + x["long"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+def _sum(a: Column, b: Column) -> Column:
+    return a + b.cast("long")
 
+
+def _most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b.cast("long"))
+
+
+def located(text: Column, pattern: str, kind: int) -> Column:
+    """(start, kind, end, hit) of every match of a pattern that never matches the empty string."""
     nothing = F.expr(f"cast(array() as {_SPANS})")
-    return F.when(F.col(text).rlike(pattern), F.aggregate(pieces, F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])).otherwise(nothing)
 
+    def spans(x: Column) -> Column:
+        gaps = F.transform(F.slice(x["gaps"], F.lit(1), F.size(x["hits"])), lambda gap: F.length(gap))
+        both = F.zip_with(x["hits"], gaps, lambda hit, gap: F.struct(gap.alias("before"), F.length(hit).alias("long"), hit.alias("hit")))
+        starts = running(F.transform(both, lambda b: b["before"] + b["long"]), 0, _sum)
+        placed = lambda b, at: F.struct((at + b["before"]).cast("int").alias("start"), F.lit(kind).alias("kind"), (at + b["before"] + b["long"]).cast("int").alias("end"), b["hit"].alias("hit"))
+        return F.zip_with(both, F.slice(starts, F.lit(1), F.size(x["hits"])), placed)
 
-def scan(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame:
-    """docs with the columns base and spans: arrays of (start, kind, end) in order, kind an index into KINDS."""
-    whole = docs.withColumn("_whole", F.coalesce(F.col(text), F.lit("")))
-    found = whole.withColumns({"_assign": located("_whole", ASSIGN, 0), "_access": located("_whole", ACCESS, 1), "_hex": located("_whole", HEX, 2), "_key": located("_whole", KEY, 3)})
-    assign = F.filter("_assign", lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 1)) >= ASSIGN_LEAST)
-    access = F.filter("_access", lambda s: s["end"] - s["start"] >= ACCESS_LEAST)
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(text.rlike(pattern), let(found, spans)).otherwise(nothing)
+
+
+def apart(keys: Column, base: Column) -> Column:
+    """The keys that meet no base span. Both are in order; keys do not meet each other.
+
+    In the order of starts, a key meets a base span before it if one of those reaches over its start, and one after it
+    if the next one starts before its end: two running folds over the union.
+    """
+    wide = lambda spans, own: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s["hit"].alias("hit")))
+    union = F.array_sort(F.concat(wide(base, 0), wide(keys, 1)))
+    far = F.lit(1 << 31).cast("long")
+
+    def kept(u: Column) -> Column:
+        reach = running(F.transform(u, lambda s: F.when(s["own"] == 0, s["end"]).otherwise(0)), 0, _most)
+        # the next base start, by the same fold from the other end
+        later = F.reverse(running(F.reverse(F.transform(u, lambda s: F.when(s["own"] == 0, -s["start"].cast("long")).otherwise(-far))), -(1 << 31), _most))
+        seen = F.zip_with(F.zip_with(u, F.slice(reach, F.lit(1), F.size(u)), lambda s, r: F.struct(s.alias("s"), r.alias("r"))), F.slice(later, F.lit(2), F.size(u)), lambda x, n: F.struct(x["s"].alias("s"), x["r"].alias("r"), (-n).alias("n")))
+        return F.filter(seen, lambda x: (x["s"]["own"] == 1) & (x["r"] <= x["s"]["start"]) & (x["n"] >= x["s"]["end"]))
+
+    clear = F.transform(let(union, kept), lambda x: F.struct(x["s"]["start"].alias("start"), F.lit(3).alias("kind"), x["s"]["end"].alias("end"), x["s"]["hit"].alias("hit")))
+    return F.when((F.size(keys) == 0) | (F.size(base) == 0), keys).otherwise(clear)
+
+
+def found_in(text: Column, model: np.ndarray) -> Column:
+    """Struct (base, spans) of a text that is not null: arrays of (start, kind, end) in order, kind an index into KINDS."""
     bare = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    found = found.withColumn("base", F.array_sort(bare(F.concat(assign, access, F.col("_hex"))))).drop("_assign", "_access", "_hex")
-    apart = F.filter("_key", lambda k: ~F.exists("base", lambda b: (b["start"] < k["end"]) & (k["start"] < b["end"])))
-    found = found.withColumn("_key", apart)
-    scored = F.filter("_key", lambda k: likelihood_ratio(k["hit"], model) >= F.greatest(F.lit(LEAST_TOTAL), LEAST_EACH * (k["end"] - k["start"] - 1)))
-    return found.withColumn("spans", F.array_sort(F.concat("base", bare(scored)))).drop("_whole", "_key")
+    secret = lambda k: likelihood_ratio(k["hit"], model) >= F.greatest(F.lit(LEAST_TOTAL), LEAST_EACH * (k["end"] - k["start"] - 1))
+
+    def joined(x: Column) -> Column:
+        spans = let(F.filter(apart(x["key"], x["base"]), secret), lambda more: F.when(F.size(more) == 0, bare(x["base"])).otherwise(F.array_sort(F.concat(bare(x["base"]), bare(more)))))
+        return F.struct(bare(x["base"]).alias("base"), spans.alias("spans"))
+
+    assign = F.filter(located(text, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 1)) >= ASSIGN_LEAST)
+    access = F.filter(located(text, ACCESS, 1), lambda s: s["end"] - s["start"] >= ACCESS_LEAST)
+    base = F.array_sort(F.concat(assign, access, located(text, HEX, 2)))
+    return let(F.struct(base.alias("base"), located(text, KEY, 3).alias("key")), joined)
+
+
+def scan(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame:
+    """(row, base, spans): row is a struct of all columns of docs, whatever their names."""
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    found = docs.select(own, found_in(F.coalesce(F.col(f"`{text}`"), F.lit("")), model).alias("found"))
+    return found.select("row", "found.base", "found.spans")
 
 
 def written(spans: str) -> Column:
@@ -132,23 +200,39 @@ def written(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
+def covered(text: Column, spans: Column, mark: str = MARK) -> Column:
+    """The text with each run of overlapping spans replaced by a mark.
+
+    A substring is found by walking from the start of its string, so the text is first cut into about sqrt(n) parts at
+    spans, and those into pieces.
+    """
+
+    def joined(x: Column) -> Column:
+        # s: (piece of text before, whether a mark follows) as places in the text
+        pieces = F.zip_with(x["spans"], F.slice(x["reach"], F.lit(1), F.size(x["spans"])), lambda s, at: F.struct(at.cast("int").alias("from"), F.greatest(at, s["start"].cast("long")).cast("int").alias("to"), (s["start"] >= at).alias("fresh")))
+
+        def parts(p: Column) -> Column:
+            size = F.ceil(F.sqrt(F.size(p))).cast("int")
+            cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(p) / size).cast("int") - 1), lambda k: F.slice(p, k * size + 1, size))
+            first = lambda g: F.get(g, F.lit(0))["from"]
+            held = F.transform(cut, lambda g: F.struct(g.alias("g"), first(g).alias("first"), F.substring(text, first(g) + 1, F.element_at(g, -1)["to"] - first(g)).alias("part")))
+            one = lambda h: F.array_join(F.transform(h["g"], lambda q: F.when(q["fresh"], F.concat(F.substring(h["part"], q["from"] - h["first"] + 1, q["to"] - q["from"]), F.lit(mark))).otherwise("")), "")
+            return F.array_join(F.transform(held, one), "")
+
+        return F.concat(let(pieces, parts), F.substring(text, F.element_at(x["reach"], -1).cast("int") + 1, F.length(text)))
+
+    reach = lambda s: running(F.transform(s, lambda y: y["end"]), 0, _most)
+    return F.when(F.size(spans) > 0, let(F.struct(spans.alias("spans"), reach(spans).alias("reach")), joined)).otherwise(text)
+
+
 def redact(docs: DataFrame, model: np.ndarray, mark: str = MARK) -> DataFrame:
     """docs with each run of overlapping spans of `text` replaced by a mark; n_chars follows where there is such a column.
 
     Rows keep all their columns; a null text stays null.
     """
-    own = docs.columns
-    scanned = scan(docs.select(F.col("text").alias("_text"), F.struct(*(F.col(f"`{c}`") for c in own)).alias("_row")), model, "_text")
-
-    def cut(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        more = F.when(fresh, F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
-
-    end = lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text")))
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, end)).otherwise(F.col("_text"))
-    scanned = scanned.withColumn("_clean", clean)
-    new = {"text": F.col("_clean")}
-    if "n_chars" in own:
-        new["n_chars"] = F.when(F.size("spans") > 0, F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
-    return scanned.select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in own))
+    scanned = scan(docs, model).withColumn("found", F.size("spans") > 0)
+    clean = scanned.select("row", "found", covered(F.col("row.text"), F.col("spans"), mark).alias("clean"))
+    new = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("found"), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return clean.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

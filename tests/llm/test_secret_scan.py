@@ -46,13 +46,13 @@ def model(spark):
 
 def test_base_as_brute_force(spark, model):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
-    rows = {r["doc_id"]: r["b"] for r in S.scan(docs, model).select("doc_id", S.written("base").alias("b")).collect()}
+    rows = {r["doc_id"]: r["b"] for r in S.scan(docs, model).select("row.doc_id", S.written("base").alias("b")).collect()}
     assert rows == {i: base(t or "") for i, t in enumerate(TEXTS)}
 
 
 def test_models_add_random_strings_alone(spark, model):
     docs = spark.createDataFrame([(1, "key qX9zR2mWp0LkT7vBn4Yc here"), (2, "internationalization_settings of administration-departments")], "doc_id long, text string")
-    found = {r["doc_id"]: r["s"] for r in S.scan(docs, model).select("doc_id", S.written("spans").alias("s")).collect()}
+    found = {r["doc_id"]: r["s"] for r in S.scan(docs, model).select("row.doc_id", S.written("spans").alias("s")).collect()}
     assert found == {1: "markov:4:24", 2: ""}
 
 
@@ -97,7 +97,7 @@ def test_few_keys_among_many_documents_teach_the_models(spark):
     model = S.fit(S.samples(docs))
     assert model.any()
     asked = spark.createDataFrame([(1, f"see {bare} there"), (2, "see ordinary_configuration_documentation there")], "doc_id long, text string")
-    spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in S.scan(asked, model).collect()}
+    spans = {r["row"]["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in S.scan(asked, model).collect()}
     assert spans == {1: [(4, 44)], 2: []}
 
 
@@ -112,3 +112,59 @@ def test_samples_are_counted_with_repeats(spark):
     seldom = (ordinary.sum(axis=0) + 0.5) / (ordinary.sum() + 0.5 * S.SPAN)
     each = lambda table, weight, rest: np.log((table + weight * rest) / (table.sum(axis=1, keepdims=True) + weight))
     assert model == pytest.approx(each(random, S.SMOOTH_RANDOM, 1 / S.SPAN) - each(ordinary, S.SMOOTH_ORDINARY, seldom))
+
+
+def cut_by_hand(text, spans):
+    out, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            out += [text[at:start], S.MARK]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def test_spans_and_redaction_as_brute_force(spark, model):
+    draw = Random(9)
+    bits = ["token=", "password: ", "AKIA", "0123456789abcdef", "qX9zR2mWp0LkT7vBn4Yc", " ", "\n", "é", "-", "deadbeef", "secret='abcdefghijkl'", "internationalization/settings"]
+    texts = ["".join(draw.choices(bits, k=draw.randint(0, 60))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hits = sorted({m[0] for t in texts for m in re.finditer(S.KEY, t)})
+    ratio = {r["w"]: r["v"] for r in spark.createDataFrame([(h,) for h in hits], "w string").select("w", S.likelihood_ratio(F.col("w"), model).alias("v")).collect()}
+    clean = {r["doc_id"]: r["text"] for r in S.redact(docs, model).collect()}
+    for r in S.scan(docs, model).collect():
+        text = r["row"]["text"]
+        known = [tuple(x) for x in r["base"]]
+        assert ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in known) == base(text)
+        more = [(m.start(), 3, m.end()) for m in re.finditer(S.KEY, text) if not any(a < m.end() and m.start() < b for a, _, b in known) and ratio[m[0]] >= max(S.LEAST_TOTAL, S.LEAST_EACH * (len(m[0]) - 1))]
+        assert [tuple(x) for x in r["spans"]] == sorted(known + more)
+        assert clean[r["row"]["doc_id"]] == cut_by_hand(text, [(a, b) for a, _, b in sorted(known + more)])
+
+
+def test_columns_of_any_name_survive(spark, model):
+    names = ["doc_id", "text", "base", "spans", "row", "found", "clean", "hit", "_key"]
+    docs = spark.createDataFrame([(1, "token=abcdefghijklmnop", *"abcdefg"), (2, None, *"hijklmn")], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    scanned = {r["row"]["doc_id"]: r for r in S.scan(docs, model).collect()}
+    assert [tuple(x) for x in scanned[1]["base"]] == [(0, 0, 22)] and scanned[1]["row"]["base"] == "a" and scanned[2]["spans"] == []
+    out = {r["doc_id"]: tuple(r) for r in S.redact(docs, model).collect()}
+    assert out == {1: (1, S.MARK, *"abcdefg"), 2: (2, None, *"hijklmn")}
+
+
+def test_many_hits_in_one_text(spark, model, tmp_path):
+    from time import perf_counter
+
+    def seconds(n):
+        key = lambda k: F.lower(F.lpad(F.hex(k), 20, "0"))
+        text = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), key), " "), F.lit(" token=abcdefghijklmnop"))
+        path = str(tmp_path / str(n))
+        spark.range(1).select(F.lit(1).alias("doc_id"), text.alias("text")).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+        start = perf_counter()
+        row = S.scan(docs, model).select(F.size("base").alias("n"), F.element_at("spans", -1)["end"].alias("end")).collect()[0]
+        clean = S.redact(docs, model).collect()[0]["text"]
+        took = perf_counter() - start
+        assert (row["n"], row["end"]) == (n + 1, 21 * n + 22) and clean == " ".join([S.MARK] * (n + 1))
+        return took
+
+    seconds(100)  # compiles
+    once, twice = min(seconds(20_000) for _ in range(2)), min(seconds(40_000) for _ in range(2))
+    assert once < 6 and twice < 3.5 * once
