@@ -17,6 +17,8 @@ scanned whole.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +40,6 @@ SMOOTH_RANDOM, SMOOTH_ORDINARY = 40.0, 5.0
 LEAST_TOTAL, LEAST_EACH = 12.0, 0.8
 
 MARK = "[secret]"
-_SPANS = "array<struct<start:int,kind:int,end:int,hit:string>>"
 
 
 # --- the models -------------------------------------------------------------------------------------------------
@@ -136,19 +137,29 @@ def _most(a: Column, b: Column) -> Column:
     return F.greatest(a, b.cast("long"))
 
 
-def located(text: Column, pattern: str, kind: int) -> Column:
-    """(start, kind, end, hit) of every match of a pattern that never matches the empty string."""
-    nothing = F.expr(f"cast(array() as {_SPANS})")
+def located(text: Column, patterns: Sequence[str]) -> Column:
+    """For each pattern, the array of (start, kind, end, hit) of all its matches; kind is the place among the patterns.
+
+    No pattern may match the empty string.
+    """
+    nothing = F.array().cast("array<string>")
 
     def spans(x: Column) -> Column:
         gaps = F.transform(F.slice(x["gaps"], F.lit(1), F.size(x["hits"])), lambda gap: F.length(gap))
-        both = F.zip_with(x["hits"], gaps, lambda hit, gap: F.struct(gap.alias("before"), F.length(hit).alias("long"), hit.alias("hit")))
-        starts = running(F.transform(both, lambda b: b["before"] + b["long"]), 0, _sum)
-        placed = lambda b, at: F.struct((at + b["before"]).cast("int").alias("start"), F.lit(kind).alias("kind"), (at + b["before"] + b["long"]).cast("int").alias("end"), b["hit"].alias("hit"))
-        return F.zip_with(both, F.slice(starts, F.lit(1), F.size(x["hits"])), placed)
+        both = F.zip_with(x["hits"], gaps, lambda hit, gap: F.struct(gap.alias("before"), (gap + F.length(hit)).alias("upto"), hit.alias("hit")))
+
+        def placed(pieces: Column) -> Column:
+            starts = running(F.transform(pieces, lambda b: b["upto"]), 0, _sum)
+            span = lambda b, at: F.struct((at + b["before"]).cast("int").alias("start"), x["kind"].alias("kind"), (at + b["upto"]).cast("int").alias("end"), b["hit"].alias("hit"))
+            return F.zip_with(pieces, F.slice(starts, F.lit(1), F.size(pieces)), span)
 
-    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
-    return F.when(text.rlike(pattern), let(found, spans)).otherwise(nothing)
+        return let(both, placed)
+
+    def found(pattern: str, kind: int) -> Column:
+        hit = text.rlike(pattern)
+        return F.struct(F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(nothing).alias("hits"), F.when(hit, F.split(text, pattern, -1)).otherwise(nothing).alias("gaps"), F.lit(kind).alias("kind"))
+
+    return F.transform(F.array(*(found(p, k) for k, p in enumerate(patterns))), spans)
 
 
 def apart(keys: Column, base: Column) -> Column:
@@ -181,10 +192,13 @@ def found_in(text: Column, model: np.ndarray) -> Column:
         spans = let(F.filter(apart(x["key"], x["base"]), secret), lambda more: F.when(F.size(more) == 0, bare(x["base"])).otherwise(F.array_sort(F.concat(bare(x["base"]), bare(more)))))
         return F.struct(bare(x["base"]).alias("base"), spans.alias("spans"))
 
-    assign = F.filter(located(text, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 1)) >= ASSIGN_LEAST)
-    access = F.filter(located(text, ACCESS, 1), lambda s: s["end"] - s["start"] >= ACCESS_LEAST)
-    base = F.array_sort(F.concat(assign, access, located(text, HEX, 2)))
-    return let(F.struct(base.alias("base"), located(text, KEY, 3).alias("key")), joined)
+    def base_and_key(at: Column) -> Column:
+        each = lambda k: F.get(at, F.lit(k))
+        assign = F.filter(each(0), lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 1)) >= ASSIGN_LEAST)
+        access = F.filter(each(1), lambda s: s["end"] - s["start"] >= ACCESS_LEAST)
+        return F.struct(F.array_sort(F.concat(assign, access, each(2))).alias("base"), each(3).alias("key"))
+
+    return let(let(located(text, (ASSIGN, ACCESS, HEX, KEY)), base_and_key), joined)
 
 
 def scan(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame:
