@@ -6,15 +6,21 @@ resulting plan is a list of runs "the pieces of length L with ranks lo..hi go to
 and Spark hands the pieces to the runs by their rank within their length.
 
 Defined cases: a null or empty text is one piece that holds the end token alone; repeated rows are packed
-each; an empty table gives an empty result; other columns of the input are not read.
+each; very long texts are cut into whole sequences; an empty table gives an empty result. `token_pieces` reads doc_id and
+text only; `pack` carries other columns along, whatever their names, and replaces sequence_id and offset.
 """
 
 from __future__ import annotations
 
 import array
 import base64
+import json
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import islice
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,13 +29,22 @@ from .common import map_columns, stored
 
 CAPACITY = 2048
 END_ID = 0
-#: Search effort of the branch-and-bound; beyond it the best packing found so far is used.
-MAX_NODES = 400
-MAX_FILLINGS = 24
+#: Search effort of the branch-and-bound: nodes, and undominated fillings tried at each, the tightest first. Beyond it the best packing
+#: found so far is used. None lifts a limit; without both the search is complete, and the packing has the fewest sequences.
+MAX_NODES: int | None = 3000
+MAX_FILLINGS: int | None = 8
+#: Fillings looked at for each one that is tried, in a limited search.
+TRIES = 8
 
 _ENCODERS: dict[str, object] = {}
 
 
+def special_tokens(vocabulary: str) -> dict[str, int]:
+    """Strings that are one token wherever they stand in a text, from the .json of that name."""
+    named = Path(vocabulary).with_suffix(".json")
+    return {t["content"]: t["id"] for t in json.loads(named.read_text(encoding="utf-8"))["added_tokens"]} if named.exists() else {}
+
+
 def encoder(vocabulary: str):
     """text -> ids. A .tiktoken file holds the same merges as the .json of that name and is several times faster."""
     if vocabulary not in _ENCODERS:
@@ -39,13 +54,12 @@ def encoder(vocabulary: str):
 
             with open(vocabulary, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _ENCODERS[vocabulary] = known.encode_ordinary
+            known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special_tokens(vocabulary))
+            _ENCODERS[vocabulary] = lambda text: known.encode(text, allowed_special="all")
         else:
             from tokenizers import Tokenizer
 
             known = Tokenizer.from_file(vocabulary)
-            known.encode_special_tokens = True
             _ENCODERS[vocabulary] = lambda text: known.encode(text, add_special_tokens=False).ids
     return _ENCODERS[vocabulary]
 
@@ -127,32 +141,50 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]
     return [(filling, number) for bins in open_bins.values() for filling, number in bins if filling]
 
 
-def fillings(room: int, counts: dict[int, int], lengths: list[int], limit: int = MAX_FILLINGS) -> list[Filling]:
-    """Undominated fillings of `room`, least waste first.
-
-    Depth first, the longest that fits before shorter ones. A filling is dominated if one unused length could take
-    the place of some of its pieces without loss (Martello and Toth); pairs and single pieces are tried.
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Martello and Toth's L2: for each k, pieces over capacity - k stand alone, and what the halves leave takes pieces from k on."""
+    if not counts:
+        return 0
+    number = np.zeros(capacity + 2, np.int64)
+    for length, n in counts.items():
+        number[length] = n
+    total = number * np.arange(capacity + 2)
+    # sums over the pieces of a length or more
+    n_from, t_from = number[::-1].cumsum()[::-1], total[::-1].cumsum()[::-1]
+    half = capacity // 2
+    k = np.arange(half + 1)
+    over = n_from[half + 1]  # pieces over half: each in a sequence of its own
+    n2 = over - n_from[capacity - k + 1]
+    t2 = t_from[half + 1] - t_from[capacity - k + 1]
+    t3 = t_from[k] - t_from[half + 1]
+    return int(np.max(over + np.maximum(0, -(-(t3 - (n2 * capacity - t2)) // capacity))))
+
+
+def fillings(room: int, counts: dict[int, int], lengths: list[int], tries: int | None = None) -> Iterator[Filling]:
+    """All undominated fillings of `room` (those among the first `tries` fillings), least waste first; lengths descending.
+
+    Bit t of reach[k] says that lengths[k:] can fill t exactly, so every branch that is walked ends in a filling. A
+    filling is dominated if one unused length fits in its waste, or could take the place of some of its pieces without
+    loss (Martello and Toth); pairs and single pieces are tried.
     """
-    found: dict[Filling, int] = {}
-    steps = 0
-
-    def fits(space: int, start: int) -> int:
-        """Index in `lengths` (descending) of the first that fits, from `start` on."""
-        lo, hi = start, len(lengths)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if lengths[mid] <= space:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
-
+    lengths = [k for k in lengths if k <= room and counts[k]]
     ascending = lengths[::-1]
+    mask = (1 << room + 1) - 1
+    reach = [1]
+    for length in ascending:
+        bits, left, step = reach[-1], min(counts[length], room // length), 1
+        while left:
+            take = min(step, left)
+            bits |= bits << take * length & mask
+            left -= take
+            step *= 2
+        reach.append(bits)
+    reach.reverse()
 
     def dominated(filling: Filling, slack: int) -> bool:
         used = dict(filling)
         single = [length for length, _ in filling]
-        sums = set(single)
+        sums = {0, *single}
         sums |= {a + b for i, a in enumerate(single) for b in single[i + 1 :]} | {2 * a for a, n in filling if n > 1}
         for total in sums:
             for k in range(bisect_left(ascending, total), bisect_right(ascending, total + slack)):
@@ -161,57 +193,90 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int], limit: int =
                     return True
         return False
 
-    def walk(space: int, start: int, filling: Filling) -> None:
-        nonlocal steps
-        at = fits(space, start)
-        if at == len(lengths):
-            if not dominated(filling, space):
-                found[filling] = space
+    def walk(k: int, total: int, filling: Filling) -> Iterator[Filling]:
+        if not total:
+            yield filling
             return
-        for k in range(at, min(len(lengths), at + 6)):
-            steps += 1
-            if len(found) >= limit or steps > 40 * limit:
-                return
+        k = max(k, bisect_left(lengths, -total, key=lambda x: -x))
+        while k < len(lengths) and reach[k] >> total & 1:
             length = lengths[k]
-            most = min(counts[length], space // length)
-            walk(space - most * length, k + 1, (*filling, (length, most)))
-
-    walk(room, 0, ())
-    return sorted(found, key=found.get) or [()]
-
-
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> list[tuple[Filling, int]]:
+            for n in range(min(counts[length], total // length), 0, -1):
+                if reach[k + 1] >> total - n * length & 1:
+                    yield from walk(k + 1, total - n * length, (*filling, (length, n)))
+            k += 1
+
+    every = (f for total in range(room, -1, -1) if reach[0] >> total & 1 for f in walk(0, total, ()))
+    first, some = (), False
+    for k, filling in enumerate(islice(every, tries)):
+        first = first if k else filling
+        if not dominated(filling, room - sum(length * n for length, n in filling)):
+            some = True
+            yield filling
+    if not some:
+        yield first
+
+
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int | None = MAX_NODES, max_fillings: int | None = MAX_FILLINGS) -> list[tuple[Filling, int]]:
     """Pack a histogram of lengths into as few sequences as the search finds: [(filling, number of sequences)].
 
-    Branch and bound: take the longest length left, try its undominated fillings (least waste first), each for as
-    many sequences as the counts allow; drop a branch whose sequences so far plus the lower bound of the rest do
-    not beat the incumbent. The first incumbent, and the completion of every node, is best-fit decreasing.
+    Branch and bound: take the longest length left and try its undominated fillings, least waste first; drop a branch
+    whose sequences so far plus the lower bound of the rest do not beat the incumbent. The first incumbent, and the
+    completion of nodes on the way, is best-fit decreasing. A limited search uses a filling for as many sequences as the
+    counts allow; one without limits uses it once at each node, which leaves out no packing.
     """
     counts = {k: v for k, v in counts.items() if v}
-    bound = lambda total: -(-total // capacity)
+    exact = max_nodes is None and max_fillings is None
     size = lambda plan: sum(n for _, n in plan)
     best = best_fit(counts, capacity)
-    goal = max(bound(sum(k * v for k, v in counts.items())), sum(v for k, v in counts.items() if 2 * k > capacity))
-    nodes = 0
-    stack: list[tuple[dict[int, int], list, int]] = [(counts, [], 0)]
-    while stack and nodes < max_nodes and size(best) > goal:
-        left, plan, used = stack.pop()
+    fewest = size(best)
+    goal = lower_bound(counts, capacity)
+    stride = 1 if exact else max(1, len(counts) // 128)  # a limited search completes every so many nodes only
+    nodes, used = 0, 0
+    left = dict(counts)
+    path: list[tuple[Filling, int]] = []  # what `left` lacks of `counts`
+
+    def branches() -> Iterator[tuple[Filling, int]]:
+        """(filling, number) to go on with from here; none where the branch ends."""
+        nonlocal best, fewest, nodes
         nodes += 1
-        rest = best_fit(left, capacity)
-        if used + size(rest) < size(best):
-            best = plan + rest
-        lengths = sorted(left, reverse=True)
-        if not lengths or used + bound(sum(k * v for k, v in left.items())) >= size(best):
-            continue
-        longest = lengths[0]
+        if used + lower_bound(left, capacity) >= fewest:
+            return iter(())
+        if not left or nodes % stride == 0:
+            rest = best_fit(left, capacity)
+            if used + size(rest) < fewest:
+                best, fewest = rest + path, used + size(rest)
+        if not left:
+            return iter(())
+        longest = max(left)
         after = left | {longest: left[longest] - 1}
-        for filling in reversed(fillings(capacity - longest, after, [k for k in lengths if after[k]])):
+        found = []
+        tries = None if max_fillings is None else TRIES * max_fillings
+        for filling in islice(fillings(capacity - longest, after, sorted(left, reverse=True), tries), max_fillings):
             whole = dict(filling)
             whole[longest] = whole.get(longest, 0) + 1
-            times = min(left[k] // n for k, n in whole.items())
-            remains = {k: v for k, v in ((k, v - times * whole.get(k, 0)) for k, v in left.items()) if v}
-            ordered = tuple(sorted(whole.items(), reverse=True))
-            stack.append((remains, [*plan, (ordered, times)], used + times))
+            times = 1 if exact else min(left[k] // n for k, n in whole.items())
+            found.append((tuple(sorted(whole.items(), reverse=True)), times))
+        return iter(found)
+
+    stack = [branches()]
+    while stack and fewest > goal and (max_nodes is None or nodes < max_nodes):
+        following = next(stack[-1], None)
+        if following is None:
+            stack.pop()
+            if path:
+                filling, times = path.pop()
+                used -= times
+                for k, n in filling:
+                    left[k] = left.get(k, 0) + times * n
+            continue
+        filling, times = following
+        path.append(following)
+        used += times
+        for k, n in filling:
+            left[k] -= times * n
+            if not left[k]:
+                del left[k]
+        stack.append(branches())
     return best
 
 
@@ -230,7 +295,7 @@ def runs(plan: list[tuple[Filling, int]]) -> list[tuple[int, int, int, int, int,
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, max_nodes: int | None = MAX_NODES, max_fillings: int | None = MAX_FILLINGS) -> DataFrame:
     """Give every piece (columns doc_id, piece, length; others are carried along) sequence_id and offset.
 
     The plan is made from the histogram of lengths, at most `capacity` rows. It has at most one filling per distinct
@@ -239,24 +304,25 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, max_nodes: int = MAX_NODES
     spread over all tasks. Pieces of full length get a sequence each, without a rank.
     """
     spark = pieces.sparkSession
-    kept = stored(pieces, "pieces")
-    payload = [c for c in kept.columns if c not in ("sequence_id", "offset")]
+    payload = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    row = F.struct(*(F.col(f"`{c}`") for c in payload)).alias("row")
+    kept = stored(pieces.select(row), "pieces").withColumn("length", F.col("row.length"))
     counted = kept.filter(F.col("length") < capacity).groupBy("length").count().collect()
-    plan = runs(bin_completion({r["length"]: r["count"] for r in counted}, capacity, max_nodes))
+    plan = runs(bin_completion({r["length"]: r["count"] for r in counted}, capacity, max_nodes, max_fillings))
     slots = F.broadcast(spark.createDataFrame(plan, "slot_length long, lo long, hi long, each long, first long, at long"))
+    given = lambda df, sequence, offset: df.select(*(F.col(f"row.`{c}`").alias(c) for c in payload), sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
 
-    full = kept.filter(F.col("length") >= capacity).select(*payload, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = given(kept.filter(F.col("length") >= capacity), -1 - F.monotonically_increasing_id(), F.lit(0))
     salts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salted = kept.filter(F.col("length") < capacity).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    offsets = salted.groupBy("length", "_salt").count()
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.select("length", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("_row", F.row_number().over(within) - 1).join(offsets, ["length", "_salt"]).withColumn("_rank", F.col("_row") + F.col("_before"))
-    step = F.col("_rank") - F.col("lo")
-    placed = ranked.join(slots, (F.col("length") == F.col("slot_length")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
-    placed = placed.select(*payload, (F.col("first") + F.floor(step / F.col("each"))).alias("sequence_id"), (F.col("at") + step % F.col("each") * F.col("length")).alias("offset"))
-    return placed.unionByName(full)
+    salted = kept.filter(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("row.doc_id", "row.piece"), F.lit(salts)))
+    offsets = salted.groupBy("length", "salt").count()
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = offsets.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("length", "salt").orderBy("row.doc_id", "row.piece")
+    ranked = salted.withColumn("place", F.row_number().over(within) - 1).join(offsets, ["length", "salt"]).withColumn("rank", F.col("place") + F.col("before"))
+    placed = ranked.join(slots, (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    step = F.col("rank") - F.col("lo")
+    return given(placed, F.col("first") + F.floor(step / F.col("each")), F.col("at") + step % F.col("each") * F.col("length")).unionByName(full)
 
 
 def packed_sequences(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:

@@ -36,7 +36,7 @@ def test_as_few_as_brute_force(seed):
     draw = random.Random(seed)
     sizes = [draw.randint(3, 20) for _ in range(draw.randint(1, 10))]
     counts = {k: sizes.count(k) for k in set(sizes)}
-    plan = packing.bin_completion(counts, 20)
+    plan = packing.bin_completion(counts, 20, None, None)
     used = {}
     for filling, number in plan:
         assert sum(length * n for length, n in filling) <= 20
@@ -44,6 +44,50 @@ def test_as_few_as_brute_force(seed):
             used[length] = used.get(length, 0) + n * number
     assert used == counts
     assert sum(n for _, n in plan) == fewest(sizes, 20)
+    assert packing.lower_bound(counts, 20) <= fewest(sizes, 20) <= sum(n for _, n in packing.bin_completion(counts, 20))
+
+
+def test_better_than_best_fit():
+    """Lengths of a seventh to a half of a sequence, where best-fit leaves gaps."""
+    won = 0
+    for seed in range(6):
+        draw = random.Random(seed)
+        counts = {}
+        for _ in range(400):
+            length = draw.randint(300, 1100)
+            counts[length] = counts.get(length, 0) + 1
+        plan = packing.bin_completion(counts, max_nodes=1000)
+        assert all(sum(k * n for k, n in f) <= 2048 for f, _ in plan)
+        found, first = sum(n for _, n in plan), sum(n for _, n in packing.best_fit(counts, 2048))
+        assert packing.lower_bound(counts, 2048) <= found <= first
+        won += first - found
+    assert won >= 6
+
+
+def test_fillings_are_all_undominated_ones():
+    """Against all multisets of a small histogram."""
+    from itertools import product
+
+    for seed in range(30):
+        draw = random.Random(seed)
+        counts = {k: draw.randint(1, 2) for k in draw.sample(range(2, 15), 5)}
+        lengths = sorted(counts, reverse=True)
+        found = list(packing.fillings(16, counts, lengths))
+        waste = [16 - sum(k * n for k, n in f) for f in found]
+        assert waste == sorted(waste) and len(set(found)) == len(found)
+        room = {}
+        for numbers in product(*(range(counts[k] + 1) for k in lengths)):
+            total = sum(k * n for k, n in zip(lengths, numbers, strict=True))
+            if total <= 16:
+                room[tuple((k, n) for k, n in zip(lengths, numbers, strict=True) if n)] = 16 - total
+
+        def replaced(f):
+            used = dict(f)
+            parts = [k for k, n in f for _ in range(n)]
+            sums = {0, *parts, *(a + b for i, a in enumerate(parts) for b in parts[i + 1 :])}
+            return any(s <= k <= s + room[f] and counts[k] > used.get(k, 0) and (k > s or k not in used) for s in sums for k in lengths)
+
+        assert set(found) == ({f for f in room if not replaced(f)} or {()})
 
 
 def test_no_filling_is_dominated_by_one_more_piece():
@@ -92,6 +136,14 @@ def test_sequences_hold_their_pieces(spark):
     assert all(len(r["ids"]) == 4 * r["length"] for r in rows)
 
 
+def test_columns_of_any_name_are_carried(spark):
+    names = ["lo", "hi", "each", "first", "at", "slot_length", "salt", "place", "rank", "before", "row", "count", "_salt", "_row"]
+    pieces = packing.token_pieces(spark.createDataFrame(DOCS, "doc_id long, text string, sequence_id string")).drop("ids")
+    rows = packing.pack(pieces.withColumns({n: F.lit(n) for n in names}))
+    assert rows.columns == [*pieces.columns, *names, "sequence_id", "offset"]
+    assert all(r[n] == n for r in rows.collect() for n in names) and rows.count() == pieces.count()
+
+
 def test_empty(spark):
     assert packed(spark, []).count() == 0
 
@@ -108,7 +160,7 @@ def test_same_ids_as_the_other_file():
     import public_tokenizers
 
     slow, fast = packing.encoder(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(packing.default_vocabulary())
-    for text in ("", " a  b\n\tc ", "naïve Größe 12345 don't", "日本語 é", "<|endoftext|>", "a" * 500):
+    for text in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endoftext", "x<|endoftext|>", "", " a  b\n\tc ", "naïve Größe 12345 don't", "日本語 é", "<|endoftext|>", "a" * 500):
         assert slow(text) == fast(text)
 
 
