@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text that a Python function of a task works on at a time.
 SLICE_BYTES = 1 << 20
@@ -46,7 +47,49 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._stored_at = path
+    return kept
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read again (what was made of them is stored itself)."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bounded(ids: DataFrame) -> DataFrame:
+    """A stored table of one or two numbers a row, marked for broadcast if its bytes are few."""
+    return F.broadcast(ids) if 16 * ids.count() <= BROADCAST_BYTES else ids
+
+
+# --- joins on keys that may hold a third of all rows --------------------------------------------------------------
+
+#: Rows of one key from which its rows are spread, and how many such keys at most: the others hold a smaller share of all.
+HOT_ROWS, MOST_HOT = 1000, 100_000
+
+
+def hot_keys(counts: DataFrame, on: list[str], count: str = "n") -> DataFrame | None:
+    """Stored table (on, parts) of the keys with over HOT_ROWS rows, the hottest MOST_HOT at most; None if there are none."""
+    hot = counts.filter(F.col(count) > HOT_ROWS).select(*on, F.ceil(F.col(count) / HOT_ROWS).cast("int").alias("parts"))
+    hot = stored(hot, "hot")
+    found = hot.count()
+    if found > MOST_HOT:
+        hot = stored(hot.orderBy(F.desc("parts")).limit(MOST_HOT), "hottest")
+    return hot if found else None
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None, by: str, how: str = "inner") -> DataFrame:
+    """left joined to right, with the rows of hot keys of left dealt over parts by the column `by`; right is repeated for each part."""
+    if hot is None:
+        return left.join(right, on, how)
+    dealt = left.join(F.broadcast(hot), on, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("parts").cast("long")).cast("int"), F.lit(0))).drop("parts")
+    repeated = right.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(repeated, [*on, "_part"], how).drop("_part")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tendril.llm import ngram_join
+from tendril.llm import common, ngram_join
 from tendril.llm.components import connected_components
 
 
@@ -51,8 +51,13 @@ def corpus(seed, n=90):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_as_brute_force(spark, seed):
+def test_as_brute_force(spark, seed, monkeypatch):
     rows = corpus(seed)
+    if seed:  # every common key is hot, and there are very long texts
+        monkeypatch.setattr(common, "HOT_ROWS", 5)
+        monkeypatch.setattr(ngram_join, "HOT_ROWS", 5)
+        long = [f"n{k}" for k in range(40_000)]
+        rows += [(1000, " ".join(long)), (1001, " ".join([*long[:39_000], *long[:500]])), (1002, " ".join(long[:20_000]))]
     found = ngram_join.groups(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {tuple(r) for r in found.select("doc_id", "n_shingles", "component_id").collect()} == brute(rows)
 
