@@ -1,9 +1,10 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
 A sketch keeps every shingle hash below a fixed fraction of the hash range, so its size follows the document and two
-sketches compare like the sets they stand for, however unequal. The sketch of a union is the union of the sketches. A
-set with no hash below the threshold keeps its smallest one, so that no text with words has an empty sketch; a merged
-sketch drops it again where a hash below the threshold comes in.
+sketches compare like the sets they stand for, however unequal. The sketch of a union is made from the two sketches. A
+set of at most SMALL hashes is kept whole, so two short texts compare exactly; against a longer one it counts with its
+hashes below the threshold. What is lost: of n shingles none is below it with chance (1 - 1/SCALE)^n (a third for 4, a
+tenth for 8, 1 % for 16), and then a short text looks foreign to every long one.
 
 A fingerprint is the sketch written as text: the kept hashes in ascending order, 16 hexadecimal digits each, joined.
 
@@ -27,15 +28,30 @@ from .common import shingle_set, slices, stored
 
 WIDTH = 5
 #: One hash in so many is kept.
-SCALE = 8
+SCALE = 4
+#: Sets up to this size are kept whole.
+SMALL = 32
 #: Rows of documents that one range of ids should have, and the most ranges.
-RANGE_ROWS, MOST_RANGES = 4000, 4000
+RANGE_ROWS, MOST_RANGES = 4000, 50_000
 
 
 def sketch(shingles: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    """Of sorted hashes, those below the threshold, or else the smallest."""
-    kept = shingles[: np.searchsorted(shingles, np.uint64(2**64 // scale))]
-    return kept if len(kept) else shingles[:1]
+    """Of sorted hashes all, if they are few, or else those below the threshold (the smallest one if there is none)."""
+    return shingles if len(shingles) <= SMALL else below(shingles, scale) if shingles[0] < 2**64 // scale else shingles[:1]
+
+
+def below(kept: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    return kept[: np.searchsorted(kept, np.uint64(2**64 // scale))]
+
+
+def whole(kept: np.ndarray, scale: int = SCALE) -> bool:
+    """Whether a sketch shows that it is the whole set: it has a hash above the threshold."""
+    return len(kept) > 0 and bool(kept[-1] >= np.uint64(2**64 // scale))
+
+
+def alike(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray]:
+    """Two sketches cut to what both speak of."""
+    return (a, b) if whole(a, scale) == whole(b, scale) else (below(a, scale), below(b, scale))
 
 
 def fingerprint(kept: np.ndarray) -> str:
@@ -48,53 +64,62 @@ def parsed(text: str) -> np.ndarray:
 
 def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """The sketch of the union of two sets."""
-    return sketch(np.union1d(a, b), scale)
+    if not len(a) or not len(b):
+        return a if len(a) else b
+    return sketch(np.union1d(*alike(a, b, scale)), scale)
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, assume_unique=True))
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
+def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
     """Estimated share of a's set that is in b's."""
-    return common(a, b) / len(a) if len(a) else float(not len(b))
+    if not len(a) or not len(b):
+        return float(not len(a) and not len(b))
+    a, b = alike(a, b, scale)
+    return common(a, b) / len(a) if len(a) else 0.0
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def likeness(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
     """Estimated containment of the smaller set in the larger, 0 to 1."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    return common(a, b) / min(len(a), len(b))
+    cut = alike(a, b, scale)
+    return containment(*((a, b) if len(cut[0]) <= len(cut[1]) else (b, a)), scale)
 
 
-def resemblance(a: np.ndarray, b: np.ndarray) -> float:
+def resemblance(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
     """Estimated Jaccard similarity, 0 to 1."""
-    if not len(a) and not len(b):
-        return 1.0
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    a, b = alike(a, b, scale)
     both = common(a, b)
-    return both / (len(a) + len(b) - both)
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
 
 
-def in_ranges(docs: DataFrame) -> DataFrame:
-    """doc_id, text, range, tail: documents by ranges of doc_id, each range with the first row of the next one as its tail.
+def in_ranges(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, text, range, tail) and the number of ranges: documents by ranges of doc_id, each range with the first row of the next one as its tail.
 
     The cuts are approximate quantiles of the ids, as many as there are rows to part (MOST_RANGES at most); nothing else
     comes to the driver. A whole text moves once.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = min(MOST_RANGES, max(1, -(-rows.count() // RANGE_ROWS)))
-    cuts = sorted(set(rows.select("doc_id").agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []))
-    bounds = F.expr("array(" + ",".join(f"{c}L" for c in cuts) + ")") if cuts else F.array().cast("array<long>")
-    # place of the id among the cuts, by the first cut above it
-    above = F.array_position(F.transform(bounds, lambda c: F.col("doc_id") < c), F.lit(True))
-    placed = rows.withColumn("range", F.when(F.col("doc_id").isNull(), 0).when(above > 0, above.cast("int") - 1).otherwise(len(cuts)))
+    cuts = sorted(set(rows.select("doc_id").agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], max(10_000, 4 * parts))).first()[0] or []))
+    # place of the id among the cuts: among every sqrt(n)-th of them first, then among those up to the next
+    step = max(1, int(len(cuts) ** 0.5))
+    array = lambda values: F.expr("cast(split('" + ",".join(map(str, values)) + "', ',') as array<long>)") if values else F.array().cast("array<long>")
+    fine, coarse = array(cuts), array(cuts[step - 1 :: step])
+    first = lambda bounds: F.array_position(F.transform(bounds, lambda c: F.col("doc_id") < c), F.lit(True)).cast("int")
+    block = rows.withColumn("block", F.when(first(coarse) > 0, first(coarse) - 1).otherwise(len(cuts) // step))
+    among = first(F.slice(fine, F.col("block") * step + 1, F.lit(step)))
+    placed = block.withColumn("range", F.when(F.col("doc_id").isNull(), 0).when(among > 0, F.col("block") * step + among - 1).otherwise(len(cuts))).drop("block")
     heads = placed.groupBy("range").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("at"), "text", "doc_id")).alias("head"))
     heads = stored(heads, "heads")
     # at most MOST_RANGES rows: the head of each range becomes the tail of the one before, that of the first of the last
     before = heads.select("range", F.lag("range").over(Window.orderBy("range")).alias("to"), F.max("range").over(Window.partitionBy(F.lit(0))).alias("last"))
     before = before.select("range", F.coalesce("to", "last").alias("to"))
     tails = heads.join(F.broadcast(before), "range").select("head.doc_id", "head.text", F.col("to").alias("range"), F.lit(1).alias("tail"))
-    return placed.select("doc_id", "text", "range", F.lit(0).alias("tail")).union(tails)
+    return placed.select("doc_id", "text", "range", F.lit(0).alias("tail")).union(tails), len(cuts) + 1
 
 
 @dataclass
@@ -119,7 +144,7 @@ def compare_with_next(docs: DataFrame, width: int = WIDTH, scale: int = SCALE) -
         edited = this.text[: len(this.text) - half] + after.text[:half]
         changed = sketch(shingle_set(edited, width), scale)
         digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-        return (this.doc_id, len(this.text), digest, fingerprint(this.kept), fingerprint(changed), likeness(this.kept, changed), likeness(this.kept, after.kept), resemblance(this.kept, changed), resemblance(this.kept, after.kept))
+        return (this.doc_id, len(this.text), digest, fingerprint(this.kept), fingerprint(changed), likeness(this.kept, changed, scale), likeness(this.kept, after.kept, scale), resemblance(this.kept, changed, scale), resemblance(this.kept, after.kept, scale))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_range, held_tail = None, None, 1
@@ -135,7 +160,7 @@ def compare_with_next(docs: DataFrame, width: int = WIDTH, scale: int = SCALE) -
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], names=names)
 
     arrow = [pa.field(n, pa.int64() if n in ("doc_id", "n_chars") else pa.float64() if n.startswith(("near", "jaccard")) else pa.string()) for n in names]
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = in_ranges(docs).repartition(partitions, "range").sortWithinPartitions("range", "tail", F.asc_nulls_first("doc_id"), "text")
+    ranged, parts = in_ranges(docs)
+    # each range is a task of its own, whatever its hash
+    ranged = ranged.repartitionById(parts, F.col("range").cast("int")).sortWithinPartitions("range", "tail", F.asc_nulls_first("doc_id"), "text")
     return ranged.select("doc_id", "text", "range", "tail").mapInArrow(run, SCHEMA)

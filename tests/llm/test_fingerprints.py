@@ -47,6 +47,30 @@ def test_estimates_are_near_the_truth():
         assert P.containment(P.sketch(small), P.sketch(np.unique(big))) == pytest.approx(share, abs=0.08)
 
 
+def test_short_texts_in_long_ones():
+    """Against exact sets: two short ones exactly, a short one in a long one nearly always found."""
+    draw = random.Random(3)
+    words = [f"v{i}" for i in range(5000)]
+    seen = {}
+    for _ in range(300):
+        n = draw.choice([5, 8, 16, 30])
+        long = [draw.choice(words) for _ in range(3000)]
+        at = draw.randrange(2900)
+        part, other = " ".join(long[at : at + n]), " ".join(long[at + 2 : at + 2 + n])
+        a, b = (P.sketch(shingle_set(t)) for t in (part, other))
+        x, y = (set(shingle_set(t).tolist()) for t in (part, other))
+        assert P.containment(a, b) == len(x & y) / len(x) and P.resemblance(a, b) == len(x & y) / len(x | y)
+        seen.setdefault(n, []).append(P.containment(a, P.sketch(shingle_set(" ".join(long)))))
+    assert all(v in (0.0, 1.0) for found in seen.values() for v in found)
+    assert sum(seen[30]) / len(seen[30]) > 0.98 and sum(seen[16]) / len(seen[16]) > 0.9
+
+
+def test_a_very_long_text(spark):
+    rows = [(1, "short one"), (2, " ".join(f"l{k}" for k in range(200_000))), (3, "last one here now five six")]
+    found = {r["doc_id"]: r for r in P.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[2]["n_chars"] == len(rows[1][1]) and found[2]["near_edited"] > 0.9
+
+
 def test_merge_is_the_sketch_of_the_union():
     draw = np.random.default_rng(2)
     for n, m in ((1, 1), (1, 50), (3, 400), (500, 500)):
