@@ -1,21 +1,29 @@
 """License scan by conditional compression.
 
-A block of text that mentions licensing is compressed with zstandard alone and with each license template as a raw
-dictionary; the template that saves most leads. The leaders are then compared with the block word by word: the exact
-differences are listed, and a license is confirmed if they are few and touch none of its telling words (names and
-versions). A version or family that differs is another license, whatever the compression says.
+A block of text is compressed with zstandard alone and with each license template as a raw dictionary, and the templates
+are ranked by what they save. The best are compared with the block word by word: the exact differences are listed, and a
+license is confirmed if they are few and touch none of its telling words (names and versions). A version or family that
+differs is another license, whatever the compression says.
 
-Blocks: each sentence with a cue word, and each run of lines between cue lines (at most GAP lines apart), for notices of
-several lines. A run that is confirmed takes the place of the sentences within it.
+Blocks come from two places:
+
+- Windows: where words of a template stand in the text, they say where the whole template would begin. Every window in
+  which half of the template's words stand is a block for it, wherever lines, paragraphs or other notices begin and end.
+  Overlapping blocks are confirmed in the order of the bytes that their templates save.
+- Mentions, outside confirmed windows: each sentence with a cue word, and each run of lines between cue lines (at most
+  GAP lines apart). A run that is confirmed takes the place of the sentences within it. Those that are not confirmed are
+  reported with the license they come nearest to.
 
 Defined cases: a null or empty text has no block; repeated rows are scanned each; an empty table gives an empty result;
-equal savings go to the template first by name; long blocks are compared whole; other columns are not read.
+equal savings go to the template first by name; very long texts and blocks are compared whole; other columns are not read.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Mapping
 from functools import cache
 
@@ -26,35 +34,117 @@ from pyspark.sql import DataFrame
 from .common import map_columns
 
 LEVEL = 3
-#: How many of the templates that save most are compared word by word.
-LEADERS = 3
+#: How many of the templates that save most are compared word by word with a mention; windows are compared with each of theirs.
+LEADERS = 5
 #: Share of differing words up to which a block is the license, and least share of bytes saved.
 MOST_DIFFERENT, LEAST_SAVED = 0.2, 0.25
 GAP = 4
 
 # Wordings by which licenses are named, and the words that tell one from another.
+_GNU_TERMS = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. "
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+)
+_MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
+    'including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is '
+    'furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE '
+    'SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND '
+    'NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT '
+    'OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+)
+_ISC = (
+    'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice '
+    'appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN '
+    'NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF '
+    'CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+)
+_APACHE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+    'http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT '
+    'WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+)
+_ZLIB = (
+    'This software is provided \'as-is\', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is '
+    'granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of '
+    'this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would '
+    'be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed '
+    'or altered from any source distribution.'
+)
+_UNLICENSE = (
+    'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or '
+    'as a compiled binary, for any purpose, commercial or non-commercial, and by any means.'
+)
+_BOOST = (
+    'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, '
+    'reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, '
+    'all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be '
+    'included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable '
+    'object code generated by a source language processor.'
+)
+_BSD_CONDITIONS = (
+    'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain '
+    'the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the '
+    'following disclaimer in the documentation and/or other materials provided with the distribution.'
+)
+_BSD_NAMES = (
+    '3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.'
+)
+_BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND '
+    'FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL '
+    'DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, '
+    'WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+)
+
+
+def _under(name: str) -> tuple[str, ...]:
+    """A short name alone is too little to compress."""
+    return tuple(f"{verb} under {name}" for verb in ("Licensed", "Released", "Distributed", "Available"))
+
+
+def _gnu(short: str, name: str, version: int) -> tuple[str, ...]:
+    return (
+        f"This work is licensed under the GNU {name}, version {version}.",
+        _GNU_TERMS.format(name=f"GNU {name}", version=version),
+        f"GNU {name} version {version}",
+        f"GNU {name} v{version}",
+        *_under(f"{short} v{version}"),
+        f"SPDX-License-Identifier: {short}-{version}.0",
+    )
+
+
+def _creative(kind: str, name: str) -> tuple[str, ...]:
+    return (f"Licensed under CC {kind} 4.0.", f"This work is licensed under a Creative Commons {name} 4.0 International License.", *_under(f"CC {kind} 4.0")[1:], f"SPDX-License-Identifier: CC-{kind}-4.0")
+
+
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
-    ),
-    "MIT": (
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", _APACHE, "Apache License, Version 2.0", "Apache 2.0 license", "SPDX-License-Identifier: Apache-2.0"),
+    "MIT": ("Released under the MIT License.", _MIT, "MIT License", "SPDX-License-Identifier: MIT"),
+    "ISC": (_ISC, "ISC License", "SPDX-License-Identifier: ISC"),
+    "Zlib": (_ZLIB, "zlib License", "SPDX-License-Identifier: Zlib"),
+    "BSL-1.0": (_BOOST, "Boost Software License", "SPDX-License-Identifier: BSL-1.0"),
+    "Unlicense": (_UNLICENSE, "SPDX-License-Identifier: Unlicense"),
+    "GPL-3.0": _gnu("GPL", "General Public License", 3),
+    "GPL-2.0": _gnu("GPL", "General Public License", 2),
+    "LGPL-3.0": _gnu("LGPL", "Lesser General Public License", 3),
+    "AGPL-3.0": _gnu("AGPL", "Affero General Public License", 3),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"),
+    "BSD-3-Clause": (
+        "Licensed under the BSD 3-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        f"{_BSD_CONDITIONS} {_BSD_NAMES} {_BSD_DISCLAIMER}",
+        "BSD 3-Clause License",
+        "SPDX-License-Identifier: BSD-3-Clause",
     ),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "BSD-2-Clause": (f"{_BSD_CONDITIONS} {_BSD_DISCLAIMER}", "BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"),
+    "CC-BY-4.0": _creative("BY", "Attribution"),
+    "CC-BY-SA-4.0": _creative("BY-SA", "Attribution-ShareAlike"),
+    "CC-BY-NC-4.0": _creative("BY-NC", "Attribution-NonCommercial"),
     "Proprietary": ("All rights reserved.",),
-    "CC0-1.0": ("This work has been dedicated to the public domain under CC0 1.0 Universal.",),
+    "CC0-1.0": ("This work has been dedicated to the public domain under CC0 1.0 Universal.", "CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0"),
 }
-TELLING = frozenset("apache mit gnu general lesser affero mozilla bsd cc by sa nc nd sharealike noncommercial attribution cc0 reserved 1 2 3 4 0 clause".split())
+TELLING = frozenset("apache mit gnu general lesser affero mozilla bsd cc by sa nc nd sharealike noncommercial attribution cc0 reserved 1 2 3 4 0 v1 v2 v3 clause gpl lgpl agpl mpl isc zlib boost unlicense endorse promote".split())
 CUES = ("licens", "licenc", "permission is hereby", "redistribution and use", "public domain", "all rights reserved", "spdx-")
 
 _WORD = re.compile(r"[^\W_]+")
@@ -125,23 +215,118 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return [*runs, *(s for s in sentences if s not in runs)]
 
 
+#: A window is a block where this share of the template's words stands in it.
+LEAST_SHARED = 0.5
+
+
+@cache
+def _anchors(templates: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[list[tuple[str, str, list[str]]], dict[str, list[tuple[int, int]]]]:
+    """Templates as (license, text, words), and for each anchor word the (template, place in it). The anchors of a template are its rarest words among all."""
+    listed = [(name, t, words(t)) for name, texts in templates for t in texts]
+    spread = Counter(w for _, _, found in listed for w in set(found))
+    anchors: dict[str, list[tuple[int, int]]] = {}
+    for k, (_, _, found) in enumerate(listed):
+        # cue words first: they are what ordinary text seldom has
+        chosen = sorted(set(found), key=lambda w: (not any(w.startswith(c) for c in ("licen", "cc", "spdx", "redistribut", "sublicens", "warrant", "merchantab", "reserved", "gpl", "lgpl", "agpl", "misrepresent", "unencumbered")), spread[w], w))
+        for place, w in enumerate(found):
+            if w in chosen[:4]:
+                anchors.setdefault(w, []).append((k, place))
+    return listed, anchors
+
+
+#: Each template has one of these, so a text without them holds none.
+GATES = ("licens", "licenc", "permission", "redistribut", "domain", "reserved", "spdx", "gpl", "free software", "as-is", "unencumbered")
+_CREATIVE = re.compile(r"\bcc(?:0|\s+by)\b")
+
+
+def may_hold(text: str) -> bool:
+    low = text.lower()
+    return any(gate in low for gate in GATES) or "cc" in low and _CREATIVE.search(low) is not None
+
+
+def common_words(theirs: list[str], window: list[tuple[int, int, str]]) -> tuple[list[str], list[difflib.Match]]:
+    """The words of a window, and the runs that they have in common with a template."""
+    ours = [w for _, _, w in window]
+    return ours, [m for m in difflib.SequenceMatcher(None, theirs, ours, autojunk=False).get_matching_blocks() if m.size]
+
+
+def windows(text: str, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, gate: bool = True) -> list[tuple[int, int, str, float, str, float, bool]]:
+    """Confirmed blocks by windows, none of which overlap: as scan_text."""
+    if gate and not may_hold(text):
+        return []
+    listed, anchors = _anchors(tuple(templates.items()))
+    spans = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(text)]
+    starts: dict[tuple[int, int], None] = {}
+    for at, (_, _, w) in enumerate(spans):
+        for k, place in anchors.get(w, ()):
+            starts[k, max(0, at - place)] = None
+    found = []
+    for k, start in starts:
+        name, template, theirs = listed[k]
+        slack = len(theirs) // 8
+        first, last = max(0, start - slack), min(len(spans), start + len(theirs) + slack)
+        held = {w for _, _, w in spans[first:last]}
+        if sum(w in held for w in theirs) < LEAST_SHARED * len(theirs):
+            continue
+        a, b = spans[first][0], spans[last - 1][1]
+        raw = text[a:b].lower().encode("utf-8", "surrogatepass")
+        alone = len(_compressor(None).compress(raw))
+        less = alone - len(_compressor(template).compress(raw))
+        found.append((-less, name, first, last, less / alone, template))
+    out: list[tuple[int, int, str, float, str, float, bool]] = []
+    taken: list[tuple[int, int]] = []
+    for less, name, first, last, gain, template in sorted(found):
+        theirs = words(template)
+        slack = len(theirs) // 8
+        ours, matched = common_words(theirs, spans[first:last])
+        if not matched:
+            continue
+        if matched[0].a or matched[-1].a + matched[-1].size < len(theirs):  # the window may lie beside the notice
+            last = min(len(spans), first + matched[-1].b + matched[-1].size + len(theirs) - matched[-1].a - matched[-1].size + slack)
+            first = max(0, first + matched[0].b - matched[0].a - slack)
+            ours, matched = common_words(theirs, spans[first:last])
+        # the words of the block from the first to the last that it has in common with the template
+        begin, end = first + matched[0].b, first + matched[-1].b + matched[-1].size
+        place = bisect_left(taken, (begin, end))
+        if place < len(taken) and taken[place][0] < end or place and taken[place - 1][1] > begin:
+            continue
+        a, b = spans[begin][0], spans[end - 1][1]
+        while a and not text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        listed_, share, telling = differences(" ".join(ours[matched[0].b : end - first]), template)
+        if gain >= LEAST_SAVED and share <= MOST_DIFFERENT and not telling:
+            taken.insert(place, (begin, end))
+            out.append((a, b, name, gain, "; ".join(listed_), share, True))
+    return sorted(out)
+
+
 def scan_text(text: str, templates: Mapping[str, tuple[str, ...]] = TEMPLATES) -> list[tuple[int, int, str, float, str, float, bool]]:
     """(start, end, license, saved, differences, share that differs, confirmed) of each block."""
-    out: list[tuple[int, int, str, float, str, float, bool]] = []
-    covered: list[tuple[int, int]] = []
+    out = windows(text, templates)
+    covered = [(a, b) for a, b, *_ in out]
+    starts = [a for a, _ in covered]
+
+    def overlaps(start: int, end: int) -> bool:
+        k = bisect_left(starts, end)
+        return k > 0 and covered[k - 1][1] > start
+
+    mentioned: list[tuple[int, int, str, float, str, float, bool]] = []
+    whole: list[tuple[int, int]] = []
     for start, end in blocks(text):
-        if any(a <= start and end <= b for a, b in covered):
+        if overlaps(start, end) or whole and any(a <= start and end <= b for a, b in whole):
             continue
         block = text[start:end]
         tried = [(*differences(block, template), gain, name) for gain, name, template in ranked(block, templates)[:LEADERS]]
         listed, share, telling, gain, name = min(tried, key=lambda x: (x[2], x[1]))  # the leaders keep their order among equals
         confirmed = gain >= LEAST_SAVED and share <= MOST_DIFFERENT and not telling
         if confirmed:
-            covered.append((start, end))
-        out.append((start, end, name, gain, "; ".join(listed), share, confirmed))
+            whole.append((start, end))
+        mentioned.append((start, end, name, gain, "; ".join(listed), share, confirmed))
     # a run without a license of its own stands only where no sentence in it was looked at by itself
-    spans = [(a, b) for a, b, *_ in out]
-    return sorted(x for x in out if x[-1] or not any((x[0], x[1]) != (a, b) and x[0] <= a and b <= x[1] for a, b in spans))
+    spans = [(a, b) for a, b, *_ in mentioned]
+    return sorted([*out, *(x for x in mentioned if x[-1] or not any((x[0], x[1]) != (a, b) and x[0] <= a and b <= x[1] for a, b in spans))])
 
 
 SCHEMA = "doc_id long, start long, end long, license string, saved double, differences string, different double, confirmed boolean"
