@@ -2,17 +2,19 @@
 
 A URL is a set of tokens: its scheme, each suffix of its host, the words of its labels but the last, its path segments by place (digits
 become `#`), the ending of the last, its query keys. From labelled URLs (label allow or block) Spark's FP-growth mines
-token combinations with a label; rules under the support or the confidence go, and so do rules that a shorter one with
-the same verdict and no less confidence covers.
+token combinations with a label; rules under the support or the confidence go, and those of over LONGEST tokens, those
+whose confidence is no more than MIN_LIFT times what the label has anyway, and those that a shorter one with the same
+verdict and no less confidence covers. `held_out` measures the rules on labelled URLs that they were not mined from.
 
 Matching uses an inverted index of the rules: a rule is filed under its rarest token, found through that token, and then
 its other tokens are looked for. Only tokens that some rule has matter, so URLs are first reduced to those: each
-different reduced set is matched once, however many URLs share it. The number of rules, and so of what is broadcast, is
-bounded by the support: at most 1/support single tokens a place can be frequent, whatever the input.
+different reduced set is matched once, however many URLs share it. A URL has a bounded number of kinds of tokens and at
+most 1/support tokens of a kind can be frequent, so there are no more frequent tokens than kinds/support, whatever the
+input, and no more rules than combinations of LONGEST of them.
 
 Defined cases: null urls and urls without `://` have an empty host and path, no tokens and the default verdict; repeated
-rows are judged each; an empty table gives an empty result; without labels there are no mined rules; other columns are
-not read.
+rows are judged each; very long URLs are read whole; an empty table gives an empty result; without labels there are no
+mined rules. Other columns are not read but for `carry`, where host, path, rule, verdict and confidence are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import BROADCAST_BYTES, dropped, stored
 from .urls import host_of, path_of, query_of
 
 MIN_SUPPORT = 0.002
@@ -31,8 +33,7 @@ MIN_CONFIDENCE = 0.8
 #: And so many labelled URLs at least, however few there are.
 MIN_COUNT = 5
 DEFAULT = "allow"
-#: Reduced token sets are broadcast up to this many; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+LONGEST, MIN_LIFT = 4, 1.05
 
 # Fixed values: (verdict, host, path).
 RULES = (
@@ -70,7 +71,7 @@ def tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(suffixes, words, places, keys, single)))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT, longest: int = LONGEST, min_lift: float = MIN_LIFT) -> DataFrame:
     """Rules (rule_id, antecedent, verdict, confidence, support) from labelled URLs (url, label). Stored."""
     spark = labelled.sparkSession
     items = labelled.filter(F.col("label").isin("allow", "block") & F.col("url").isNotNull()).select(F.concat(tokens(F.col("url")), F.array(F.concat(F.lit("="), F.col("label")))).alias("items"))
@@ -83,6 +84,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     mined = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / labels_given)), minConfidence=min_confidence, numPartitions=partitions).fit(items).associationRules
     labels = F.array(F.lit("=allow"), F.lit("=block"))
     mined = mined.filter(F.arrays_overlap("consequent", labels) & ~F.arrays_overlap("antecedent", labels))
+    mined = mined.filter((F.size("antecedent") <= longest) & (F.col("lift") >= min_lift))
     mined = stored(mined.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.get("consequent", F.lit(0)), 2, 9).alias("verdict"), "confidence", "support"), "url-mined")
     # a rule is covered by one with one token fewer, or by what covers that one
     shorter = mined.select(F.col("antecedent").alias("part"), "verdict", F.col("confidence").alias("enough"))
@@ -109,7 +111,10 @@ def judge(urls: DataFrame, rules: DataFrame, fixed: Sequence[tuple[str, str, str
     known = [r["token"] for r in rules.select(F.explode("antecedent").alias("token")).distinct().orderBy("token").collect()]
     wanted = F.array(*map(F.lit, known)) if known else F.array().cast("array<string>")
     url = F.col("url")
-    read = urls.select(*carry, host_of(url).alias("host"), path_of(url).alias("path"), F.array_join(F.array_intersect(tokens(url), wanted), "\t").alias("reduced"))
+    own = ("host", "path", "rule", "verdict", "confidence")
+    carried = [c for c in carry if c not in own]
+    row = F.struct(*(F.col(f"`{c}`") for c in carried)) if carried else F.lit(None)
+    read = urls.select(row.alias("row"), host_of(url).alias("host"), path_of(url).alias("path"), F.array_join(F.array_intersect(tokens(url), wanted), "\t").alias("reduced"))
     read = stored(read.withColumn("fixed", fixed_rule(F.col("host"), F.col("path"), fixed)), "url-tokens")
 
     sets = read.filter("fixed is null and reduced <> ''").select("reduced").distinct()
@@ -117,11 +122,26 @@ def judge(urls: DataFrame, rules: DataFrame, fixed: Sequence[tuple[str, str, str
     found = held.withColumn("token", F.explode("held")).join(inverted_index(rules), "token").filter(F.size(F.array_except("antecedent", "held")) == 0)
     best = Window.partitionBy("reduced").orderBy(F.desc("confidence"), F.desc(F.size("antecedent")), "antecedent", "verdict")
     verdicts = stored(found.withColumn("place", F.row_number().over(best)).filter("place = 1").select("reduced", F.col("verdict").alias("mined"), "confidence"), "url-verdicts")
-    if verdicts.count() <= BROADCAST_ROWS:
+    if (verdicts.select(F.sum(F.length("reduced") + 64)).first()[0] or 0) <= BROADCAST_BYTES:
         verdicts = F.broadcast(verdicts)
     judged = read.join(verdicts, "reduced", "left")
     confidence = F.when(F.col("fixed").isNull(), F.col("confidence"))
-    return judged.select(*carry, "host", "path", F.col("fixed.rule").alias("rule"), F.coalesce("fixed.verdict", "mined", F.lit(default)).alias("verdict"), confidence.alias("confidence"))
+    return judged.select(*(F.col(f"row.`{c}`").alias(c) for c in carried), "host", "path", F.col("fixed.rule").alias("rule"), F.coalesce("fixed.verdict", "mined", F.lit(default)).alias("verdict"), confidence.alias("confidence"))
+
+
+def held_out(labelled: DataFrame, folds: int = 5, **mining: float) -> dict[str, float]:
+    """How rules mined from the other folds judge one fold of labelled URLs (by a hash of the URL).
+
+    share of rows with a rule (coverage), of their verdicts that are right (precision), and of the fold's blocked URLs that are blocked (recall).
+    """
+    known = labelled.withColumn("fold", F.pmod(F.crc32("url"), F.lit(folds)))
+    rules = mine(known.filter("fold <> 0"), **mining)
+    judged = judge(known.filter("fold = 0"), rules, (), carry=("label",))
+    ruled = F.col("confidence").isNotNull()
+    right = F.col("verdict") == F.col("label")
+    n, covered, correct, bad, blocked = judged.select(F.count("*"), F.count_if(ruled), F.count_if(ruled & right), F.count_if(F.col("label") == "block"), F.count_if((F.col("label") == "block") & right)).first()
+    dropped(rules)
+    return {"coverage": covered / max(n, 1), "precision": correct / max(covered, 1), "recall": blocked / max(bad, 1)}
 
 
 def labelled_by_rules(urls: DataFrame, fixed: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:

@@ -51,7 +51,7 @@ def brute_rules(spark, rows):
 
 def test_mined_rules_as_brute_force(spark):
     rows = labelled()
-    mined = U.mine(spark.createDataFrame(rows, "url string, label string"), min_support=0.05).collect()
+    mined = U.mine(spark.createDataFrame(rows, "url string, label string"), min_support=0.05, min_lift=0.0).collect()
     expected = brute_rules(spark, rows)
     assert mined
     for r in mined:
@@ -91,3 +91,26 @@ def test_tokens_and_empty(spark):
     assert {"host:example.com", "host:com", "word:my", "word:shop", "path0:en", "path1:#", "path2:a#.html", "end:.html", "key:x", "key:y", "scheme:https"} <= set(t)
     nothing = spark.createDataFrame([], "page_id long, url string")
     assert U.judge(nothing, U.mine(U.labelled_by_rules(nothing))).count() == 0
+
+
+def test_held_out_urls_are_judged_right(spark):
+    found = U.held_out(spark.createDataFrame(labelled(), "url string, label string"), min_support=0.05)
+    assert found["precision"] > 0.9 and found["recall"] > 0.85 and found["coverage"] > 0.9
+
+
+def test_rules_are_short_and_lift(spark):
+    rows = labelled()
+    share = sum(v == "block" for _, v in rows) / len(rows)
+    for r in U.mine(spark.createDataFrame(rows, "url string, label string"), min_support=0.05).collect():
+        prior = share if r["verdict"] == "block" else 1 - share
+        assert len(r["antecedent"]) <= U.LONGEST and r["confidence"] >= U.MIN_LIFT * prior - 1e-9
+
+
+def test_carried_columns_of_any_name_and_long_urls(spark):
+    long = "https://a.com/" + "x/" * 50_000
+    urls = spark.createDataFrame([(1, long, "h", "f", "r"), (1, None, "h", "f", "r")], "page_id long, url string, host string, fixed string, reduced string")
+    nothing = U.mine(spark.createDataFrame([], "url string, label string"))
+    found = U.judge(urls, nothing, carry=("page_id", "host", "fixed", "reduced"))
+    assert found.columns == ["page_id", "fixed", "reduced", "host", "path", "rule", "verdict", "confidence"]
+    rows = sorted(found.collect(), key=lambda r: len(r["path"]))
+    assert [(r["fixed"], r["reduced"], r["host"], len(r["path"])) for r in rows] == [("f", "r", "", 0), ("f", "r", "a.com", 100_001)]
