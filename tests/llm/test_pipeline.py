@@ -37,3 +37,27 @@ def test_slices_hold_every_row():
     parts = list(slices(batch, 50))
     assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
     assert max(p.num_rows for p in parts) < 6
+
+
+def test_stages_on_small_cases(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns and an empty table, through every stage."""
+    names = ["base", "spans", "row", "score", "n", "kept", "lo", "component_id", "label"]
+    prose = " ".join(f"word{k % 97} and the other{k % 89} of it{k % 83}" for k in range(60)) + "."
+    rows = [(1, prose), (1, prose), (2, None), (3, ""), (None, prose), (4, "\n".join(f"This is line number {k} of a long text about thing {k * 7}." for k in range(4000))), (5, "password=abcdefghijkl " + prose)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *names) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        for given in (docs, docs.limit(0)):
+            out = stage(spark, given, str(tmp_path)).collect()
+            if given is not docs:
+                assert out == []
+            elif name == "secret scans":
+                assert len(out) == len(rows) and all(r[n] == n for r in out for n in names)
+                assert {r["text"] for r in out if r["doc_id"] == 5} == {"[secret] " + prose} and [r["text"] for r in out if r["doc_id"] == 2] == [None]
+            elif name == "n-gram Jaccard join":
+                assert sorted(r["doc_id"] for r in out if r["doc_id"] is not None) == [1, 2, 3, 4]
+            elif name == "best-fit packing":
+                assert {r["doc_id"] for r in out} == {1, 2, 3, 4, 5, None}
+            else:
+                assert {r["doc_id"] for r in out} <= {1, 2, 3, 4, 5, None} and all(r[n] == n for r in out for n in names)
