@@ -142,6 +142,11 @@ def span(first: Column, last: Column) -> Column:
     return F.nullif(F.array_join(F.array_distinct(kept), " al "), F.lit(""))
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value computed once a row: a lambda would compute an expression from outside anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 # --- paged text: pages are divided by form feeds --------------------------------------------------------------------
 
 FEED = "\x0c"
@@ -179,9 +184,13 @@ def image_pages(text: Column, least: int = 400, first: int = 150) -> Column:
 
 def page_ranges(numbers: Column) -> Column:
     """[1, 2, 3, 7] as "1-3,7"; numbers ascending and distinct."""
-    starts = F.filter(numbers, lambda x: ~F.array_contains(numbers, x - 1))
-    stops = F.filter(numbers, lambda x: ~F.array_contains(numbers, x + 1))
-    return F.array_join(F.zip_with(starts, stops, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat_ws("-", a, b))), ",")
+
+    def ranges(n: Column) -> Column:
+        starts = F.filter(n, lambda x, i: (i == 0) | (F.get(n, i - 1) != x - 1))
+        stops = F.filter(n, lambda x, i: (i == F.size(n) - 1) | (F.get(n, i + 1) != x + 1))
+        return F.array_join(F.zip_with(starts, stops, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat_ws("-", a, b))), ",")
+
+    return once(numbers, ranges)
 
 
 def marked_pages(text: Column, most: int = 45_000) -> Column:

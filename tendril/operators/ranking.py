@@ -59,9 +59,29 @@ def within_budget(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 def top_with_rest(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first k rows of each group with their place, and how many more the group has."""
-    size = F.count("*").over(Window.partitionBy(*group))
-    placed = ranked(df, group, order).withColumn("more", F.greatest(size - k, F.lit(0)))
-    return placed.filter(F.col("place") <= k)
+    sizes = df.groupBy(*group).agg(F.greatest(F.count("*") - k, F.lit(0)).alias("more"))
+    # the filter on the place lets every task drop all but its own first k before the shuffle
+    return ranked(df, group, order).filter(F.col("place") <= k).join(sizes, list(group))
+
+
+def global_place(df: DataFrame, coarse: Sequence[Column], order: Sequence[Column], group: Sequence[str] = (), name: str = "place") -> DataFrame:
+    """Place of every row in a total order (by group), without a task that sees them all.
+
+    coarse: sort keys that cut the order into steps, a few thousand at most whatever the rows (days, hundreds): rows are
+    numbered within their step, and the steps' counts are added up before.
+    """
+    steps = [f"_step{k}" for k in range(len(coarse))]
+    keyed = df
+    directions = []
+    for name_, c in zip(steps, coarse, strict=True):
+        keyed = keyed.withColumn(name_, c)
+        directions.append(F.col(name_).asc_nulls_last())
+    before = Window.partitionBy(*group).orderBy(*directions).rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy(*group, *steps).agg(F.count("*").alias("_n"))
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n").alias("o")
+    local = keyed.withColumn("_row", F.row_number().over(Window.partitionBy(*group, *steps).orderBy(*order))).alias("l")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (*group, *steps)]
+    return local.join(F.broadcast(offsets), same).select("l.*", (F.col("_row") + F.col("_before")).alias(name)).drop("_row", *steps)
 
 
 def islands(df: DataFrame, key: Sequence[str], number: str) -> DataFrame:

@@ -13,6 +13,8 @@ from ..sources.tables import table
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nid, total, file, scan, text: some lack the section, some have limits off by a cent, some leave the template's choice."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("nid"), F.col("o_totalprice").cast(amounts.MONEY).alias("total"))
+    # the texts made below are far larger than these rows: deal the rows, not the texts, over the cores
+    orders = orders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "nid")
     money = lambda c: F.concat(F.lit("S/ "), F.format_number(c, 2))
     nid, total = F.col("nid"), F.col("total")
     cent = F.when(nid % 7 == 0, F.lit("0.01")).otherwise("0.00").cast(amounts.MONEY)

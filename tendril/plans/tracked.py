@@ -83,7 +83,7 @@ def retry_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lifecycle_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").filter("user_id % 3 > 0 or event_type not in ('signup', 'error')")
+    events = table(spark, sf_dir, "events")
     named = F.when((F.col("event_type") == "signup") & (F.col("value") > 99), "close").when((F.col("event_type") == "error") & (F.col("value") > 99), "restart").when(F.col("event_type") == "view", "idle").otherwise("change")
     return state.lifecycle(events.withColumn("what", named), ["user_id"], "what", [F.asc("ts"), F.asc("event_id")])
 
@@ -128,8 +128,9 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unread_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Set difference of keys."""
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey")).exceptAll(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey")).distinct())
+    """Set difference of keys: customers without an order that was read whole (finished)."""
+    read = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("custkey")).distinct()
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey")).exceptAll(read)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -170,7 +171,7 @@ ORACLE_SQL = {
     "lifecycle_fold": """
         WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i,
             CASE WHEN event_type = 'signup' AND value > 99 THEN 'close' WHEN event_type = 'error' AND value > 99 THEN 'restart' WHEN event_type = 'view' THEN 'idle' ELSE 'change' END AS what
-          FROM events WHERE user_id % 3 > 0 OR event_type NOT IN ('signup', 'error')),
+          FROM events),
         f AS (SELECT user_id, arg_min(what, i) FILTER (WHERE what IN ('close', 'restart')) AS ended, arg_max(what, i) FILTER (WHERE what IN ('idle', 'change')) AS moved FROM e GROUP BY 1)
         SELECT user_id, CASE WHEN ended = 'close' THEN 'cerrada' WHEN ended = 'restart' THEN 'reiniciada' WHEN moved = 'idle' THEN 'parada' ELSE 'abierta' END AS state FROM f""",
     "documents_two_keys": "SELECT l_orderkey, count(DISTINCT CASE WHEN l_returnflag <> 'N' THEN CAST(l_partkey AS VARCHAR) ELSE '~' || l_returnflag || chr(31) || l_linestatus END) AS n_documents FROM lineitem GROUP BY 1",
@@ -191,5 +192,5 @@ ORACLE_SQL = {
         FROM (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS run FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) GROUP BY l_orderkey, run""",
     "two_readings_differ": f"WITH b AS ({_BOTH}) SELECT l_orderkey, concat_ws(',', CASE WHEN flag_a <> flag_b THEN 'flag' END, CASE WHEN shipped_a <> shipped_b THEN 'shipped' END, CASE WHEN n_a <> n_b THEN 'n' END) AS fields FROM b",
     "candidates": "SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' UNION SELECT o_custkey FROM orders WHERE o_totalprice > 200000",
-    "unread_customers": "SELECT c_custkey AS custkey FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "unread_customers": "SELECT c_custkey AS custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'",
 }
