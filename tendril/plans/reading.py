@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import amounts, text
-from ..operators import more_readers, readers
+from ..operators import more_readers, personnel, readers
 from ..sources.tables import table
 
 
@@ -71,17 +71,47 @@ def reader_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return more_readers.read_factors(documents).select("l_orderkey", F.size(r["factors"]).cast("long").alias("n"), r["total"].cast("long").alias("total"), r["sum"].cast("long").alias("sum"), F.array_join(r["warnings"]["warning"], ",").alias("warnings"), r["review"].alias("review"))
 
 
+def reader_personnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requirements of two posts made from parts, in five layouts, one that no layout reads, and none at all."""
+    key, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    twice = (F.col("p_size") * 2).cast("string")
+    title = "\x0cB.2 EXPERIENCIA DEL PERSONAL CLAVE\nRequisitos:\n"
+    end = "\nAcreditación: con contratos de 99 meses"
+    joined = lambda *parts: F.concat(*(p if isinstance(p, F.Column) else F.lit(p) for p in parts))
+    made = (
+        F.when(key % 7 == 0, joined(title, "1. RESIDENTE DE OBRA\n  Experiencia    ", n, " meses\n2. ESPECIALISTA EN SUELOS\n  Experiencia    ", twice, " meses", end))
+        .when(key % 7 == 1, joined(title, "a) Residente de Obra\nAcredita doce (", n, ") meses en obras similares.\nb) Especialista en Suelos:\nAcredita ", twice, " años.", end))
+        .when(key % 7 == 2, joined(title, "Residente de Obra\n", n, " meses de experiencia como residente\nEspecialista en Suelos\n", twice, " meses de experiencia", end))
+        .when(key % 7 == 3, joined(title, "N°    CARGO    EXPERIENCIA\n1    RESIDENTE DE OBRA    ", n, " meses\n2    ESPECIALISTA EN SUELOS    ", twice, " meses (", twice, ") meses", end))
+        .when(key % 7 == 4, joined(title, "CARGO               EXPERIENCIA\nRESIDENTE DE        ", n, " meses en obras similares\nOBRA                computados desde la colegiatura\nESPECIALISTA EN     ", twice, " meses en obras similares\nSUELOS              computados desde la colegiatura", end))
+        .when(key % 7 == 5, joined(title, "Se piden ", n, " meses y ", twice, " meses", end))
+        .otherwise("EXPERIENCIA DEL PERSONAL CLAVE, factor con PUNTAJE")
+    )
+    read = personnel.read_personnel(table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey").select("p_partkey", made.alias("text")))
+    r = F.col("personnel")
+    staff = F.array_join(F.transform(r["staff"], lambda x: F.concat_ws(":", F.coalesce(x["post"], F.lit("?")), x["time"], x["months"])), ";")
+    warned = F.array_join(F.transform(r["warnings"], lambda w: F.concat_ws(":", w["warning"], w["stated"], w["expected"])), ";")
+    return read.select("p_partkey", r["page"].cast("long").alias("page"), staff.alias("staff"), warned.alias("warnings"), r["review"].alias("review"))
+
+
 def text_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     return parts.select("p_partkey", text.tidy(F.concat_ws(" ; ", "p_type", "p_name")).alias("tidy"), text.work_name(F.concat(F.lit("Ejecución de la obra: "), F.col("p_name"), F.lit(", CUI 2345678"))).alias("work"))
 
 
-QUERIES = {f.__name__: f for f in (reader_amount, reader_experience, reading_chain, reader_object, reader_factors, text_tidy)}
+QUERIES = {f.__name__: f for f in (reader_amount, reader_experience, reading_chain, reader_object, reader_factors, reader_personnel, text_tidy)}
 
 _TOTAL = "CAST(o_totalprice AS DECIMAL(15,2))"
 _LOW = f"CAST((CAST({_TOTAL} * 100 AS BIGINT) * 95 + 99) // 100 * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(15,2))"
 _HIGH = f"CAST(CAST({_TOTAL} * 100 AS BIGINT) * 110 // 100 * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(15,2))"
 ORACLE_SQL = {
+    "reader_personnel": """
+        WITH p AS (SELECT p_partkey, p_partkey % 7 AS k, p_size AS n, 2 * p_size AS m FROM part),
+        t AS (SELECT *, n || CASE WHEN n = 1 THEN ' mes:' ELSE ' meses:' END || n AS a, CASE WHEN k = 1 THEN m || ' años:' || 12 * m ELSE m || ' meses:' || m END AS b,
+          CASE WHEN k IN (1, 2) THEN 'Residente de Obra:' WHEN k = 5 THEN '?:' ELSE 'RESIDENTE DE OBRA:' END AS one, CASE WHEN k IN (1, 2) THEN 'Especialista en Suelos:' WHEN k = 5 THEN '?:' ELSE 'ESPECIALISTA EN SUELOS:' END AS two FROM p)
+        SELECT p_partkey, CASE WHEN k < 6 THEN CAST(2 AS BIGINT) END AS page, CASE WHEN k < 6 THEN one || a || ';' || two || b ELSE '' END AS staff,
+          CASE WHEN k = 1 AND n <> 12 THEN 'tiempo_distinto_letras:' || n || ':12' ELSE '' END AS warnings,
+          CASE k WHEN 5 THEN 'cargos ilegibles' WHEN 6 THEN 'sin requisito de personal clave' END AS review FROM t""",
     "reader_amount": f"""
         SELECT o_orderkey AS nid, CASE WHEN o_orderkey % 11 > 0 THEN CAST(1 AS BIGINT) END AS page, CASE WHEN o_orderkey % 11 > 0 THEN {_TOTAL} END AS amount,
           CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 'sin rellenar' WHEN o_orderkey % 3 = 0 THEN 'fija' ELSE 'limitada' END AS offer_type,
