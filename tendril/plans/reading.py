@@ -105,6 +105,7 @@ _TOTAL = "CAST(o_totalprice AS DECIMAL(15,2))"
 _LOW = f"CAST((CAST({_TOTAL} * 100 AS BIGINT) * 95 + 99) // 100 * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(15,2))"
 _HIGH = f"CAST(CAST({_TOTAL} * 100 AS BIGINT) * 110 // 100 * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(15,2))"
 ORACLE_SQL = {
+    "text_tidy": "SELECT p_partkey, p_type || ', ' || p_name AS tidy, p_name AS work FROM part",
     "reader_personnel": """
         WITH p AS (SELECT p_partkey, p_partkey % 7 AS k, p_size AS n, 2 * p_size AS m FROM part),
         t AS (SELECT *, n || CASE WHEN n = 1 THEN ' mes:' ELSE ' meses:' END || n AS a, CASE WHEN k = 1 THEN m || ' años:' || 12 * m ELSE m || ' meses:' || m END AS b,

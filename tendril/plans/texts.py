@@ -126,7 +126,7 @@ def located(spark: SparkSession, sf_dir: str) -> DataFrame:
 def number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of made-up amounts, with a misread one, as numbers."""
     ones, tens = F.array(*map(F.lit, list(spanish.UNITS)[1:10])), F.array(*map(F.lit, list(spanish.TENS)))
-    written = F.concat_ws(" ", F.get(ones, (F.col("p_partkey") % 9).cast("int")), F.lit("mill0nes"), F.get(tens, (F.col("p_size") % 7).cast("int")), F.lit("y"), F.get(ones, (F.col("p_size") % 9).cast("int")), F.lit("mil con 50/100 soles"))
+    written = F.concat_ws(" ", F.get(ones, (F.col("p_partkey") % 9).cast("int")), F.lit("millomes"), F.get(tens, (F.col("p_size") % 7).cast("int")), F.lit("y"), F.get(ones, (F.col("p_size") % 9).cast("int")), F.lit("mil con 50/100 soles"))
     return table(spark, sf_dir, "part").select("p_partkey", written.alias("written"), spanish.word_amount_udf(written).alias("amount"))
 
 
@@ -187,6 +187,14 @@ ORACLE_SQL = {
           day(o_orderdate) || ' ' || left({_MONTH}, 3) || '.' AS short_date, CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders""",
     "portal_times": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 28 HOUR + INTERVAL 59 MINUTE AS at FROM orders",
     "months_of": "SELECT p_partkey, CAST(CASE WHEN p_size % 2 = 0 THEN p_size ELSE 12 * p_size END AS BIGINT) AS months FROM part",
+    "number_words": f"""
+        WITH w AS (SELECT p_partkey, p_partkey % 9 AS a, p_size % 7 AS b, p_size % 9 AS c FROM part)
+        SELECT p_partkey, concat_ws(' ', {_chosen('a', list(spanish.UNITS)[1:10], 0)}, 'millomes', {_chosen('b', list(spanish.TENS), 0)}, 'y', {_chosen('c', list(spanish.UNITS)[1:10], 0)}, 'mil con 50/100 soles') AS written,
+          CAST((a + 1) * 1000000 + (31 + 10 * b + c) * 1000 + 0.5 AS DECIMAL(15,2)) AS amount FROM w""",
+    "sentence_case": "SELECT p_partkey, upper(left(p_type, 1)) || lower(substr(p_type, 2)) AS sentence FROM part",
+    "cell_text_entities": r"""
+        SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '<[^>]+>', ' ', 'g'),
+          '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[\s\x{00A0}]+', ' ', 'g')) AS cell FROM pages""",
     "located": f"""
         SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN '' ELSE {_chosen('c_custkey % 25', places.REGIONS, 0)} END AS regions, CASE WHEN c_custkey % 3 = 1 THEN 'unknown' ELSE 'text' END AS source FROM customer""",
 }
