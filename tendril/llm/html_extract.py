@@ -10,9 +10,9 @@ deleted wherever it stands, by three rules:
 - Places that recur beside the way down to the main text. That way is made of the places that hold HEAVY of the text of
   their pages, with content that changes from page to page; a light container beside it is a banner, an advert, a footer.
 
-Copies of one page count once: pages are told apart by their whole html. A host with fewer than MIN_PAGES pages is counted
-together with the other hosts of its parent domain (of two labels at least). Where that has too few pages too, marks in
-the page decide instead: `article` or `main` if there is one, and words in class and id (AWAY_WORDS).
+Copies of one page count once: pages are told apart by their whole html. The places of a host with fewer than MIN_PAGES
+pages are counted together with those of the other hosts of its parent domain (of two labels at least). Where that has too
+few pages too, marks in the page decide instead: `article` or `main` if there is one, and words in class and id (AWAY_WORDS).
 
 Everywhere, what HTML itself says is no text of the page goes (nav, footer, aside, forms, hidden parts, roles), and so do
 reader comments by their class, since no count tells prose from prose.
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, map_columns, stored
+from .common import BROADCAST_BYTES, dropped, map_columns, stored
 from .urls import host_of
 
 MIN_PAGES = 8
@@ -327,12 +327,13 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     subtree that a third of all pages share is added up before its counts meet.
     """
     both = lambda df: df.withColumn("site", F.explode(F.array_compact(F.array(F.col("host"), domain_of(F.col("host"))))))
-    found = stored(observed(pages).distinct(), "observed")
+    found = stored(observed(pages), "observed")
     sizes = stored(both(pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page")).distinct()).groupBy("site").agg(F.count("*").alias("pages")), "sites")
 
     often = lambda df: df.filter(F.col("seen") >= min_pages).join(sizes, "site").filter(F.col("seen") >= min_share * F.col("pages")).drop("pages")
-    content = often(both(found.filter("not place").select("host", "hash", "page")).groupBy("site", "hash").agg(F.count("*").alias("seen")))
-    at = both(found.filter("place").drop("place")).groupBy("site", "hash").agg(
+    single = found.filter("not place").select("host", "hash", "page").distinct()
+    content = often(single.groupBy(F.col("host").alias("site"), "hash").agg(F.count("*").alias("seen")))
+    at = both(found.filter("place").drop("place").distinct()).groupBy("site", "hash").agg(
         F.count("*").alias("seen"),
         F.approx_count_distinct("own").alias("kinds"),
         F.min("parent").alias("parent"),
@@ -361,7 +362,9 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     hosts = sizes.filter(~F.col("site").startswith("*.")).select(F.col("site").alias("host"), F.when(F.col("pages") >= min_pages, F.col("site")).otherwise(domain_of(F.col("site"))).alias("site"))
     joined = hosts.join(at_site.withColumn("known", F.lit(True)), "site", "left")
     empty = F.array().cast("array<long>")
-    return stored(joined.select("host", F.coalesce("known", F.lit(False)).alias("known"), *(F.coalesce(c, empty).alias(c) for c in ("content", "places", "way"))), "templates")
+    out = stored(joined.select("host", F.coalesce("known", F.lit(False)).alias("known"), *(F.coalesce(c, empty).alias(c) for c in ("content", "places", "way"))), "templates")
+    dropped(found, sizes, at)
+    return out
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, marks: bool = True) -> DataFrame:
