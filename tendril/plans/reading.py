@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import amounts, text
-from ..operators import more_readers, personnel, readers
+from ..operators import factor_table, more_readers, personnel, readers
 from ..sources.tables import table
 
 
@@ -68,7 +68,7 @@ def reader_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     stated = F.col("total") + F.when(F.col("l_orderkey") % 9 == 0, 1).otherwise(0)
     documents = made.select("l_orderkey", F.concat(F.lit("CUADRO RESUMEN DE LOS FACTORES DE EVALUACIÓN\n"), F.array_join(F.transform("rows", lambda x: x["row"]), "\n"), F.lit("\nPUNTAJE TOTAL  "), stated.cast("string"), F.lit(" puntos\n")).alias("text"))
     r = F.col("factors")
-    return more_readers.read_factors(documents).select("l_orderkey", F.size(r["factors"]).cast("long").alias("n"), r["total"].cast("long").alias("total"), r["sum"].cast("long").alias("sum"), F.array_join(r["warnings"]["warning"], ",").alias("warnings"), r["review"].alias("review"))
+    return factor_table.read_factors(documents).select("l_orderkey", F.size(r["factors"]).cast("long").alias("n"), r["total"].cast("long").alias("total"), r["sum"].cast("long").alias("sum"), F.array_join(r["warnings"]["warning"], ",").alias("warnings"), r["review"].alias("review"))
 
 
 def reader_personnel(spark: SparkSession, sf_dir: str) -> DataFrame:
