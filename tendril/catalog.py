@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import more, reading, report, texts, tracked
+from .plans import more, reading, report, texts, tracked, upkeep
 
-QUERIES = {**report.QUERIES, **tracked.QUERIES, **texts.QUERIES, **reading.QUERIES, **more.QUERIES}
-ORACLE_SQL = {**report.ORACLE_SQL, **tracked.ORACLE_SQL, **texts.ORACLE_SQL, **reading.ORACLE_SQL, **more.ORACLE_SQL}
+QUERIES = {**report.QUERIES, **tracked.QUERIES, **texts.QUERIES, **reading.QUERIES, **more.QUERIES, **upkeep.QUERIES}
+ORACLE_SQL = {**report.ORACLE_SQL, **tracked.ORACLE_SQL, **texts.ORACLE_SQL, **reading.ORACLE_SQL, **more.ORACLE_SQL, **upkeep.ORACLE_SQL}

@@ -60,3 +60,47 @@ def unknown_references(rows: DataFrame, listed: DataFrame, record: Sequence[str]
     single = rows.select(*record, F.explode(array).alias(name)).distinct()
     lost = single.join(listed.select(*record, name).distinct(), [*record, name], "left_anti")
     return _found(lost, record, array, F.lit(""), F.col(name))
+
+
+def incongruence_faults(named: DataFrame, values: DataFrame, record: Sequence[str], blocks: Sequence[str], silent: Sequence[str] = ("cita", "pagina")) -> DataFrame:
+    """What is wrong with a record's incongruences (field, row, column, value; "" where not given).
+
+    values: the record's current readings as (field, row, column, value), row "" for blocks. An incongruence may name
+    nothing and then has no value; it may name a field or one of its rows, again without a value; or a column of them, and
+    then its value is another one than those read. Columns of `silent` have no other reading.
+    """
+    keys = list(record)
+    cleared = named.select(*keys, *(F.coalesce(c, F.lit("")).alias(c) for c in ("field", "row", "column", "value"))).distinct()
+    held = values.select(*keys, "field", "row", "column", "value")
+    fields = held.select(*keys, "field").distinct().withColumn("_field", F.lit(True))
+    rows = held.select(*keys, "field", "row").distinct().withColumn("_row", F.lit(True))
+    columns = held.groupBy(*keys, "field", "row", "column").agg(F.collect_set("value").alias("_read"))
+    joined = cleared.join(fields, [*keys, "field"], "left").join(rows, [*keys, "field", "row"], "left").join(columns, [*keys, "field", "row", "column"], "left")
+    no = lambda c: F.col(c) == ""
+    whole_field = no("row") & no("column")
+    message = (
+        F.when(no("field") & no("row") & no("column"), F.when(~no("value"), "value without field and column"))
+        .when(no("column") & ~no("value"), "value without column")
+        .when(F.col("_field").isNull(), "unknown field")
+        .when(F.col("field").isin(*blocks) & ~no("row"), "a block has no rows")
+        .when(~whole_field & F.col("_row").isNull(), "unknown row")
+        .when(~no("column") & (F.col("_read").isNull() | F.col("column").isin(*silent)), "unknown column")
+        .when(~no("column") & F.array_contains("_read", F.col("value")), "value is the reading already used")
+    )
+    return joined.withColumn("message", message).filter("message is not null").select(*keys, "field", "row", "column", "message")
+
+
+def import_ready(filled: DataFrame, documents: DataFrame, stored: DataFrame, key: Sequence[str], fields: str, reported: str, ready: str = "ready") -> tuple[DataFrame, DataFrame]:
+    """(stored records after the import, filled records refused).
+
+    Records that are ready and whose document is listed replace what is stored if their fields differ, and then count as
+    not reported; equal ones leave the row as it is. Those that are not ready wait, and are in neither table.
+    """
+    marked = filled.filter(F.coalesce(F.col(ready), F.lit(False)))
+    listed = documents.select(*key).distinct()
+    refused = marked.join(listed, list(key), "left_anti")
+    fresh = marked.join(listed, list(key), "left_semi").select(*key, F.col(fields).alias("_fields"), F.lit(True).alias("_came"))
+    both = stored.select(*key, fields, reported).join(fresh, list(key), "full_outer")
+    new = F.coalesce("_came", F.lit(False)) & ~F.col(fields).eqNullSafe(F.col("_fields"))
+    after = both.select(*key, F.when(new, F.col("_fields")).otherwise(F.col(fields)).alias(fields), F.when(~new, F.col(reported)).alias(reported))
+    return after, refused

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_simple
+
 
 def insert_if_new(old: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Old rows untouched, and the first new row of each key that is not there."""
@@ -121,8 +123,40 @@ def lifecycle(events: DataFrame, key: Sequence[str], what: str, order: Sequence[
     return folded.select(*key, state.alias("state"))
 
 
-def located_over(old_source: Column, old: Column, new_marked: Column, new_bare: Column) -> Column:
-    """(regions, source): a marked name beats `bases` and `entity`; a bare mention beats only nothing and `bases`."""
+def without_echo(changes: DataFrame, field: str, moved: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Changes without those of `field` for keys in `moved`: a moved offer stage already says that the deadline moved."""
+    said = moved.select(*key).distinct().withColumn("field", F.lit(field))
+    return changes.join(said, [*key, "field"], "left_anti")
+
+
+def with_last_change(state: DataFrame, changes: DataFrame, key: Sequence[str], at: str, name: str = "last_change") -> DataFrame:
+    """State whose `name` is the latest of what it was and of its changes' times; keys without changes keep it."""
+    latest = changes.groupBy(*key).agg(F.max(at).alias("_latest"))
+    return state.join(latest, list(key), "left").withColumn(name, F.greatest(name, "_latest")).drop("_latest")
+
+
+def search_plan(configured: DataFrame, tracked: DataFrame, label: str, since: str, today: Column, days: int) -> DataFrame:
+    """(label, first day) of each search: labels configured or still tracked, joined by what they are without accents and case.
+
+    The window is the last `days`, stretched back to the oldest tracked one of the label. The configured spelling stays.
+    """
+    key = lambda df: df.withColumn("_key", normalize_simple(F.col(label)))
+    mine = key(configured).groupBy("_key").agg(F.min(label).alias("_mine"))
+    theirs = key(tracked).groupBy("_key").agg(F.min(label).alias("_theirs"), F.min(since).alias("_oldest"))
+    recent = F.date_sub(today, days)
+    return mine.join(theirs, "_key", "full_outer").select(F.coalesce("_mine", "_theirs").alias(label), F.least(recent, F.coalesce(F.col("_oldest").cast("date"), recent)).alias("first_day"))
+
+
+def located_over(old_source: Column, old: Column, new_marked: Column, new_bare: Column, doubted: Column | None = None) -> Column:
+    """(regions, source): a marked name beats `bases` and `entity`; a bare mention beats only nothing and `bases`.
+
+    doubted: the reading has warnings (another code, say). Then it may be of another work: it places nothing, and takes
+    back what earlier `bases` gave.
+    """
+    if doubted is not None:
+        sure = ~F.coalesce(doubted, F.lit(False))
+        kept = located_over(old_source, old, F.when(sure, new_marked), F.when(sure, new_bare))
+        return F.when(~sure & (old_source == "bases"), F.struct(F.slice(old, 1, 0).alias("regions"), F.lit("unknown").alias("source"))).otherwise(kept)
     has = lambda x: F.coalesce(F.size(x), F.lit(0)) > 0
     marked = has(new_marked) & F.coalesce(old_source.isin("bases", "entity", "unknown"), F.lit(True))
     bare = has(new_bare) & F.coalesce(old_source.isin("bases", "unknown"), F.lit(True))

@@ -45,6 +45,22 @@ class SearchReader(DataSourceReader):
             raise ValueError(f"{partition.first}..{partition.last}: {len(seen)} rows read, {partition.rows} stated")
 
 
+def document_list(shown: list, total: int, page) -> list:
+    """All documents of a tender, whose page shows the first ones and says how many there are; page(first) gives those from there on.
+
+    A portal may answer with the list of another tender that was paged before. So the first page is asked for again, and
+    must be what is shown, or the read fails; so it does when there are fewer or more documents than stated.
+    """
+    found = list(shown)
+    if len(found) < total and list(page(0)) != found:
+        raise ValueError("the list answered is another tender's")
+    while len(found) < total and (more := list(page(len(found)))):
+        found += more
+    if len(found) != total:
+        raise ValueError(f"{len(found)} documents read, {total} stated")
+    return found
+
+
 def search_source(name: str, backend, schema: str, key: str, day: str) -> type[DataSource]:
     """A data source class to register: spark.dataSource.register(search_source(...)); options first and last are days."""
 
