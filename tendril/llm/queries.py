@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_extract, license_scan, ngram_join, packing, quality_classifier, quality_rules, secret_scan, segmentation, url_filter
+from . import clustering, decontamination, fingerprints, html_extract, license_scan, manifest, ngram_join, oracles, packing, quality_classifier, quality_rules, secret_scan, segmentation, url_filter
 from .common import table
 
 
@@ -63,5 +63,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_fingerprints, op4_sentencepiece, op5_ngram_jaccard_join, op6_license_scan, op7_secret_scan, op8_quality_classifier, op9_url_filter, op10_html_extraction)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_fingerprints, op4_sentencepiece, op5_ngram_jaccard_join, op6_license_scan, op7_secret_scan, op8_quality_classifier, op9_url_filter, op10_html_extraction, op11_benchmark_decontamination, op12_merkle_manifest, op13_centroid_clustering)}
+ORACLE_SQL = oracles.ORACLE_SQL
