@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_CEILING, ROUND_FLOOR, ROUND_HALF_EVEN, Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 MONEY = "decimal(15,2)"
+MARKS = ".,'’´ "
+CENT, LARGEST = Decimal("0.01"), Decimal(10) ** 13
 
 
 def money(text: Column) -> Column:
@@ -13,11 +19,24 @@ def money(text: Column) -> Column:
 
     Marks: comma, point, space and three apostrophes. Null where nothing is left.
     """
-    bare = F.regexp_replace(text, r"[^0-9.,'’´ ]", "")
-    bare = F.trim(F.regexp_replace(bare, r"^[^0-9]+|[^0-9]+$", ""))
-    cents = F.regexp_extract(bare, r"[.,'’´ ]([0-9]{2})$", 1)
-    whole = F.when(cents != "", F.substring(bare, F.lit(1), F.length(bare) - 3)).otherwise(bare)
-    return _number(F.regexp_replace(whole, "[^0-9]", ""), cents)
+    bare = F.trim(F.regexp_replace(F.regexp_replace(text, r"[^0-9.,'’´ ]", ""), r"^[^0-9]+|[^0-9]+$", ""))
+
+    def value(b: Column) -> Column:
+        cents = F.regexp_extract(b, r"[.,'’´ ]([0-9]{2})$", 1)
+        return once(cents, lambda c: _number(F.regexp_replace(F.when(c != "", F.substring(b, F.lit(1), F.length(b) - 3)).otherwise(b), "[^0-9]", ""), c))
+
+    return once(bare, value)
+
+
+def read_money(written: str | None) -> Decimal | None:
+    """`money` of one text."""
+    bare = "".join(c for c in written or "" if c in "0123456789" or c in MARKS).strip(MARKS)
+    if not bare:
+        return None
+    parted = len(bare) > 2 and bare[-3] in MARKS and bare[-2:].isdigit()
+    digits = "".join(c for c in (bare[:-3] if parted else bare) if c.isdigit())
+    value = Decimal(f"{digits or 0}.{bare[-2:] if parted else '00'}")
+    return value if value < LARGEST else None
 
 
 def _number(whole: Column, cents: Column) -> Column:
@@ -46,6 +65,16 @@ def upper_limit(amount: Column) -> Column:
     return F.floor(amount * F.lit("1.10").cast("decimal(3,2)"), F.lit(2)).cast(MONEY)
 
 
+def limits_of(amount: Decimal) -> tuple[Decimal, Decimal]:
+    """Lower and upper limit of one amount."""
+    return (amount * 95 / 100).quantize(CENT, ROUND_CEILING), (amount * 110 / 100).quantize(CENT, ROUND_FLOOR)
+
+
+def rounded(value: Decimal, places: str = "0.01") -> Decimal:
+    """Half to even."""
+    return value.quantize(Decimal(places), ROUND_HALF_EVEN)
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole at three places, half to even."""
     return F.bround(part.cast("decimal(38,10)") / whole.cast("decimal(20,2)"), 3)

@@ -6,11 +6,6 @@ Layout text keeps columns by position; a table written a row a line keeps them b
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Heads of the columns, and what an amount looks like.
 LOWER, UPPER = r"L[IÍ]MITE\s+INFERIOR", r"L[IÍ]MITE\s+SUPERIOR"
@@ -76,12 +71,3 @@ def limits(block: str | None) -> dict[str, str] | None:
             found = {} if taxed else by_cell(line, below)
             return {name: None for name in FIELDS} | (found or by_column(lines, k))
     return None
-
-
-_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in FIELDS])
-
-
-@F.pandas_udf(_SCHEMA)
-def limits_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for blocks in batches:
-        yield pd.DataFrame([limits(b) or dict.fromkeys(FIELDS) for b in blocks], columns=list(FIELDS))
