@@ -6,6 +6,11 @@ token combinations with a label; rules under the support or the confidence go, a
 whose confidence is no more than MIN_LIFT times what the label has anyway, and those that a shorter one with the same
 verdict and no less confidence covers. `held_out` measures the rules on labelled URLs that they were not mined from.
 
+FP-growth lists every combination of the frequent tokens of a URL, 2^n for n of them, so the URLs are folded first: tokens
+that stand in the same labelled URLs (equal counts and equal sums of two hashes of the rows) are one item, of which a rule
+needs but one; afterwards each of them takes its place. Where a folded URL still has over FOLDED items, combinations are
+counted level by level instead, which stops at LONGEST: the same rules, in time that grows with n^LONGEST at most.
+
 Matching uses an inverted index of the rules: a rule is filed under its rarest token, found through that token, and then
 its other tokens are looked for. Only tokens that some rule has matter, so URLs are first reduced to those: each
 different reduced set is matched once, however many URLs share it. A URL has a bounded number of kinds of tokens and at
@@ -19,6 +24,7 @@ mined rules. Other columns are not read but for `carry`, where host, path, rule,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -34,6 +40,8 @@ MIN_CONFIDENCE = 0.8
 MIN_COUNT = 5
 DEFAULT = "allow"
 LONGEST, MIN_LIFT = 4, 1.05
+#: Items of a folded URL up to which FP-growth lists all combinations.
+FOLDED = 14
 
 # Fixed values: (verdict, host, path).
 RULES = (
@@ -71,26 +79,81 @@ def tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(suffixes, words, places, keys, single)))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT, longest: int = LONGEST, min_lift: float = MIN_LIFT) -> DataFrame:
+def folded(items: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (items, label) reduced to frequent tokens, one for those that always stand together, and stored (item, tokens): what each stands for.
+
+    items: (items, label) with the tokens of each labelled URL. There are no more frequent tokens than kinds/support.
+    """
+    row = items.select("label", "items", F.monotonically_increasing_id().alias("row"))
+    single = row.select(F.explode("items").alias("token"), F.xxhash64("row").cast("decimal(38,0)").alias("a"), F.xxhash64("row", F.lit(1)).cast("decimal(38,0)").alias("b"))
+    frequent = single.groupBy("token").agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).filter(F.col("n") >= least)
+    groups = stored(frequent.groupBy("n", "a", "b").agg(F.array_sort(F.collect_list("token")).alias("tokens")).select(F.get("tokens", F.lit(0)).alias("item"), "tokens"), "url-groups")
+    kept = [r["item"] for r in groups.select("item").orderBy("item").collect()]
+    wanted = F.array(*map(F.lit, kept)) if kept else F.array().cast("array<string>")
+    return stored(row.select("label", F.array_intersect("items", wanted).alias("items")), "url-folded"), groups
+
+
+def grown(rows: DataFrame, least: int, total: int) -> DataFrame:
+    """(antecedent, verdict, n, all): combinations of items with a label by FP-growth; n rows have both, `all` the items."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labelled = rows.select(F.concat("items", F.array(F.concat(F.lit("="), F.col("label")))).alias("items"))
+    # the smallest support whose rounded-up count is `least`
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=0.0, numPartitions=partitions).fit(labelled)
+    sets = stored(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
+    labels = F.filter("items", lambda x: x.startswith("="))
+    bare = F.filter("items", lambda x: ~x.startswith("="))
+    both = sets.filter(F.size(labels) == 1).select(bare.alias("antecedent"), F.substring(F.get(labels, F.lit(0)), 2, 9).alias("verdict"), F.col("freq").alias("n"))
+    alone = sets.filter(F.size(labels) == 0).select(F.col("items").alias("antecedent"), F.col("freq").alias("all"))
+    return both.join(alone, "antecedent")
+
+
+def counted(rows: DataFrame, least: int, longest: int) -> DataFrame:
+    """As `grown` for combinations of up to `longest` items, level by level: each level extends the frequent combinations of the last by later items of the same URL."""
+    distinct = stored(rows.groupBy(F.array_sort("items").alias("items")).agg(F.count_if(F.col("label") == "allow").alias("allow"), F.count_if(F.col("label") == "block").alias("block")), "url-distinct")
+    level = distinct.select("items", "allow", "block", F.array().cast("array<string>").alias("antecedent"), F.lit(0).alias("next"))
+    found: DataFrame | None = None
+    for _ in range(longest):
+        later = F.filter(F.sequence(F.lit(0), F.size("items")), lambda i: (i >= F.col("next")) & (i < F.size("items")))
+        wider = level.select("items", "allow", "block", "antecedent", F.explode(later).alias("i"))
+        wider = wider.select("items", "allow", "block", F.concat("antecedent", F.array(F.get("items", F.col("i")))).alias("antecedent"), (F.col("i") + 1).alias("next"))
+        sums = stored(wider.groupBy("antecedent").agg(F.sum("allow").alias("n_allow"), F.sum("block").alias("n_block")).filter(F.greatest("n_allow", "n_block") >= least), "url-level")
+        level = wider.join(sums.select("antecedent"), "antecedent", "left_semi")
+        both = F.array(*(F.struct(F.lit(v).alias("verdict"), F.col(f"n_{v}").alias("n")) for v in ("allow", "block")))
+        each = sums.select("antecedent", F.explode(both).alias("v"), (F.col("n_allow") + F.col("n_block")).alias("all")).select("antecedent", "v.verdict", "v.n", "all").filter(F.col("n") >= least)
+        found = each if found is None else found.unionByName(each)
+    return found
+
+
+def unfolded(rules: DataFrame, groups: DataFrame, longest: int) -> DataFrame:
+    """Each rule once for every choice of one token for each of its items."""
+    choice = groups.select("item", F.explode("tokens").alias("token"))
+    for k in range(longest):
+        chosen = rules.withColumn("item", F.get("antecedent", F.lit(k))).join(choice, "item", "left").withColumn("at", F.lit(k))
+        rules = chosen.withColumn("antecedent", F.transform("antecedent", lambda x, i: F.when(i == F.col("at"), F.col("token")).otherwise(x))).drop("item", "token", "at")
+    return rules
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT, longest: int = LONGEST, min_lift: float = MIN_LIFT, most_folded: int = FOLDED) -> DataFrame:
     """Rules (rule_id, antecedent, verdict, confidence, support) from labelled URLs (url, label). Stored."""
     spark = labelled.sparkSession
-    items = labelled.filter(F.col("label").isin("allow", "block") & F.col("url").isNotNull()).select(F.concat(tokens(F.col("url")), F.array(F.concat(F.lit("="), F.col("label")))).alias("items"))
+    items = labelled.filter(F.col("label").isin("allow", "block") & F.col("url").isNotNull()).select("label", tokens(F.col("url")).alias("items"))
     items = stored(items, "url-items")
-    schema = "antecedent array<string>, verdict string, confidence double, support double"
-    labels_given = items.count()
-    if not labels_given:
-        return stored(spark.createDataFrame([], "rule_id long, " + schema), "url-rules")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    mined = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / labels_given)), minConfidence=min_confidence, numPartitions=partitions).fit(items).associationRules
-    labels = F.array(F.lit("=allow"), F.lit("=block"))
-    mined = mined.filter(F.arrays_overlap("consequent", labels) & ~F.arrays_overlap("antecedent", labels))
-    mined = mined.filter((F.size("antecedent") <= longest) & (F.col("lift") >= min_lift))
-    mined = stored(mined.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.get("consequent", F.lit(0)), 2, 9).alias("verdict"), "confidence", "support"), "url-mined")
+    labels = {r["label"]: r["n"] for r in items.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    total = sum(labels.values())
+    if not total:
+        return stored(spark.createDataFrame([], "rule_id long, antecedent array<string>, verdict string, confidence double, support double"), "url-rules")
+    least = max(min_count, math.ceil(min_support * total - 1e-9))
+    rows, groups = folded(items, least)
+    width = rows.agg(F.max(F.size("items"))).first()[0]
+    mined = grown(rows, least, total) if width <= most_folded else counted(rows, least, longest)
+    share = F.when(F.col("verdict") == "allow", labels.get("allow", 0) / total).otherwise(labels.get("block", 0) / total)
+    mined = mined.filter((F.size("antecedent") > 0) & (F.size("antecedent") <= longest)).select("antecedent", "verdict", (F.col("n") / F.col("all")).alias("confidence"), (F.col("n") / total).alias("support"))
+    mined = stored(mined.filter((F.col("confidence") >= min_confidence) & (F.col("confidence") / share >= min_lift)), "url-mined")
     # a rule is covered by one with one token fewer, or by what covers that one
-    shorter = mined.select(F.col("antecedent").alias("part"), "verdict", F.col("confidence").alias("enough"))
-    parts = mined.select("antecedent", "verdict", "confidence", F.explode(F.transform("antecedent", lambda x: F.array_except("antecedent", F.array(x)))).alias("part"))
+    shorter = mined.select(F.array_sort("antecedent").alias("part"), "verdict", F.col("confidence").alias("enough"))
+    parts = mined.select("antecedent", "verdict", "confidence", F.explode(F.transform("antecedent", lambda x: F.array_sort(F.array_except("antecedent", F.array(x))))).alias("part"))
     covered = parts.join(shorter, ["part", "verdict"]).filter("enough >= confidence").select("antecedent", "verdict").distinct()
-    left = mined.join(covered, ["antecedent", "verdict"], "left_anti")
+    left = unfolded(mined.join(covered, ["antecedent", "verdict"], "left_anti"), groups, longest).withColumn("antecedent", F.array_sort("antecedent"))
     return stored(left.select(F.xxhash64("antecedent", "verdict").alias("rule_id"), "antecedent", "verdict", "confidence", "support"), "url-rules")
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,37 @@ def test_mined_rules_as_brute_force(spark):
             assert ((tokens, verdict) in kept) != covered
 
 
+def rules_of(spark, rows, **how):
+    found = U.mine(spark.createDataFrame(rows, "url string, label string"), **how).collect()
+    return sorted((tuple(r["antecedent"]), r["verdict"], round(r["confidence"], 12), round(r["support"], 12)) for r in found)
+
+
+def test_level_by_level_gives_the_rules_of_fp_growth(spark):
+    rows = labelled()
+    grown = rules_of(spark, rows, min_support=0.05)
+    assert grown and grown == rules_of(spark, rows, min_support=0.05, most_folded=-1)
+
+
+def test_tokens_that_stand_together_stand_for_each_other(spark):
+    """Hosts and the segments that only they have are one item each; rules name every one of their tokens."""
+    rows = [(f"https://a.org/x/y/{k}", "block") for k in range(30)] + [(f"https://b.org/x/z/{k}", "allow") for k in range(30)]
+    found = {r[0] for r in rules_of(spark, rows)}
+    assert {("host:a.org",), ("word:a",), ("path1:y",), ("host:b.org",), ("path1:z",)} <= found
+    assert all(len(r) == 1 for r in found)
+
+
+@pytest.mark.parametrize("holes", [False, True])
+def test_many_shared_tokens_end_soon(spark, holes):
+    """URLs of 25 shared tokens: always together, or each missing somewhere, so that nothing folds."""
+    draw = random.Random(2)
+    path = lambda: "/".join(f"s{i}" if not holes or draw.random() > 0.03 else f"o{draw.randrange(5)}" for i in range(22))
+    rows = [(f"https://a.org/{path()}/{k}", "block") for k in range(300)] + [(f"https://b.com/q/{k}", "allow") for k in range(100)]
+    began = time.monotonic()
+    found = rules_of(spark, rows)
+    assert time.monotonic() - began < (60 if holes else 20)
+    assert {("host:a.org",), ("word:a",)} <= {r[0] for r in found}
+
+
 def test_index_matches_as_brute_force(spark):
     rows = labelled()
     rules = U.mine(spark.createDataFrame(rows, "url string, label string"), min_support=0.05)
