@@ -95,6 +95,73 @@ def test_search_source(spark):
         list(liar.read(liar.partitions()[0]))
 
 
+class Form(Backend):
+    """A search with two selects; it keeps a note of every question."""
+
+    OPTIONS = {"f:depto": {"": "[Todos]", "14": "LA LIBERTAD", "02": "ÁNCASH"}, "f:objeto": {"": "[Todos]", "64": "Obra", "63": "Consultoría de Obra"}}
+
+    def __init__(self, per_day):
+        super().__init__(per_day)
+        self.asked = []
+        for r in self.rows:
+            r |= {"region": ("14", "02")[r["nid"] % 2], "object": ("64", "63")[r["nid"] % 3 == 0]}
+
+    def choices(self):
+        return self.OPTIONS
+
+    def between(self, a, b, chosen=None):
+        codes = {k.replace("f:depto", "region").replace("f:objeto", "object"): v for k, v in (chosen or {}).items()}
+        return [r for r in super().between(a, b) if all(r[k] == v for k, v in codes.items())]
+
+    def count(self, a, b, chosen=None):
+        self.asked.append((a, b, chosen))
+        return len(self.between(a, b, chosen))
+
+    def page(self, a, b, number, chosen=None):
+        return [{"nid": r["nid"], "day": r["day"], "note": f"n{r['nid'] % 5}"} for r in self.between(a, b, chosen)][15 * number : 15 * number + 15]
+
+
+SELECTS = {"region": "f:depto", "object": "f:objeto"}
+
+
+def test_filters_are_asked_of_the_form(spark):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNotNull, LessThanOrEqual
+
+    make = lambda **chosen: portal.FormReader(Form(60), date(2025, 1, 1), date(2025, 1, 31), ["nid", "day", "region", "object"], "nid", "day", SELECTS, chosen)
+    reader = make()
+    left = [IsNotNull(("region",)), In(("object",), ("Obra", "x")), EqualTo(("note",), "n1"), EqualTo(("region",), "Ancash")]
+    asked = [EqualTo(("region",), "la libertad"), GreaterThan(("day",), date(2025, 1, 4)), LessThanOrEqual(("day",), date(2025, 1, 6))]
+    assert list(reader.pushFilters([left[0], asked[0], left[1], asked[1], left[2], asked[2], left[3]])) == left
+    assert (reader.first, reader.last, reader.codes) == (date(2025, 1, 5), date(2025, 1, 6), {"f:depto": "14"})
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert len(rows) == 60 and {r[2] for r in rows} == {"la libertad"} and {r[1].day for r in rows} == {5, 6}
+    assert all(c == {"f:depto": "14"} and a >= date(2025, 1, 5) for a, b, c in reader.backend.asked)
+    whole = make()
+    assert sum(-(-p.rows // portal.PAGE_ROWS) for p in reader.partitions()) * 15 < sum(-(-p.rows // portal.PAGE_ROWS) for p in whole.partitions())
+    with pytest.raises(ValueError, match="LA LIBERTAD, ÁNCASH"):
+        list(make().pushFilters([EqualTo(("region",), "Libertad")]))
+    assert make(object="consultoria de obra").codes == {"f:objeto": "63"}
+    empty = make()
+    assert list(empty.pushFilters([GreaterThan(("day",), date(2025, 2, 1))])) == [] and empty.partitions() == []
+
+
+def test_spark_pushes_filters_into_the_search(spark):
+    spark.dataSource.register(portal.search_source("search_form", Form(60), "nid int, day date, region string, object string, note string", "nid", "day", SELECTS))
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = spark.read.format("search_form").option("first", "2025-01-01").option("last", "2025-01-31").option("object", "obra").load()
+        wanted = df.filter("region = 'La Libertad' and day >= '2025-01-03' and day < '2025-01-06' and note in ('n1', 'n2')")
+        plan = wanted._jdf.queryExecution().executedPlan().toString()
+        assert "Filter" in plan and "note" in plan  # what the form cannot ask stays with Spark
+        rows = wanted.collect()
+        expected = [n for n in range(120, 300) if n % 2 == 0 and n % 3 and n % 5 in (1, 2)]
+        assert sorted(r["nid"] for r in rows) == expected and {(r["region"], r["object"]) for r in rows} == {("La Libertad", "obra")}
+        assert df.filter("day > '2026-01-01'").count() == 0
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
+
+
 def test_halving_covers_every_day_once():
     found = ranges.halved(date(2025, 1, 1), date(2025, 3, 1), lambda a, b: ((b - a).days + 1) * 10, 50)
     assert found[0][0] == date(2025, 1, 1) and found[-1][1] == date(2025, 3, 1)
