@@ -4,8 +4,9 @@ Lines are described by counts taken over whole Arrow batches at once; Viterbi de
 document; the share of word characters on content lines decides whether the document is kept.
 
 The field is fitted on a bounded sample of the labelled documents in the input (`FIT_DOCS` of each quality label, those
-with the smallest hash of their id, cut into windows of `FIT_LINES` lines, all of them used). It is blended with `DEFAULT`
-by the number of documents of the scarcer label (`PRIOR_DOCS`). Labels belong to documents, so the lines of bad
+with the smallest hash of their id, cut into windows of `FIT_LINES` lines over their whole texts, of which `FIT_WINDOWS` of
+each label are drawn by hash; that bounds what comes to the driver, however long the texts). It is blended with `DEFAULT` by
+the number of documents of the scarcer label (`PRIOR_DOCS`). Labels belong to documents, so the lines of bad
 documents are labelled in two steps: a logistic model of single lines, then the field on what that model says.
 
 Defined cases: a null or empty text has no words and fails the base rules; lines without a word are in no sequence;
@@ -26,6 +27,8 @@ from .common import map_columns, mix
 
 FIT_DOCS = 1500
 FIT_LINES = 48
+#: Windows of each label that the field learns from at most, and so what comes to the driver: 15 MB.
+FIT_WINDOWS = 8000
 #: As many documents of the scarcer label weigh as much as DEFAULT.
 PRIOR_DOCS = 100
 MIN_WORDS = 50
@@ -255,8 +258,8 @@ def blended(field: Field, n_scarcer: int) -> Field:
     return Field(tuple(map(mean, field.weights, DEFAULT.weights)), mean(field.stay_content, DEFAULT.stay_content), mean(field.stay_other, DEFAULT.stay_other))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_lines: int = FIT_LINES) -> Field:
-    """Fit on labelled documents that `docs` has: `fit_docs` of each label at most, and all windows of their texts."""
+def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_lines: int = FIT_LINES, fit_windows: int = FIT_WINDOWS) -> Field:
+    """Fit on labelled documents that `docs` has: `fit_docs` of each label at most, and of the windows of their whole texts `fit_windows` of each label, drawn by hash."""
     labelled = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     present = labelled.join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = None
@@ -265,21 +268,24 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_lines:
         chosen = part if chosen is None else chosen.union(part)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
-    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         lines = read_lines(batch.column(0).to_pylist())
         bounds = np.searchsorted(lines.doc, np.arange(lines.n_docs + 1))
-        found = [lines.features[a:b].astype("<f4").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["quality", "lines"])
-
-    rows = map_columns(sample, ["text", "quality"], whole, "quality int, lines binary").collect()
-    windows, good, n_docs = [], [], [0, 0]
-    for r in sorted(rows, key=lambda r: (r["quality"], bytes(r["lines"]))):
-        lines = np.frombuffer(r["lines"], "<f4").reshape(-1, len(FEATURES)).astype(float)
-        n_docs[r["quality"]] += len(lines) > 0
-        for at in range(0, len(lines), fit_lines):
-            windows.append(lines[at : at + fit_lines])
-            good.append(r["quality"] == 1)
-    return blended(fit_field(windows, good), min(n_docs))
+        every = [(d, k) for d in range(lines.n_docs) for k in range(int(bounds[d]), int(bounds[d + 1]), fit_lines)]
+        own = batch.take(pa.array([d for d, _ in every], pa.int64()))
+        windows = [lines.features[k : min(k + fit_lines, int(bounds[d + 1]))].astype("<f4").tobytes() for d, k in every]
+        return pa.RecordBatch.from_arrays([own.column(1), own.column(2), pa.array([k - int(bounds[d]) for d, k in every], pa.int64()), pa.array(windows, pa.binary())], names=["quality", "doc_id", "at", "lines"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    every = map_columns(sample, ["text", "quality", "doc_id"], cut, f"quality int, doc_id {kind}, at long, lines binary")
+    n_docs = {r["quality"]: r["n"] for r in every.filter("at = 0").groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    windows, good = [], []
+    for value in (0, 1):
+        drawn = every.filter(F.col("quality") == value).orderBy(F.xxhash64("doc_id", "at"), "lines").limit(fit_windows)
+        for r in drawn.select("lines").collect():
+            windows.append(np.frombuffer(r["lines"], "<f4").reshape(-1, len(FEATURES)).astype(float))
+            good.append(value == 1)
+    return blended(fit_field(windows, good), min(n_docs.get(0, 0), n_docs.get(1, 0)))
 
 
 # --- judging ----------------------------------------------------------------------------------------------------

@@ -102,6 +102,18 @@ def test_all_windows_of_a_sampled_text_teach(spark, monkeypatch):
     assert sum(map(len, windows)) == 117
 
 
+def test_a_very_long_labelled_text_gives_a_bounded_sample(spark, monkeypatch):
+    """Windows are drawn over all of a text, not from its beginning, and only the drawn ones come to the driver."""
+    seen = []
+    monkeypatch.setattr(R, "fit_field", lambda windows, good: seen.append((windows, good)) or R.DEFAULT)
+    long = "\n".join("w " * (1 + k // 4800) for k in range(48_000))  # longer lines further on
+    docs = spark.createDataFrame([(1, long), (2, made(2, 96, True))], "doc_id long, text string")
+    R.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"), fit_windows=100)
+    windows, good = seen[0]
+    assert (len(windows), sum(good)) == (102, 100)
+    assert len({tuple(w[0]) for w, g in zip(windows, good, strict=True) if g}) >= 8
+
+
 def test_few_rows_move_the_field_a_little():
     fitted = R.Field((9.0,) * len(R.FEATURES), 4.0, 4.0)
     assert R.blended(fitted, 0) == R.DEFAULT
