@@ -6,7 +6,9 @@ set of at most SMALL hashes is kept whole, so two short texts compare exactly; a
 hashes below the threshold. What is lost: of n shingles none is below it with chance (1 - 1/SCALE)^n (a third for 4, a
 tenth for 8, 1 % for 16), and then a short text looks foreign to every long one.
 
-A fingerprint is the sketch written as text: the kept hashes in ascending order, 16 hexadecimal digits each, joined.
+A fingerprint is the sketch written as text: the kept hashes in ascending order, 16 hexadecimal digits each, joined; a
+`=` before them says that the set is whole. A longer set without a hash below the threshold keeps its smallest one, so that
+equal texts look equal; with anything else it has nothing in common.
 
 Defined cases: a null or empty text, or one without words, has the empty fingerprint; two empty fingerprints are alike
 (1), an empty and another are not (0); repeated rows each have their place in the order of doc_id (ties by text);
@@ -35,65 +37,74 @@ SMALL = 32
 RANGE_ROWS, MOST_RANGES = 4000, 50_000
 
 
-def sketch(shingles: np.ndarray, scale: int = SCALE) -> np.ndarray:
+@dataclass(frozen=True)
+class Sketch:
+    """Kept hashes, sorted; whole: they are the whole set."""
+
+    kept: np.ndarray
+    whole: bool
+
+
+def sketch(shingles: np.ndarray, scale: int = SCALE) -> Sketch:
     """Of sorted hashes all, if they are few, or else those below the threshold (the smallest one if there is none)."""
-    return shingles if len(shingles) <= SMALL else below(shingles, scale) if shingles[0] < 2**64 // scale else shingles[:1]
+    if len(shingles) <= SMALL:
+        return Sketch(shingles, True)
+    low = below(shingles, scale)
+    return Sketch(low if len(low) else shingles[:1], False)
 
 
 def below(kept: np.ndarray, scale: int = SCALE) -> np.ndarray:
     return kept[: np.searchsorted(kept, np.uint64(2**64 // scale))]
 
 
-def whole(kept: np.ndarray, scale: int = SCALE) -> bool:
-    """Whether a sketch shows that it is the whole set: it has a hash above the threshold."""
-    return len(kept) > 0 and bool(kept[-1] >= np.uint64(2**64 // scale))
+def alike(a: Sketch, b: Sketch, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of two sketches cut to what both speak of."""
+    return (a.kept, b.kept) if a.whole == b.whole else (below(a.kept, scale), below(b.kept, scale))
 
 
-def alike(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray]:
-    """Two sketches cut to what both speak of."""
-    return (a, b) if whole(a, scale) == whole(b, scale) else (below(a, scale), below(b, scale))
+def fingerprint(of: Sketch) -> str:
+    return ("=" if of.whole and len(of.kept) else "") + of.kept.astype(">u8").tobytes().hex()
 
 
-def fingerprint(kept: np.ndarray) -> str:
-    return kept.astype(">u8").tobytes().hex()
+def parsed(text: str) -> Sketch:
+    return Sketch(np.frombuffer(bytes.fromhex(text.removeprefix("=")), ">u8").astype(np.uint64), text.startswith("=") or not text)
 
 
-def parsed(text: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(text), ">u8").astype(np.uint64)
-
-
-def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
+def merge(a: Sketch, b: Sketch, scale: int = SCALE) -> Sketch:
     """The sketch of the union of two sets."""
-    if not len(a) or not len(b):
-        return a if len(a) else b
-    return sketch(np.union1d(*alike(a, b, scale)), scale)
+    if not len(a.kept) or not len(b.kept):
+        return a if len(a.kept) else b
+    if a.whole and b.whole:
+        return sketch(np.union1d(a.kept, b.kept), scale)
+    low = below(np.union1d(a.kept, b.kept), scale)
+    return Sketch(low if len(low) else np.minimum(a.kept[:1], b.kept[:1]), False)
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, assume_unique=True))
 
 
-def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
+def containment(a: Sketch, b: Sketch, scale: int = SCALE) -> float:
     """Estimated share of a's set that is in b's."""
-    if not len(a) or not len(b):
-        return float(not len(a) and not len(b))
-    a, b = alike(a, b, scale)
-    return common(a, b) / len(a) if len(a) else 0.0
+    if not len(a.kept) or not len(b.kept):
+        return float(not len(a.kept) and not len(b.kept))
+    own, other = alike(a, b, scale)
+    return common(own, other) / len(own) if len(own) else 0.0
 
 
-def likeness(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
+def likeness(a: Sketch, b: Sketch, scale: int = SCALE) -> float:
     """Estimated containment of the smaller set in the larger, 0 to 1."""
-    cut = alike(a, b, scale)
-    return containment(*((a, b) if len(cut[0]) <= len(cut[1]) else (b, a)), scale)
+    own, other = alike(a, b, scale)
+    return containment(*((a, b) if len(own) <= len(other) else (b, a)), scale)
 
 
-def resemblance(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
+def resemblance(a: Sketch, b: Sketch, scale: int = SCALE) -> float:
     """Estimated Jaccard similarity, 0 to 1."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    a, b = alike(a, b, scale)
-    both = common(a, b)
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
+    if not len(a.kept) or not len(b.kept):
+        return float(len(a.kept) == len(b.kept))
+    own, other = alike(a, b, scale)
+    both = common(own, other)
+    return both / (len(own) + len(other) - both) if len(own) + len(other) else 0.0
 
 
 def in_ranges(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -126,7 +137,7 @@ def in_ranges(docs: DataFrame) -> tuple[DataFrame, int]:
 class _Read:
     doc_id: int | None
     text: str
-    kept: np.ndarray
+    kept: Sketch
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, jaccard_edited double, jaccard_next double"

@@ -75,13 +75,27 @@ def test_merge_is_the_sketch_of_the_union():
     draw = np.random.default_rng(2)
     for n, m in ((1, 1), (1, 50), (3, 400), (500, 500)):
         a, b = (np.unique(draw.integers(0, 2**64, k, dtype=np.uint64)) for k in (n, m))
-        assert P.merge(P.sketch(a), P.sketch(b)).tolist() == P.sketch(np.union1d(a, b)).tolist()
+        found, expected = P.merge(P.sketch(a), P.sketch(b)), P.sketch(np.union1d(a, b))
+        assert (found.kept.tolist(), found.whole) == (expected.kept.tolist(), expected.whole)
+
+
+def test_long_sets_without_a_hash_below_the_threshold():
+    """Forty hashes, all above: not taken for a whole set, equal only to itself, and merged as it should be."""
+    draw = np.random.default_rng(6)
+    high = np.unique(draw.integers(2**62, 2**64, 40, dtype=np.uint64))
+    few = np.unique(np.concatenate([high[:1], draw.integers(2**62, 2**64, 9, dtype=np.uint64)]))
+    a, b = P.sketch(high), P.sketch(few)
+    assert not a.whole and b.whole
+    assert (P.likeness(a, a), P.likeness(a, b), P.containment(b, a)) == (1.0, 0.0, 0.0)  # one hash in common; nothing to see of it
+    assert not P.parsed(P.fingerprint(a)).whole and P.parsed(P.fingerprint(b)).whole
+    assert P.merge(a, b).kept.tolist() == P.sketch(np.union1d(high, few)).kept.tolist() and not P.merge(a, b).whole
 
 
 def test_written_and_read_back():
     kept = P.sketch(shingle_set("one two three four five six seven eight nine ten"))
-    assert P.parsed(P.fingerprint(kept)).tolist() == kept.tolist()
-    assert len(P.parsed("")) == 0
+    again = P.parsed(P.fingerprint(kept))
+    assert (again.kept.tolist(), again.whole) == (kept.kept.tolist(), True)
+    assert len(P.parsed("").kept) == 0 and P.fingerprint(P.parsed("")) == ""
 
 
 def test_nulls_repeats_and_empty(spark):
