@@ -193,6 +193,46 @@ def page_ranges(numbers: Column) -> Column:
     return once(numbers, ranges)
 
 
+def without_running_lines(text: Column, depth: int = 3, share: float = 0.5, least: int = 3) -> Column:
+    """Pages without what runs through a document: lines at the top or foot of pages that come again on a share of them.
+
+    A line's form is its text without case, accents and white space, digits alike. A form runs if it stands among the
+    first or last `depth` lines with text on `share` of the pages, `least` at least; from each edge of a page, running and
+    empty lines go until another line comes. What stands beside a text, right of a gap of four spaces, on one of those lines
+    has a form too and goes by the same rule, the text staying. Documents with fewer pages keep all.
+
+    The forms of all pages are sorted once and folded, so a document of n pages takes n log n steps; at most
+    4 * depth / share forms can run.
+    """
+    gap = r"\S( {4,}\S.*)$"
+    form = lambda line: F.regexp_replace(F.regexp_replace(plain(line), r"\s+", ""), "[0-9]+", "#")
+    beside = lambda line: F.regexp_extract(line, gap, 1)
+    solid = lambda lines: F.filter(lines, lambda x: F.trim(x) != "")
+    edges = lambda lines: once(solid(lines), lambda s: F.concat(F.slice(s, 1, depth), F.slice(F.reverse(s), 1, depth)))
+    forms = lambda lines: F.array_distinct(F.filter(F.flatten(F.transform(edges(lines), lambda x: F.array(form(x), form(beside(x))))), lambda f: f != ""))
+
+    def running(paged: Column, need: Column) -> Column:
+        start = F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+
+        def step(acc: Column, f: Column) -> Column:
+            n = F.when(f == acc["last"], acc["n"] + 1).otherwise(1)
+            return once(n, lambda k: F.struct(f.alias("last"), k.alias("n"), F.when(k == need, F.concat(acc["out"], F.array(f))).otherwise(acc["out"]).alias("out")))
+
+        return F.aggregate(F.array_sort(F.flatten(F.transform(paged, forms))), start, step)["out"]
+
+    def cleaned(paged: Column, out: Column) -> Column:
+        goes = lambda line: (F.trim(line) == "") | F.array_contains(out, form(line))
+        ahead = lambda lines: F.coalesce(F.nullif(F.array_position(F.transform(lines, lambda x: ~goes(x)), True), F.lit(0)) - 1, F.size(lines).cast("long")).cast("int")
+        trimmed = lambda lines: once(F.slice(lines, ahead(lines) + 1, F.size(lines)), lambda rest: F.slice(rest, F.lit(1), F.size(rest) - ahead(F.reverse(rest))))
+        cut = lambda line: F.when(F.array_contains(out, form(beside(line))), F.substring(line, F.lit(1), F.length(line) - F.length(beside(line)))).otherwise(line)
+        at_edge = lambda lines: F.transform(lines, lambda x, i: F.when((i < depth) | (i >= F.size(lines) - depth), cut(x)).otherwise(x))
+        return F.array_join(F.transform(paged, lambda lines: F.array_join(once(trimmed(lines), at_edge), "\n")), FEED)
+
+    paged = F.transform(pages(text), lambda p: F.split(p, "\n"))
+    need = lambda p: F.greatest(F.lit(least), F.ceil(F.size(p) * share).cast("int"))
+    return F.when(F.size(pages(text)) < least, text).otherwise(once(paged, lambda p: once(running(p, need(p)), lambda out: cleaned(p, out))))
+
+
 def marked_pages(text: Column, most: int = 45_000) -> Column:
     """Each page under its number, cut to a length."""
     return F.substring(F.array_join(F.transform(pages(text), lambda p, i: F.concat(F.lit("[p. "), (i + 1).cast("string"), F.lit("]\n"), p)), "\n"), 1, most)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import plain
+from ..functions.text import once, plain
 
 
 def like_any(text: Column, patterns: Sequence[str]) -> Column:
@@ -79,8 +79,10 @@ def named(words: Column, names: Sequence[tuple[str, str]] = FACTORS, otherwise:
 
 
 def first_object(text: Column) -> Column:
-    """The first {...} of a text that is an object in JSON with flat braces, null if there is none."""
-    return F.get(F.filter(F.regexp_extract_all(text, F.lit(r"\{[^{}]*\}"), F.lit(0)), lambda x: F.try_parse_json(x).isNotNull()), F.lit(0))
+    """The JSON object within other words: from the first brace to the last, null where that is no object."""
+    # within brackets, since the parser stops at the end of the first value
+    whole = lambda found: F.try_parse_json(F.concat(F.lit("["), found, F.lit("]"))).isNotNull()
+    return once(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")), lambda found: F.when(whole(found), found))
 
 
 def jsonp(text: Column) -> Column:

@@ -41,10 +41,10 @@ def null_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A path of a JSON column, an object within other text, and a JSONP answer."""
+    """A path of a JSON column, a nested object within other words (one in nine is broken), and a JSONP answer."""
     events = table(spark, sf_dir, "events")
-    said = F.concat(F.lit("Aquí {no es} está: "), F.col("props"), F.lit(" y más {}"))
-    return events.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object(lookups.first_object(said), "$.k").alias("within"), F.get_json_object(lookups.jsonp(F.concat(F.lit("cb_1("), F.col("props"), F.lit(");"))), "$.k").alias("answered"), F.array(F.col("event_type")).alias("as_array"))
+    said = F.concat(F.lit("Aquí está:\n{\"a\": {\"b\": ["), F.col("props"), F.lit("]}"), F.when(F.col("event_id") % 9 > 0, "}").otherwise(""), F.lit(" y más"))
+    return events.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object(lookups.first_object(said), "$.a.b[0].k").alias("within"), F.get_json_object(lookups.jsonp(F.concat(F.lit("cb_1("), F.col("props"), F.lit(");"))), "$.k").alias("answered"), F.array(F.col("event_type")).alias("as_array"))
 
 
 def docx_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +166,7 @@ ORACLE_SQL = {
           array_to_string(list_sort(list(DISTINCT CASE l_returnflag WHEN 'R' THEN 'Bases Íntegradas' WHEN 'A' THEN 'BÁSES' ELSE 'Acta' END)), ',') AS kinds FROM lineitem GROUP BY 1""",
     "null_gates": """
         SELECT o_orderkey, count(l_orderkey) = 0 AS no_document FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 HAVING min(CASE WHEN l_returnflag <> 'N' THEN l_shipdate END) IS NULL""",
-    "json_paths": "SELECT event_id, props->>'$.k' AS k, props->>'$.k' AS within, props->>'$.k' AS answered, [event_type] AS as_array FROM events",
+    "json_paths": "SELECT event_id, props->>'$.k' AS k, CASE WHEN event_id % 9 > 0 THEN props->>'$.k' END AS within, props->>'$.k' AS answered, [event_type] AS as_array FROM events",
     "docx_page": """
         SELECT strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') || CASE l_returnflag WHEN 'R' THEN '.DOCX' WHEN 'A' THEN '.pdf' END AS file, CASE WHEN l_returnflag <> 'R' AND l_returnflag <> 'N' THEN max(l_linenumber) WHEN l_returnflag = 'N' THEN max(l_linenumber) END::BIGINT AS page
         FROM (SELECT CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_shipdate END AS l_shipdate, l_returnflag, l_linenumber FROM lineitem) GROUP BY l_shipdate, l_returnflag""",
