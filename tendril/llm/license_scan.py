@@ -34,11 +34,13 @@ from pyspark.sql import DataFrame
 from .common import map_columns
 
 LEVEL = 3
-#: How many of the templates that save most are compared word by word with a mention; windows are compared with each of theirs.
-LEADERS = 5
 #: Share of differing words up to which a block is the license, and least share of bytes saved.
 MOST_DIFFERENT, LEAST_SAVED = 0.2, 0.25
 GAP = 4
+#: A window is a block, and a mention is compared with a template, where this share of the template's words stands in it.
+LEAST_SHARED = 0.5
+#: A run of lines of over so many times the words of the longest template is looked at sentence by sentence.
+LONGEST_RUN = 2
 
 # Wordings by which licenses are named, and the words that tell one from another.
 _GNU_TERMS = (
@@ -103,14 +105,15 @@ def _under(name: str) -> tuple[str, ...]:
     return tuple(f"{verb} under {name}" for verb in ("Licensed", "Released", "Distributed", "Available"))
 
 
-def _gnu(short: str, name: str, version: int) -> tuple[str, ...]:
+def _gnu(short: str, name: str, version: int | str) -> tuple[str, ...]:
     return (
         f"This work is licensed under the GNU {name}, version {version}.",
         _GNU_TERMS.format(name=f"GNU {name}", version=version),
         f"GNU {name} version {version}",
         f"GNU {name} v{version}",
         *_under(f"{short} v{version}"),
-        f"SPDX-License-Identifier: {short}-{version}.0",
+        f"Licensed under the {short}v{version}.",
+        f"SPDX-License-Identifier: {short}-{version}{'' if '.' in str(version) else '.0'}",
     )
 
 
@@ -119,14 +122,15 @@ def _creative(kind: str, name: str) -> tuple[str, ...]:
 
 
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", _APACHE, "Apache License, Version 2.0", "Apache 2.0 license", "SPDX-License-Identifier: Apache-2.0"),
-    "MIT": ("Released under the MIT License.", _MIT, "MIT License", "SPDX-License-Identifier: MIT"),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", _APACHE, "Apache License, Version 2.0", "Apache 2.0 license", "License: Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    "MIT": ("Released under the MIT License.", _MIT, "MIT License", "This project is MIT licensed.", "License: MIT", "SPDX-License-Identifier: MIT"),
     "ISC": (_ISC, "ISC License", "SPDX-License-Identifier: ISC"),
     "Zlib": (_ZLIB, "zlib License", "SPDX-License-Identifier: Zlib"),
     "BSL-1.0": (_BOOST, "Boost Software License", "SPDX-License-Identifier: BSL-1.0"),
     "Unlicense": (_UNLICENSE, "SPDX-License-Identifier: Unlicense"),
     "GPL-3.0": _gnu("GPL", "General Public License", 3),
     "GPL-2.0": _gnu("GPL", "General Public License", 2),
+    "LGPL-2.1": (*_gnu("LGPL", "Lesser General Public License", "2.1"), "LGPL version 2.1"),
     "LGPL-3.0": _gnu("LGPL", "Lesser General Public License", 3),
     "AGPL-3.0": _gnu("AGPL", "Affero General Public License", 3),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"),
@@ -141,10 +145,13 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-4.0": _creative("BY", "Attribution"),
     "CC-BY-SA-4.0": _creative("BY-SA", "Attribution-ShareAlike"),
     "CC-BY-NC-4.0": _creative("BY-NC", "Attribution-NonCommercial"),
+    "CC-BY-ND-4.0": _creative("BY-ND", "Attribution-NoDerivatives"),
+    "CC-BY-NC-SA-4.0": _creative("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-NC-ND-4.0": _creative("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    "EPL-2.0": ("Licensed under the Eclipse Public License 2.0.", "Eclipse Public License v2.0", "SPDX-License-Identifier: EPL-2.0"),
     "Proprietary": ("All rights reserved.",),
     "CC0-1.0": ("This work has been dedicated to the public domain under CC0 1.0 Universal.", "CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0"),
 }
-TELLING = frozenset("apache mit gnu general lesser affero mozilla bsd cc by sa nc nd sharealike noncommercial attribution cc0 reserved 1 2 3 4 0 v1 v2 v3 clause gpl lgpl agpl mpl isc zlib boost unlicense endorse promote".split())
 CUES = ("licens", "licenc", "permission is hereby", "redistribution and use", "public domain", "all rights reserved", "spdx-")
 
 _WORD = re.compile(r"[^\W_]+")
@@ -155,6 +162,20 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _telling() -> frozenset[str]:
+    """Words of which a difference makes another license, from the templates: the parts of license names, and for two licenses of like wordings the words by which their likest short ones differ."""
+    parts = {w for name in TEMPLATES for w in words(name)} - {"proprietary"}
+    out = set(parts) | {f"{stem}v{w}" for stem in ("", "gpl", "lgpl", "agpl") for w in parts if w.isdigit()}
+    short = {name: [set(words(t)) for t in texts if len(words(t)) <= 16] for name, texts in TEMPLATES.items()}
+    for name, ones in short.items():
+        for other, twos in short.items():
+            alike = [one ^ two for one in ones for two in twos if len(one & two) >= 3 and len(one ^ two) <= 4] if name < other else []
+            least = min(map(len, alike), default=0)
+            out.update(*(x for x in alike if len(x) == least))
+    # of the long notices, the clause by which the two BSD licenses differ
+    return frozenset(out | {"endorse", "promote", "reserved"})
+
+
 @cache
 def _compressor(template: str | None) -> zstandard.ZstdCompressor:
     known = zstandard.ZstdCompressionDict(template.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) if template else None
@@ -167,22 +188,38 @@ def saved(block: bytes, template: str) -> float:
     return 1 - len(_compressor(template).compress(block)) / alone
 
 
+@cache
+def _listed(templates: tuple[tuple[str, tuple[str, ...]], ...]) -> list[tuple[str, str, frozenset[str]]]:
+    return [(name, t, frozenset(words(t))) for name, texts in templates for t in texts]
+
+
 def ranked(block: str, templates: Mapping[str, tuple[str, ...]] = TEMPLATES) -> list[tuple[float, str, str]]:
-    """(saved, license, template), the largest saving first."""
-    raw = block.lower().encode("utf-8", "surrogatepass")
-    found = [(saved(raw, t), name, t) for name, texts in templates.items() for t in texts]
+    """(saved, license, template), the largest saving first, of the templates half of whose words stand in the block; of those that hold most of theirs where none does.
+
+    A template of which fewer words stand there differs in over MOST_DIFFERENT of them, so none is left out that could be
+    confirmed.
+    """
+    raw, held = block.lower().encode("utf-8", "surrogatepass"), set(words(block))
+    shares = [(len(own & held) / len(own), name, t) for name, t, own in _listed(tuple(templates.items()))]
+    least = min(LEAST_SHARED, max(share for share, _, _ in shares))
+    found = [(saved(raw, t), name, t) for share, name, t in shares if share >= least]
     return sorted(found, key=lambda x: (-x[0], x[1], x[2]))
 
 
+@cache
+def telling_words() -> frozenset[str]:
+    return _telling()
+
+
 def differences(block: str, template: str) -> tuple[list[str], float, bool]:
     """Exact wording differences, their share of the template's words, and whether they touch telling words."""
     ours, theirs = words(block), words(template)
-    listed, count, telling = [], 0, False
+    listed, count, telling, known = [], 0, False, telling_words()
     for kind, a, b, c, d in difflib.SequenceMatcher(None, theirs, ours, autojunk=False).get_opcodes():
         if kind != "equal":
             listed.append(f"-{' '.join(theirs[a:b])} +{' '.join(ours[c:d])}")
             count += 0 if kind == "insert" and a in (0, len(theirs)) else max(b - a, d - c)  # words around the notice are no difference
-            telling |= bool(TELLING.intersection(theirs[a:b]) or TELLING.intersection(ours[c:d]))
+            telling |= bool(known.intersection(theirs[a:b]) or known.intersection(ours[c:d]))
     return listed, count / max(len(theirs), 1), telling
 
 
@@ -215,10 +252,6 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return [*runs, *(s for s in sentences if s not in runs)]
 
 
-#: A window is a block where this share of the template's words stands in it.
-LEAST_SHARED = 0.5
-
-
 @cache
 def _anchors(templates: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[list[tuple[str, str, list[str]]], dict[str, list[tuple[int, int]]]]:
     """Templates as (license, text, words), and for each anchor word the (template, place in it). The anchors of a template are its rarest words among all."""
@@ -312,14 +345,21 @@ def scan_text(text: str, templates: Mapping[str, tuple[str, ...]] = TEMPLATES) -
         k = bisect_left(starts, end)
         return k > 0 and covered[k - 1][1] > start
 
+    longest = LONGEST_RUN * max(len(words(t)) for texts in templates.values() for t in texts)
     mentioned: list[tuple[int, int, str, float, str, float, bool]] = []
     whole: list[tuple[int, int]] = []
-    for start, end in blocks(text):
+    every = blocks(text)
+    begins = sorted(a for a, _ in every)
+    for start, end in every:
         if overlaps(start, end) or whole and any(a <= start and end <= b for a, b in whole):
             continue
         block = text[start:end]
-        tried = [(*differences(block, template), gain, name) for gain, name, template in ranked(block, templates)[:LEADERS]]
-        listed, share, telling, gain, name = min(tried, key=lambda x: (x[2], x[1]))  # the leaders keep their order among equals
+        if bisect_left(begins, end) - bisect_left(begins, start) > 2 and block.count(" ") + block.count("\n") > longest:
+            continue  # its sentences are blocks too
+        order = ranked(block, templates)
+        # a template that saves less is not confirmed; without one, the block is reported with the first
+        tried = [(*differences(block, template), gain, name) for gain, name, template in order if gain >= LEAST_SAVED] or [(*differences(block, order[0][2]), order[0][0], order[0][1])]
+        listed, share, telling, gain, name = min(tried, key=lambda x: (x[2], x[1]))  # templates keep their order among equals
         confirmed = gain >= LEAST_SAVED and share <= MOST_DIFFERENT and not telling
         if confirmed:
             whole.append((start, end))
