@@ -55,9 +55,10 @@ def overlaps_or_empty(places: Column, wanted: Sequence[str]) -> Column:
     return (F.coalesce(F.size(places), F.lit(0)) == 0) | F.arrays_overlap(F.transform(places, plain), named)
 
 
-def flagged(warnings: Column, by_ocr: Column) -> Column:
-    """Has warnings that were read from text, not from an image."""
-    return (F.coalesce(F.size(warnings), F.lit(0)) > 0) & ~F.coalesce(by_ocr, F.lit(False))
+def flagged(warnings: Column, by_ocr: Column, trusted: bool = False) -> Column:
+    """Has warnings that were read from text, not from an image; trusted: of a reading whose warnings hold from images too (factors, whose sums `provenance` has checked)."""
+    some = F.coalesce(F.size(warnings), F.lit(0)) > 0
+    return some if trusted else some & ~F.coalesce(by_ocr, F.lit(False))
 
 
 def closes(states: Column, types: Column, phrases: Sequence[str] = ("acta de otorgamiento", "buena pro", "desierto", "contrato")) -> Column:

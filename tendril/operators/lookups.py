@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import once, plain
@@ -90,14 +90,9 @@ def jsonp(text: Column) -> Column:
     return F.nullif(F.regexp_extract(F.trim(text), r"(?s)\A[\w.$]+\s*\((.*)\)\s*;?\s*\z", 1), F.lit(""))
 
 
-def most_common_start(starts: Column) -> Column:
-    """Of the values that are at least a third as common as the most common one (and stand three times), the least."""
-
-    def least(values: Column) -> Column:
-        counted = F.transform(F.array_distinct(values), lambda v: F.struct(v.alias("v"), F.size(F.filter(values, lambda x: x == v)).alias("n")))
-        top = lambda c: F.array_max(F.transform(c, lambda x: x["n"]))
-        enough = lambda c: F.least(top(c).cast("double"), F.greatest(F.lit(3.0), top(c) / 3))
-        bound = F.get(F.transform(F.array(counted), lambda c: F.struct(c.alias("c"), enough(c).alias("e"))), F.lit(0))
-        return F.get(F.transform(F.array(bound), lambda b: F.array_min(F.transform(F.filter(b["c"], lambda x: x["n"] >= b["e"]), lambda x: x["v"]))), F.lit(0))
-
-    return F.get(F.transform(F.array(starts), least), F.lit(0))
+def most_common_starts(df: DataFrame, key: Sequence[str], start: str) -> DataFrame:
+    """(key, start): of a key's values that are at least a third as common as its most common one (and stand three times), the least. Values are counted before they meet."""
+    counts = df.groupBy(*key, start).agg(F.count("*").alias("_n"))
+    top = F.max("_n").over(Window.partitionBy(*key))
+    enough = F.least(top.cast("double"), F.greatest(F.lit(3.0), top / 3))
+    return counts.withColumn("_enough", F.col("_n") >= enough).filter("_enough").groupBy(*key).agg(F.min(start).alias(start))

@@ -64,11 +64,24 @@ def top_with_rest(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     return ranked(df, group, order).filter(F.col("place") <= k).join(sizes, list(group))
 
 
+def quantile_step(df: DataFrame, value: Column, steps: int = 500) -> Column:
+    """The step of a number among approximate quantiles of all rows' values, ascending from 0; null for null.
+
+    At most `steps` numbers come to the driver, and steps hold about as many rows each, whatever the values' range; equal
+    values are in one step.
+    """
+    cuts = df.select(value.cast("double").alias("v")).agg(F.percentile_approx("v", [k / steps for k in range(1, steps)], 10 * steps)).first()[0]
+    bounds = F.expr("cast(split('" + ",".join(map(repr, sorted(set(cuts)))) + "', ',') as array<double>)") if cuts else F.array().cast("array<double>")
+    return F.when(value.isNotNull(), F.size(F.filter(bounds, lambda c: c < value.cast("double"))))
+
+
 def global_place(df: DataFrame, coarse: Sequence[Column], order: Sequence[Column], group: Sequence[str] = (), name: str = "place") -> DataFrame:
     """Place of every row in a total order (by group), without a task that sees them all.
 
-    coarse: sort keys that cut the order into steps, a few thousand at most whatever the rows (days, hundreds): rows are
-    numbered within their step, and the steps' counts are added up before.
+    coarse: sort keys that cut the order into steps, some thousands at most whatever the rows (days, `quantile_step`): rows
+    are numbered within their step, and the steps' counts are added up before. Rows that have no value are one step unless
+    a further key of `coarse` cuts them: the next key of the order, by its quantiles. The counts are joined back as their
+    measured size allows, by broadcast or by shuffle.
     """
     steps = [f"_step{k}" for k in range(len(coarse))]
     keyed = df
@@ -81,7 +94,7 @@ def global_place(df: DataFrame, coarse: Sequence[Column], order: Sequence[Column
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n").alias("o")
     local = keyed.withColumn("_row", F.row_number().over(Window.partitionBy(*group, *steps).orderBy(*order))).alias("l")
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (*group, *steps)]
-    return local.join(F.broadcast(offsets), same).select("l.*", (F.col("_row") + F.col("_before")).alias(name)).drop("_row", *steps)
+    return local.join(offsets, same).select("l.*", (F.col("_row") + F.col("_before")).alias(name)).drop("_row", *steps)
 
 
 def islands(df: DataFrame, key: Sequence[str], number: str) -> DataFrame:

@@ -67,8 +67,8 @@ def paired_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_list(F.col("l_quantity").cast("int")).alias("starts"))
-    return starts.select("l_suppkey", lookups.most_common_start(F.col("starts")).cast("long").alias("start"))
+    starts = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_quantity").cast("long").alias("start"))
+    return lookups.most_common_starts(starts, ["l_suppkey"], "start")
 
 
 def recent_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,8 +89,9 @@ def changes_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open ones first, then by limit, those without one last; and, in the same table, newest first."""
     orders = table(spark, sf_dir, "orders").withColumn("limit", F.when(F.col("o_orderkey") % 10 > 0, F.col("o_orderdate")))
     closed, day = F.col("o_orderstatus") != "O", F.unix_date(F.to_date("limit"))
-    placed = ranking.global_place(orders, [closed.cast("int"), day], [closed.asc(), F.col("limit").asc_nulls_last(), F.col("o_orderkey").asc()])
-    newest = ranking.global_place(placed, [-day], [F.col("limit").desc_nulls_last(), F.col("o_orderkey").desc()], name="newest")
+    without = F.when(F.col("limit").isNull(), F.col("o_orderkey"))  # those without a limit are in the order of their keys
+    placed = ranking.global_place(orders, [closed.cast("int"), day, ranking.quantile_step(orders, without)], [closed.asc(), F.col("limit").asc_nulls_last(), F.col("o_orderkey").asc()])
+    newest = ranking.global_place(placed, [-day, ranking.quantile_step(orders, -without)], [F.col("limit").desc_nulls_last(), F.col("o_orderkey").desc()], name="newest")
     return newest.select("o_orderkey", F.col("place").cast("long").alias("place"), F.col("newest").cast("long").alias("newest"))
 
 
@@ -112,9 +113,10 @@ def base_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     readings = ranking.latest_values(events, ["user_id"], "event_type", "value", F.col("at"), kinds)
     open_ = F.coalesce((F.col("o_orderstatus") == "O") & (F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS") > now()), F.lit(False))
     joined = orders.join(newest, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(readings, F.col("o_custkey") == F.col("user_id"), "left")
-    scanned = F.coalesce(F.col("l_returnflag") == "N", F.lit(False))
+    scanned = F.col("l_returnflag") == "N"
     doubtful = lambda k: F.coalesce(F.col(k) > 50, F.lit(False))
-    warned = sum((F.when(doubtful(k) & (F.lit(k == "purchase") | ~scanned), 1).otherwise(0) for k in kinds), F.lit(0))
+    warnings = lambda k: F.when(doubtful(k), F.array(F.lit(k)))
+    warned = sum((F.when(filters.flagged(warnings(k), scanned, trusted=k == "purchase"), 1).otherwise(0) for k in kinds), F.lit(0))
     return joined.select(
         "o_orderkey", open_.alias("is_open"), F.col("l_linenumber").cast("long").alias("document"), *(F.col(k).alias(k) for k in kinds),
         F.coalesce(F.when(doubtful("click"), F.col("click").cast(amounts.MONEY)), F.col("o_totalprice").cast(amounts.MONEY)).alias("amount"),

@@ -164,8 +164,9 @@ def amount_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest amount first; zero counts as missing and comes last."""
     parts = table(spark, sf_dir, "customer").withColumn("amount", F.greatest(F.lit(0.0), F.col("c_acctbal")))
     order = [F.nullif(F.col("amount"), F.lit(0.0)).desc_nulls_last(), F.col("c_custkey").asc()]
-    hundreds = F.when(F.col("amount") > 0, -F.ceil(F.col("amount") / 100))
-    return ranking.global_place(parts, [hundreds], order, ["c_mktsegment"]).select("c_mktsegment", "c_custkey", F.col("place").cast("long").alias("place"))
+    some, none = F.when(F.col("amount") > 0, -F.col("amount")), F.when(F.col("amount") == 0, F.col("c_custkey"))
+    steps = [ranking.quantile_step(parts, some), ranking.quantile_step(parts, none)]
+    return ranking.global_place(parts, steps, order, ["c_mktsegment"]).select("c_mktsegment", "c_custkey", F.col("place").cast("long").alias("place"))
 
 
 def topk_with_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
