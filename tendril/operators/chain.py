@@ -3,7 +3,8 @@
 Each stage reads only files of documents that the stages before did not settle (an anti join of keys, so their texts leave
 before the shuffle's other side meets them), and within a stage a file is read only if none before it held the section:
 the files of a document come to a task in order, and reading stops at the first hit. Documents of over BLOCK files are dealt
-over several tasks, each of which stops at its own first hit; the earliest of those counts.
+over several tasks, each of which stops at its own first hit; the earliest of those counts. What a stage found, a row a document,
+is stored before the next one reads.
 
 Files have a name, a kind and a text: `text` (what the file itself holds; null where it cannot be opened), `model` and `ocr`
 (copies of its image pages; null where the copy failed). Defined cases: a document without files is NO_FILES; one whose
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import image_pages, is_scanned
+from ..sources.stages import stored
 from .protocol import Reader, compared, read_one
 from .readers import SCANNED
 
@@ -97,7 +99,8 @@ def read_documents(documents: DataFrame, files: DataFrame, reader: Reader, docum
     own = files.filter("kind = 'text'").withColumn("scanned", F.coalesce(is_scanned(F.col("text")), F.lit(False)))
     facts = own.select(document, "file", "name", "error", F.col("text").isNull().alias("unopened"), "scanned", (F.size(image_pages(F.col("text"))) > 0).alias("images"))
 
-    plain = first_hits(own.filter("text is not null and not scanned"), reader, document, ["file"], given=given)
+    facts = stored(facts, "file-facts")
+    plain = stored(first_hits(own.filter("text is not null and not scanned"), reader, document, ["file"], given=given), "text-hits")
     settled = plain.filter(F.col(reader.name).isNotNull())
 
     # image pages of what is not settled: files named as the bases first
@@ -106,7 +109,7 @@ def read_documents(documents: DataFrame, files: DataFrame, reader: Reader, docum
     late = F.when(F.col("kind") == "model", 0).otherwise(1)
     copies = files.filter("kind <> 'text'").drop("name").join(images, [document, "file"]).withColumn("late", late)
     copies = copies.filter((F.col("late") == 0) | (F.lit(ocr) & (F.col("turn") <= OCR_FILES)))
-    copied = first_hits(copies.filter("text is not null"), reader, document, ["turn", "late"], given=given)
+    copied = stored(first_hits(copies.filter("text is not null"), reader, document, ["turn", "late"], given=given), "copy-hits")
     named = copied.filter(F.col(reader.name).isNotNull()).join(images, [document, "turn"])
 
     # a model's reading is held against that of the OCR copy of the same file

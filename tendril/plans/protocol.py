@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import amounts
-from ..operators import chain, factor_table, more_readers, personnel, protocol, provenance, readers
+from ..operators import chain, detail, factor_table, more_readers, personnel, protocol, provenance, readers
 from ..sources.tables import table
 
 READERS = [readers.AMOUNT, readers.EXPERIENCE, factor_table.FACTOR_READER, personnel.PERSONNEL, more_readers.OBJECT]
@@ -68,6 +68,20 @@ def readings_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return protocol.due(orders, done, [readers.AMOUNT, more_readers.OBJECT], "nid")
 
 
+def detail_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the page of a tender tells, in three groups with links: some have no bases, some are not read, some were read by OCR."""
+    nid = F.col("nid")
+    stated = F.col("total") + F.when(nid % 19 == 0, F.lit("1.00")).otherwise("0.00").cast(amounts.MONEY)
+    read = protocol.read_all(documents(spark, sf_dir), READERS, given={"stated": stated, "amount": F.col("total"), "description": F.col("said")})
+    done = nid % 23 > 0
+    records = {r.name: F.when(done, F.col(f"readings.{r.name}")) for r in READERS}
+    read = read.withColumns({"document": F.when(nid % 29 > 0, nid + 5), "file": _joined("Bases N° ", nid.cast("string"), F.when(nid % 2 == 0, ".pdf").otherwise(".DOCX"))})
+    source = F.when(nid % 4 == 0, "ocr").otherwise("text")
+    differ = {"amount": F.when(done & (nid % 31 == 0), F.array(F.lit("amount")))}
+    found = detail.notes(read, "nid", "document", "file", records, source, differ)
+    return found.select("nid", "group", F.col("place").cast("long").alias("place"), "text", "page", "link")
+
+
 # --- chains -------------------------------------------------------------------------------------------------------
 
 _PLENTY = "palabras de relleno para una página que no es imagen " * 12  # no image: over 400 characters
@@ -178,7 +192,7 @@ def ocr_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trusted.select("p_partkey", "source", F.get("p.staff", F.lit(0))["post"].alias("post"), names(F.col("p")).alias("post_warnings"), F.col("p.review").alias("post_review"), names(F.col("f")).alias("factor_warnings"), F.col("f.review").alias("factor_review"))
 
 
-QUERIES = {f.__name__: f for f in (readings_one_pass, factor_rows, readings_due, chain_of_files, chain_without_ocr, reader_personnel_layouts, ocr_trust)}
+QUERIES = {f.__name__: f for f in (readings_one_pass, factor_rows, readings_due, detail_notes, chain_of_files, chain_without_ocr, reader_personnel_layouts, ocr_trust)}
 
 _TOTAL = "CAST(o_totalprice AS DECIMAL(15,2))"
 
@@ -212,6 +226,22 @@ ORACLE_SQL = {
     "readings_due": """
         SELECT o_orderkey AS nid, reader, reader || '-2' AS version FROM orders, (VALUES ('amount', 0), ('object', 1)) r(reader, odd)
         WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber % 2 = odd AND l_returnflag <> 'R')""",
+    "detail_notes": f"""
+        WITH o AS (SELECT o_orderkey AS nid, {_TOTAL} AS total FROM orders),
+        p AS (SELECT *, CASE WHEN nid % 13 > 0 THEN 1 ELSE 0 END AS obj, CASE WHEN nid % 11 > 0 THEN 1 ELSE 0 END AS amo, nid % 29 > 0 AND nid % 23 > 0 AS told, CASE WHEN nid % 4 = 0 THEN 'mirar' ELSE 'consultar' END AS grp FROM o),
+        n AS (
+          SELECT nid, 'revisar' AS "group", 0 AS step, 'Bases todavía no descargadas.' AS text, NULL AS page FROM p WHERE nid % 29 = 0
+          UNION ALL SELECT nid, 'revisar', 0, 'Bases descargadas, todavía sin leer.', NULL FROM p WHERE nid % 29 > 0 AND nid % 23 = 0
+          UNION ALL SELECT nid, 'revisar', 1, 'Revisar a mano: sin sección 1.4', NULL FROM p WHERE told AND amo = 0
+          UNION ALL SELECT nid, grp, 2, 'La cuantía de las bases (S/ ' || format('{{:,.2f}}', CAST(total AS DOUBLE)) || ') no es la de la ficha (S/ ' || format('{{:,.2f}}', CAST(total + 1 AS DOUBLE)) || ').', 1 + obj FROM p WHERE told AND amo = 1 AND nid % 19 = 0
+          UNION ALL SELECT nid, 'mirar', 3, 'Las dos lecturas del escaneo no coinciden en amount. Mirar la página.', CASE WHEN amo = 1 THEN 1 + obj END FROM p WHERE told AND nid % 31 = 0
+          UNION ALL SELECT nid, grp, 4, 'El CUI de las bases (' || (nid + 2000000) || ') no es el que nombra la descripción (1999999): puede ser otra obra.', 1 FROM p WHERE told AND obj = 1 AND nid % 17 = 0
+          UNION ALL SELECT nid, 'revisar', 5, 'Experiencia del postor: sin requisito de experiencia del postor', NULL FROM p WHERE told AND nid % 7 = 0
+          UNION ALL SELECT nid, 'revisar', 6, 'Personal clave: sin requisito de personal clave', NULL FROM p WHERE told AND nid % 5 = 0
+          UNION ALL SELECT nid, 'revisar', 7, 'Factores de evaluación: sin cuadro de factores', NULL FROM p WHERE told AND nid % 3 = 0
+          UNION ALL SELECT nid, 'consultar', 8, 'El puntaje total del cuadro resumen es ' || (nid % 90 + 11) || ', no 100.', 1 + obj + amo FROM p WHERE told AND nid % 3 > 0 AND nid % 90 <> 89),
+        l AS (SELECT nid, "group", row_number() OVER (PARTITION BY nid ORDER BY step) AS place, text, CASE WHEN nid % 2 = 0 THEN page END AS page, page IS NOT NULL AS paged FROM n)
+        SELECT nid, "group", place, text, CAST(page AS BIGINT) AS page, CASE WHEN nid % 29 > 0 AND (paged OR nid % 2 = 1) THEN '/obras/' || nid || '/bases/' || (nid + 5) || '/Bases%20N%C2%B0%20' || nid || CASE WHEN nid % 2 = 0 THEN '.pdf#page=' || page ELSE '.DOCX' END END AS link FROM l""",
     "chain_of_files": _chain_sql(True),
     "chain_without_ocr": _chain_sql(False),
     "reader_personnel_layouts": """

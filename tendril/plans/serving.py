@@ -7,8 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import amounts, text
-from ..operators import facets, filters, sentences, validation
+from ..functions import amounts, dates, text
+from ..operators import facets, filters, selection, sentences, validation
 from ..sources.tables import table
 from .report import now
 
@@ -120,7 +120,60 @@ def untold_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumn("place", F.col("place").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (listing_facets, record_faults, running_lines, untold_sentences)}
+# --- what is to be done -------------------------------------------------------------------------------------------
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand for documents, customers for tenders."""
+    key = F.col("o_orderkey")
+    kind = F.when(key % 5 == 0, "Acta").when(key % 5 == 1, "BASES Integradas").otherwise("Bases Administrativas")
+    path = F.concat(F.lit("/d/"), key.cast("string"), F.when(key % 3 == 0, ".ZIP").when(key % 3 == 1, ".pdf").otherwise(".docx"))
+    return table(spark, sf_dir, "orders").select(
+        key.alias("doc"), F.col("o_custkey").alias("tender"), kind.alias("type"), path.alias("path"), F.when(F.col("o_orderstatus") == "P", "pending").otherwise("done").alias("state"), F.when(key % 11 > 0, F.col("o_orderdate")).alias("published"), F.when(key % 2 == 0, "done").alias("unpacked")
+    )
+
+
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct lines of archives stand for their files."""
+    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 3 = 0").select("l_orderkey", "l_linenumber", "l_returnflag").distinct()
+    return lines.select(F.col("l_orderkey").alias("doc"), F.concat_ws("-", "l_linenumber", "l_returnflag").alias("content"), F.concat_ws("-", F.lit("f"), "l_linenumber", "l_returnflag").alias("path"), F.when(F.col("l_returnflag") == "R", "broken").alias("error"))
+
+
+def bases_to_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    version = F.when(F.col("l_linenumber") == 1, "amount-2").when(F.col("l_linenumber") == 2, "amount-1").otherwise("object-2")
+    readings = lines.select(F.col("l_orderkey").alias("doc"), version.alias("version"), "l_linenumber", "l_shipdate", F.col("l_extendedprice").cast(amounts.MONEY).alias("amount")).filter("l_linenumber > 1 or doc % 4 = 0")
+    readings = readings.withColumn("at", F.struct("l_shipdate", "amount")).select("doc", "version", "at", "amount")
+    found = selection.bases_to_read(_documents(spark, sf_dir), _contents(spark, sf_dir), readings, "amount-2")
+    return found.select("doc", "tender", "path", "newest", F.array_join("contents", ",").alias("contents"), "amount")
+
+
+def newest_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.newest_bases(_documents(spark, sf_dir), _contents(spark, sf_dir)).select("tender", "doc", F.array_join("contents", ",").alias("contents"))
+
+
+def queue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives to unpack and documents to fetch, each in the order of their numbers."""
+    todo = F.when(F.col("state") == "pending", "fetch").when(F.col("path").ilike("%.zip") & F.col("unpacked").isNull(), "unpack")
+    return selection.queue(_documents(spark, sf_dir), todo)
+
+
+def pending_urgent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of customers in watched regions, or of none, the most urgent first."""
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    people = table(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.when(F.col("c_custkey") % 10 > 0, F.array("r_name")).alias("regions"))
+    limit = F.when(F.col("o_orderkey") % 13 > 0, F.col("o_orderdate"))
+    tenders = table(spark, sf_dir, "orders").join(people, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "regions", limit.alias("limit"), F.when(F.col("o_orderstatus") == "F", F.lit(1)).alias("reported"))
+    found = selection.pending(tenders, ["asia", "Europe"], dates.days_until(F.col("limit"), now()), "o_orderkey")
+    return found.select("o_orderkey", F.col("place").cast("long").alias("place"))
+
+
+QUERIES = {f.__name__: f for f in (listing_facets, record_faults, running_lines, untold_sentences, bases_to_read, newest_bases, queue_rows, pending_urgent)}
+
+_DOCUMENTS = """d AS (SELECT o_orderkey AS doc, o_custkey AS tender, CASE o_orderkey % 5 WHEN 0 THEN 'Acta' WHEN 1 THEN 'BASES Integradas' ELSE 'Bases Administrativas' END AS type, '/d/' || o_orderkey || CASE o_orderkey % 3 WHEN 0 THEN '.ZIP' WHEN 1 THEN '.pdf' ELSE '.docx' END AS path,
+          o_orderstatus <> 'P' AS done, CASE WHEN o_orderkey % 11 > 0 THEN o_orderdate END AS published, o_orderkey % 2 = 0 AS unpacked FROM orders),
+        b AS (SELECT *, row_number() OVER (PARTITION BY tender ORDER BY type ILIKE '%integrad%' DESC, published DESC NULLS LAST, doc DESC) = 1 AS newest FROM d WHERE done AND type ILIKE 'bases%'),
+        c AS (SELECT l_orderkey AS doc, string_agg('f-' || l_linenumber || '-' || l_returnflag, ',' ORDER BY l_linenumber || '-' || l_returnflag) AS contents FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_orderkey % 3 = 0 AND l_returnflag <> 'R') GROUP BY 1)"""
 
 _QUOTE = lambda s: "NULL" if s is None else "'" + s.replace("'", "''") + "'"
 _SINCE = "CASE WHEN k % 2 = 0 THEN 'el acta de recepción' ELSE 'la conformidad o el pago' END"
@@ -133,6 +186,20 @@ ORACLE_SQL = {
         f AS (SELECT verdict, NULL AS facet, NULL AS value FROM b UNION ALL SELECT verdict, 'place', r_name FROM b UNION ALL SELECT verdict, 'place', 'N-' || n_name FROM b UNION ALL SELECT verdict, 'priority', o_orderpriority FROM b UNION ALL SELECT verdict, 'year', CAST(year(o_orderdate) AS VARCHAR) FROM b)
         SELECT facet, value, count(*) FILTER (WHERE verdict = 'si') AS found, count(*) FILTER (WHERE verdict = 'sin_leer') AS unread, count(*) AS every FROM f GROUP BY ALL""",
     "record_faults": f"SELECT p_partkey, field, number, fault FROM part JOIN (VALUES {', '.join(f'({k}, {_QUOTE(f)}, CAST({n or 'NULL'} AS BIGINT), {_QUOTE(x)})' for k, (f, n, _, x) in enumerate(CASES) if x)}) c(k, field, number, fault) ON p_partkey % {len(CASES)} = k",
+    "bases_to_read": f"""
+        WITH {_DOCUMENTS},
+        r AS (SELECT l_orderkey AS doc, l_linenumber, CAST(l_extendedprice AS DECIMAL(15,2)) AS amount, l_shipdate FROM lineitem WHERE l_linenumber > 1 OR l_orderkey % 4 = 0),
+        a AS (SELECT doc, arg_max(amount, (epoch_us(l_shipdate), amount)) AS amount FROM r WHERE l_linenumber <= 2 GROUP BY 1)
+        SELECT doc, tender, path, newest, coalesce(contents, '') AS contents, amount FROM b LEFT JOIN c USING (doc) LEFT JOIN a USING (doc)
+        WHERE (path NOT ILIKE '%.zip' OR unpacked) AND NOT EXISTS (SELECT 1 FROM r WHERE r.doc = b.doc AND l_linenumber = 1)""",
+    "newest_bases": f"WITH {_DOCUMENTS} SELECT tender, doc, coalesce(contents, '') AS contents FROM b LEFT JOIN c USING (doc) WHERE newest AND (path NOT ILIKE '%.zip' OR unpacked)",
+    "queue_rows": f"""
+        WITH {_DOCUMENTS}, t AS (SELECT doc, CASE WHEN NOT done THEN 'fetch' WHEN path ILIKE '%.zip' AND NOT unpacked THEN 'unpack' END AS todo FROM d)
+        SELECT todo, doc, row_number() OVER (PARTITION BY todo ORDER BY doc) AS place FROM t WHERE todo IS NOT NULL""",
+    "pending_urgent": """
+        WITH t AS (SELECT o_orderkey, date_diff('day', DATE '2000-01-01', CAST(CASE WHEN o_orderkey % 13 > 0 THEN o_orderdate END AS DATE)) AS days FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+          WHERE o_orderstatus <> 'F' AND (c_custkey % 10 = 0 OR r_name IN ('ASIA', 'EUROPE')))
+        SELECT o_orderkey, row_number() OVER (ORDER BY days NULLS LAST, o_orderkey) AS place FROM t""",
     "running_lines": f"""
         WITH p AS (SELECT c_custkey, c_mktsegment, c_custkey % 6 + 1 AS n, unnest(range(1, c_custkey % 6 + 2)) AS i FROM customer),
         b AS (SELECT *, translate(md5(concat_ws('-', c_custkey, i, 1)), '{_DIGITS}', '{_LETTERS}') AS one, translate(md5(concat_ws('-', c_custkey, i, 2)), '{_DIGITS}', '{_LETTERS}') AS two, CASE WHEN i % 2 = 0 THEN '      LICITACIÓN PÚBLICA' ELSE '' END AS beside FROM p),

@@ -51,7 +51,7 @@ def _imported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     stored = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("fields"), F.col("c_nationkey").cast("long").alias("reported"))
     key = F.col("c_custkey")
     filled = stored.select("c_custkey", F.when(key % 4 == 0, "X").otherwise(F.col("fields")).alias("fields"), F.when(key % 7 > 0, key % 3 > 0).alias("ready"))
-    documents = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    documents = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return records.import_ready(filled, documents, stored, ["c_custkey"], "fields", "reported")
 
 
@@ -156,7 +156,7 @@ QUERIES = {f.__name__: f for f in (
 
 _CENTS = "CAST(CAST(o_totalprice AS DECIMAL(15,2)) * 100 AS BIGINT)"
 _LINES = "(SELECT l_orderkey, l_linenumber, CAST(max(l_quantity) AS INT) AS n FROM lineitem GROUP BY 1, 2)"
-_TAKEN = "c_custkey % 7 > 0 AND c_custkey % 3 > 0 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
+_TAKEN = "c_custkey % 7 > 0 AND c_custkey % 3 > 0 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"
 ORACLE_SQL = {
     "deadline_changes": """
         SELECT o_orderkey, 'state' AS field FROM orders WHERE o_orderkey % 5 = 0 UNION ALL
@@ -175,7 +175,7 @@ ORACLE_SQL = {
     "import_ready": f"""
         SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 AND {_TAKEN} THEN 'X' ELSE c_mktsegment END AS fields, CASE WHEN NOT (c_custkey % 4 = 0 AND {_TAKEN}) THEN CAST(c_nationkey AS BIGINT) END AS reported FROM customer""",
     "import_refused": """
-        SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'X' ELSE c_mktsegment END AS fields FROM customer WHERE c_custkey % 7 > 0 AND c_custkey % 3 > 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""",
+        SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'X' ELSE c_mktsegment END AS fields FROM customer WHERE c_custkey % 7 > 0 AND c_custkey % 3 > 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""",
     "incongruence_faults": """
         SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'value without field and column' WHEN 2 THEN 'value without column' WHEN 3 THEN 'unknown field' WHEN 4 THEN 'a block has no rows' WHEN 5 THEN 'unknown row' WHEN 6 THEN 'unknown column' WHEN 7 THEN 'value is the reading already used' END AS message
         FROM part WHERE p_partkey % 8 <> 1 AND (p_partkey % 8 <> 7 OR p_partkey % 3 = 0)""",
