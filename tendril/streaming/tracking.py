@@ -12,9 +12,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 IDLE_DAYS = 60
 
 
-def first_seen(stream: DataFrame, key: list[str]) -> DataFrame:
-    """Insert-if-new over a stream: late rows of known keys never come again."""
-    return stream.dropDuplicates(key)
+def first_seen(stream: DataFrame, key: list[str], at: str | None = None, watermark: str = "400 days") -> DataFrame:
+    """Insert-if-new over a stream: rows of known keys do not come again.
+
+    Without `at` a key is known for ever, and state grows with the keys. With it (event time) a key is forgotten once the
+    watermark has passed its first row by as much: the range that a search is repeated over must be shorter.
+    """
+    return stream.dropDuplicates(key) if at is None else stream.withWatermark(at, watermark).dropDuplicatesWithinWatermark(key)
 
 
 def lifecycle(events: DataFrame, key: str, what: str, at: str, idle_days: int = IDLE_DAYS, watermark: str = "1 day") -> DataFrame:

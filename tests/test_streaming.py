@@ -23,6 +23,13 @@ def test_first_seen(spark, tmp_path):
     assert sorted(r[0] for r in rows) == [1, 2, 3]
 
 
+def test_first_seen_within_a_watermark(spark, tmp_path):
+    day = lambda n: START + timedelta(days=n)
+    batches = [[(1, day(0)), (2, day(1)), (1, day(2))], [(1, day(5)), (3, day(60))], [(3, day(61)), (1, day(62))], [(1, day(63))]]
+    rows = run(spark, tmp_path, batches, "nid long, at timestamp", lambda s: tracking.first_seen(s, ["nid"], "at", "10 days"), "seen_within")
+    assert sorted(r[0] for r in rows) == [1, 1, 2, 3]  # the first one is forgotten after sixty days, and comes again once
+
+
 def test_changes(spark, tmp_path):
     batches = [[(1, "a", 1), (2, "x", 1)], [(1, "a", 2), (2, None, 2)], [(1, "b", 3), (2, "x", 3)]]
     rows = run(spark, tmp_path, batches, "nid long, v string, n int", lambda s: tracking.changes(s, "nid", "v", "n"), "moved")
