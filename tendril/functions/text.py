@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from html import unescape
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -71,10 +72,13 @@ def letters_plain(text: Column) -> Column:
     return plain(F.regexp_replace(text, r"(?U)(?<=\p{L})!(?=\p{L})", "i"))
 
 
-def cell_text(html: Column, entities: bool = True) -> Column:
-    """Text of a table cell: scripts and tags out, character references read, white space collapsed."""
+def cell_text(html: Column, entities: bool = True, closed: bool = False) -> Column:
+    """Text of a table cell: scripts and tags out, character references read, white space collapsed.
+
+    closed: references without their `;` stay as they are; otherwise they are read as browsers read them.
+    """
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<script.*?</script>", " "), "<[^>]+>", " ")
-    return squeeze(_unescape(bare) if entities else bare)
+    return squeeze((_unescape_closed if closed else _unescape)(bare) if entities else bare)
 
 
 @F.pandas_udf(T.StringType())
@@ -82,6 +86,15 @@ def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(unescape, na_action="ignore")
 
 
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+@F.pandas_udf(T.StringType())
+def _unescape_closed(texts: pd.Series) -> pd.Series:
+    one = lambda m: unescape(m[0]) if m[0][1] == "#" else html5.get(m[0][1:], m[0])
+    return texts.map(lambda text: _CLOSED.sub(one, text), na_action="ignore")
+
+
 def tidy(text: Column) -> Column:
     """Template junk out: a stray inverted question mark (where no `?` is), articles in brackets, `;` as comma, loose spaces."""
     out = F.when(text.contains("?"), text).otherwise(F.replace(text, F.lit("¿"), F.lit("")))

@@ -72,6 +72,12 @@ def test_text(spark):
     assert value(spark, text.work_name(F.col("x")), x="Ejecución de la obra: MEJORAMIENTO DEL CAMINO, con CUI N° 2345678") == "MEJORAMIENTO DEL CAMINO"
 
 
+def test_references_without_their_end(spark):
+    html = "<b>a&amp</b> &amp;lt; &copy; &#233; &#xe9; &notit; &nichts; &lt"
+    assert value(spark, text.cell_text(F.col("x")), x=html) == "a& &lt; © é é ¬it; &nichts; <"
+    assert value(spark, text.cell_text(F.col("x"), closed=True), x=html) == "a&amp &lt; © é é &notit; &nichts; &lt"
+
+
 def test_sentence_case(spark):
     sentence = text.sentence_case(("LIMA",))
     assert value(spark, sentence(F.col("x")), x="CREACION DEL PARQUE II EN LIMA") == "Creacion del parque II en Lima"
