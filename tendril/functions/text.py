@@ -130,7 +130,7 @@ LEAD_IN = r"(?i)^(contrataci[oó]n (de|para) la ejecuci[oó]n (de|del) (la )?obr
 
 def work_name(description: Column, extracted: Column | None = None) -> Column:
     """Name of a work: the extracted one, else the description without lead-in and closing code."""
-    bare = F.regexp_replace(F.regexp_replace(squeeze(description), LEAD_IN, ""), r"(?i)[\s,;.-]*\(?(con )?CUI\s*(N[°º])?\s*:?\s*\d{7}\)?\.?$", "")
+    bare = F.regexp_replace(F.regexp_replace(squeeze(description), LEAD_IN, ""), r"(?i)[\s,;.-]*\(?(con )?CUI\s*(N[°º])?\s*:?\s*\d{7,10}\)?\.?$", "")
     own = F.regexp_replace(bare, "^[\"“”']+|[\"“”']+$", "")
     return F.coalesce(F.nullif(squeeze(extracted), F.lit("")), own) if extracted is not None else own
 
