@@ -77,15 +77,25 @@ def compiled(schemas: Mapping[str, Columns | Tagged]) -> tuple[Column, Column]:
     return constant(rules, f"map<string, array<struct<{_RULE}, steps array<struct<{_RULE}>>>>>"), constant(tags, f"map<string, struct<{_RULE}>>")
 
 
-def _value_fault(rule: Column, row: Column, path: Column, steps: Callable[[Column], Column] | None = None) -> Column:
-    """Why a value of a row (a variant) is not of its rule's kind, null if it is; steps: the fault of an array of steps."""
-    at = F.concat(F.lit("$."), rule["name"])
-    seen = F.struct(
-        F.try_variant_get(row, at, "variant").alias("value"), F.try_variant_get(row, at, "string").alias("text"), F.try_variant_get(row, at, "double").alias("number"), F.try_variant_get(row, at, "array<string>").alias("texts"), F.try_variant_get(row, at, "array<variant>").alias("rows"),
+def _values(row: Column) -> Column:
+    """The values of a row (a variant) by column, null where it is no object. A path made of a column would be parsed anew for each value."""
+    return F.try_variant_get(row, "$", "map<string, variant>")
+
+
+def _value_fault(rule: Column, values: Column, path: Column, steps: Callable[[Column], Column] | None = None) -> Column:
+    """Why a row's value is not of its rule's kind, null if it is; values: variants by column; steps: the fault of an array of steps."""
+    kind = rule["kind"]
+    # only what the kind asks for is read: reading a text as a number costs an exception
+    read = lambda v, type_, *kinds: F.when(kind.isin(*kinds), F.try_variant_get(v, "$", type_))
+    seen = once(
+        F.try_element_at(values, rule["name"]),
+        lambda v: F.struct(
+            v.alias("value"), F.schema_of_variant(v).alias("type"), read(v, "string", TEXT, "choice").alias("text"), read(v, "double", WHOLE, NUMBER).alias("number"), read(v, "array<string>", LIST, OPTIONAL_LIST).alias("texts"), read(v, "array<variant>", "scale").alias("rows"),
+        ),
     )
 
     def fault(x: Column) -> Column:
-        kind, type_ = rule["kind"], F.schema_of_variant(x["value"])
+        type_ = x["type"]
         full = F.forall(x["texts"], lambda t: F.coalesce(F.trim(t) != "", F.lit(False)))
         listed = (type_ == "ARRAY<STRING>") & full
         ok = (
@@ -111,18 +121,17 @@ def _expected() -> Column:
     return F.from_json(F.lit(json.dumps(EXPECTED, ensure_ascii=False)), "map<string, string>")
 
 
-def _row_fault(rules: Column, row: Column, path: Column, steps: Callable[[Column], Callable[[Column], Column]] | None = None) -> Column:
-    """The first fault of a row: its set of columns, then each value in the order of the rules."""
+def _row_fault(rules: Column, values: Column, path: Column, steps: Callable[[Column], Callable[[Column], Column]] | None = None) -> Column:
+    """The first fault of a row, whose values are given by column: its set of columns, then each value in the order of the rules."""
     wanted = F.transform(rules, lambda r: r["name"])
     listed = lambda names: F.concat(F.lit("["), F.array_join(F.array_sort(names), ", "), F.lit("]"))
-    held = F.coalesce(F.json_object_keys(F.to_json(row)), F.array().cast("array<string>"))
 
     def names(h: Column) -> Column:
         unknown, missing = F.array_except(h, wanted), F.array_except(wanted, h)
         return F.when(F.size(unknown) + F.size(missing) > 0, F.concat(path, F.lit(": unknown columns "), listed(unknown), F.lit(", missing columns "), listed(missing)))
 
-    first = F.get(F.filter(F.transform(rules, lambda r: _value_fault(r, row, path, steps(r) if steps else None)), lambda f: f.isNotNull()), F.lit(0))
-    return F.coalesce(once(held, names), first)
+    first = F.get(F.filter(F.transform(rules, lambda r: _value_fault(r, values, path, steps(r) if steps else None)), lambda f: f.isNotNull()), F.lit(0))
+    return F.coalesce(once(F.coalesce(F.map_keys(values), F.array().cast("array<string>")), names), first)
 
 
 def faults(df: DataFrame, record: Sequence[str], field: str, number: str, row: str, schemas: Mapping[str, Columns | Tagged]) -> DataFrame:
@@ -139,15 +148,19 @@ def faults(df: DataFrame, record: Sequence[str], field: str, number: str, row: s
 
     def step_faults(rule: Column) -> Callable[[Column], Column]:
         place = lambda i: F.concat(F.col("_path"), F.lit(": "), rule["name"], F.lit(" "), (i + 1).cast("string"))
-        return lambda rows: F.get(F.filter(F.transform(rows, lambda s, i: _row_fault(rule["steps"], s, place(i))), lambda f: f.isNotNull()), F.lit(0))
-
-    fault = (
-        F.when(~F.col(field).isin(*schemas), F.concat("_path", F.lit(": unknown field")))
-        .when(~is_object, F.concat("_path", F.lit(": no table")))
-        .when(F.col("_rules").isNull(), _value_fault(F.col("_tag"), F.col("_row"), F.col("_path")))
-        .otherwise(_row_fault(F.col("_rules"), F.col("_row"), F.col("_path"), step_faults))
-    )
-    return staged.withColumn("fault", fault).filter("fault is not null").select(*record, field, number, "fault")
+        return lambda rows: F.get(F.filter(F.transform(rows, lambda s, i: once(_values(s), lambda values: _row_fault(rule["steps"], values, place(i)))), lambda f: f.isNotNull()), F.lit(0))
+
+    def fault(values: Column) -> Column:
+        return (
+            F.when(~F.col(field).isin(*schemas), F.concat("_path", F.lit(": unknown field")))
+            .when(~is_object, F.concat("_path", F.lit(": no table")))
+            .when(F.col("_rules").isNull(), _value_fault(F.col("_tag"), values, F.col("_path")))
+            .otherwise(_row_fault(F.col("_rules"), values, F.col("_path"), step_faults))
+        )
+
+    # exploded, since a filter on the fault would be pushed below it and compute it twice
+    found = F.array_compact(F.transform(F.array(_values(F.col("_row"))), fault))
+    return staged.select(*record, field, number, F.explode(found).alias("fault"))
 
 
 # The columns of the filled records.

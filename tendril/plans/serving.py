@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts, dates, text
 from ..operators import facets, filters, selection, sentences, validation
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 from .report import now
 
 
@@ -61,7 +61,7 @@ CASES: list[tuple[str, int | None, dict | str, str | None]] = [
 def record_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = [(k, f, n, r if isinstance(r, str) else json.dumps(r, ensure_ascii=False)) for k, (f, n, r, _) in enumerate(CASES)]
     filled = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(n).cast("int").alias("number"), F.lit(r).alias("json")) for _, f, n, r in written))
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.get(filled, (F.col("p_partkey") % len(CASES)).cast("int")).alias("r")).select("p_partkey", "r.*")
+    rows = dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", F.get(filled, (F.col("p_partkey") % len(CASES)).cast("int")).alias("r")).select("p_partkey", "r.*")
     return validation.faults(rows, ["p_partkey"], "field", "number", "json", validation.SCHEMAS).select("p_partkey", "field", F.col("number").cast("long").alias("number"), "fault")
 
 
