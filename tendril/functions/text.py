@@ -220,9 +220,10 @@ def without_running_lines(text: Column, depth: int = 3, share: float = 0.5, leas
     gap = r"\S( {4,}\S.*)$"
     form = lambda line: F.regexp_replace(F.regexp_replace(plain(line), r"\s+", ""), "[0-9]+", "#")
     beside = lambda line: F.regexp_extract(line, gap, 1)
-    solid = lambda lines: F.filter(lines, lambda x: F.trim(x) != "")
-    edges = lambda lines: once(solid(lines), lambda s: F.concat(F.slice(s, 1, depth), F.slice(F.reverse(s), 1, depth)))
-    forms = lambda lines: F.array_distinct(F.filter(F.flatten(F.transform(edges(lines), lambda x: F.array(form(x), form(beside(x))))), lambda f: f != ""))
+    # lines with their forms, which cost most: computed once, and used for what runs and for what goes
+    formed = lambda page: F.transform(F.split(page, "\n"), lambda x: F.struct(x.alias("line"), form(x).alias("form"), (F.trim(x) == "").alias("empty")))
+    edges = lambda lines: once(F.filter(lines, lambda x: ~x["empty"]), lambda s: F.concat(F.slice(s, 1, depth), F.slice(F.reverse(s), 1, depth)))
+    forms = lambda lines: F.array_distinct(F.filter(F.flatten(F.transform(edges(lines), lambda x: F.array(x["form"], form(beside(x["line"]))))), lambda f: f != ""))
 
     def running(paged: Column, need: Column) -> Column:
         start = F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
@@ -234,16 +235,18 @@ def without_running_lines(text: Column, depth: int = 3, share: float = 0.5, leas
         return F.aggregate(F.array_sort(F.flatten(F.transform(paged, forms))), start, step)["out"]
 
     def cleaned(paged: Column, out: Column) -> Column:
-        goes = lambda line: (F.trim(line) == "") | F.array_contains(out, form(line))
-        ahead = lambda lines: F.coalesce(F.nullif(F.array_position(F.transform(lines, lambda x: ~goes(x)), True), F.lit(0)) - 1, F.size(lines).cast("long")).cast("int")
-        trimmed = lambda lines: once(F.slice(lines, ahead(lines) + 1, F.size(lines)), lambda rest: F.slice(rest, F.lit(1), F.size(rest) - ahead(F.reverse(rest))))
-        cut = lambda line: F.when(F.array_contains(out, form(beside(line))), F.substring(line, F.lit(1), F.length(line) - F.length(beside(line)))).otherwise(line)
-        at_edge = lambda lines: F.transform(lines, lambda x, i: F.when((i < depth) | (i >= F.size(lines) - depth), cut(x)).otherwise(x))
+        stays = lambda lines: F.transform(lines, lambda x: ~(x["empty"] | F.array_contains(out, x["form"])))
+        ahead = lambda stay: F.coalesce(F.nullif(F.array_position(stay, True), F.lit(0)) - 1, F.size(stay).cast("long")).cast("int")
+        # without a line that stays, the page's length goes from the front and nothing is left
+        trimmed = lambda lines: once(stays(lines), lambda stay: once(ahead(stay), lambda a: F.slice(lines, a + 1, F.greatest(F.size(lines) - a - ahead(F.reverse(stay)), F.lit(0)))))
+        without = lambda line, tail: F.when((tail != "") & F.array_contains(out, form(tail)), F.substring(line, F.lit(1), F.length(line) - F.length(tail))).otherwise(line)
+        cut = lambda line: once(beside(line), lambda tail: without(line, tail))
+        at_edge = lambda lines: F.transform(lines, lambda x, i: F.when((i < depth) | (i >= F.size(lines) - depth), cut(x["line"])).otherwise(x["line"]))
         return F.array_join(F.transform(paged, lambda lines: F.array_join(once(trimmed(lines), at_edge), "\n")), FEED)
 
-    paged = F.transform(pages(text), lambda p: F.split(p, "\n"))
     need = lambda p: F.greatest(F.lit(least), F.ceil(F.size(p) * share).cast("int"))
-    return F.when(F.size(pages(text)) < least, text).otherwise(once(paged, lambda p: once(running(p, need(p)), lambda out: cleaned(p, out))))
+    clean = lambda paged: once(paged, lambda p: once(running(p, need(p)), lambda out: cleaned(p, out)))
+    return once(text, lambda t: once(pages(t), lambda p: F.when(F.size(p) < least, t).otherwise(clean(F.transform(p, formed)))))
 
 
 def marked_pages(text: Column, most: int = 45_000) -> Column:

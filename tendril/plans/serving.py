@@ -80,7 +80,7 @@ def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.lit("MUNICIPALIDAD de "), F.col("c_mktsegment"), F.lit("\n  Página "), i.cast("string"), F.lit(" de "), n.cast("string"), F.lit("\n\n"), body(1), beside, F.lit("\n"), body(2), F.lit("\n   "), i.cast("string"), F.lit("\n"))
 
     made = F.array_join(F.transform(F.sequence(F.lit(1), n), page), text.FEED)
-    return table(spark, sf_dir, "customer").select("c_custkey", text.without_running_lines(made).alias("clean"))
+    return dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").select("c_custkey", text.without_running_lines(made).alias("clean"))
 
 
 # --- sentences ----------------------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tendril import catalog
+from tendril.functions import text
 from tendril.operators import validation
 
 
@@ -19,3 +20,9 @@ def test_a_fault_is_looked_for_once_and_without_paths_made_of_columns(spark):
 
 def test_rows_of_record_faults_are_dealt(spark, data):
     assert "RepartitionByExpression [p_partkey" in plan(catalog.QUERIES["record_faults"](spark, data))
+
+
+def test_a_line_has_its_form_computed_once(spark, data):
+    made = spark.createDataFrame([("a",)], "x string").select(text.without_running_lines(F.col("x")))
+    assert plan(made).count("translate(lower(") == 6
+    assert "RepartitionByExpression [c_custkey" in plan(catalog.QUERIES["running_lines"](spark, data))
