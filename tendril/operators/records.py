@@ -75,6 +75,8 @@ def incongruence_faults(named: DataFrame, values: DataFrame, record: Sequence[st
     fields = held.select(*keys, "field").distinct().withColumn("_field", F.lit(True))
     rows = held.select(*keys, "field", "row").distinct().withColumn("_row", F.lit(True))
     columns = held.groupBy(*keys, "field", "row", "column").agg(F.collect_set("value").alias("_read"))
+    # these grow with the records, and their size is estimated from small files: merged, not broadcast
+    fields, rows, columns = (side.hint("merge") for side in (fields, rows, columns))
     joined = cleared.join(fields, [*keys, "field"], "left").join(rows, [*keys, "field", "row"], "left").join(columns, [*keys, "field", "row", "column"], "left")
     no = lambda c: F.col(c) == ""
     whole_field = no("row") & no("column")

@@ -26,3 +26,8 @@ def test_a_line_has_its_form_computed_once(spark, data):
     made = spark.createDataFrame([("a",)], "x string").select(text.without_running_lines(F.col("x")))
     assert plan(made).count("translate(lower(") == 6
     assert "RepartitionByExpression [c_custkey" in plan(catalog.QUERIES["running_lines"](spark, data))
+
+
+def test_values_of_records_are_not_broadcast(spark, data):
+    shown = catalog.QUERIES["incongruence_faults"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in shown and shown.count("SortMergeJoin") == 3
