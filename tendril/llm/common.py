@@ -84,11 +84,18 @@ def hot_keys(counts: DataFrame, on: list[str], count: str = "n") -> DataFrame |
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None, by: str, how: str = "inner") -> DataFrame:
-    """left joined to right, with the rows of hot keys of left dealt over parts by the column `by`; right is repeated for each part."""
+    """left joined to right, with the rows of hot keys of left dealt over parts by the column `by`; right is repeated for each part.
+
+    Without hot keys every key has one part, so that the join has one form at every size of the tables.
+    """
     if hot is None:
-        return left.join(right, on, how)
-    dealt = left.join(F.broadcast(hot), on, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("parts").cast("long")).cast("int"), F.lit(0))).drop("parts")
-    repeated = right.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        left, right = left.withColumn("parts", F.lit(1)), right.withColumn("parts", F.lit(1))
+    else:
+        left, right = left.join(F.broadcast(hot), on, "left"), right.join(F.broadcast(hot), on, "left")
+    parts = F.coalesce("parts", F.lit(1))
+    # no constant where there are no hot keys: that would be taken out of the join's keys
+    dealt = left.withColumn("_part", F.pmod(F.xxhash64(by), parts.cast("long")).cast("int")).drop("parts")
+    repeated = right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     return dealt.join(repeated, [*on, "_part"], how).drop("_part")
 
 

@@ -45,3 +45,13 @@ def test_words_are_not_looked_for_without_brackets():
 
     assert min(seconds() for _ in range(3)) < 0.05
     assert spanish.words_beside("S/ 1,200.00 (mil doscientos soles)", readers.NUMBER) == "mil doscientos soles"
+
+
+def test_a_spread_join_has_one_form_with_and_without_hot_keys(spark):
+    from tendril.llm.common import spread_join
+
+    left, right = spark.range(100).select((F.col("id") % 7).alias("k"), "id"), spark.range(7).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    joined = spread_join(left, right, ["k"], None, "id")
+    keys = [line for line in plan(joined).split("\n") if "Join" in line]
+    assert len(keys) == 1 and "_part" in keys[0]
+    assert joined.count() == 100 and joined.columns == ["k", "id", "v"]
