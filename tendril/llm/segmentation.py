@@ -36,7 +36,7 @@ SAMPLES = 3
 ALPHA = 1.0
 SEED = 11
 SLICE_TEXT = 384 << 10
-#: Rows of lattices that a worker keeps from slice to slice, about 150 bytes each.
+#: Rows of lattices that a worker keeps from slice to slice, about 115 bytes each, 150 with a larger vocabulary.
 KEPT_ROWS = 700_000
 
 MARK = "▁"
@@ -50,6 +50,14 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def split(text: str) -> list[str]:
+    """Words of a text without the space mark that each begins with."""
+    words = text.split(" ")
+    if "" in words or MARK in text:
+        words = [w[1:] for w in _WORDS.findall(MARK + text.replace(" ", MARK))]
+    return words
+
+
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
@@ -67,6 +75,7 @@ class Vocabulary:
         self.path = path
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = self.model.get_piece_size()
+        self.id_kind = np.int16 if size < 1 << 15 else np.int32  # -1 and -2 are no pieces
         self.spelled: list[bytes] = [b""] * size
         self.bytes = np.zeros(256, np.int64)
         pieces: dict[str, tuple[int, float]] = {}
@@ -78,6 +87,7 @@ class Vocabulary:
                 piece = self.model.id_to_piece(i)
                 self.spelled[i] = piece.replace(MARK, " ").encode("utf-8")
                 pieces[piece] = (i, -float(np.log(2 + min(-self.model.get_score(i), size))))
+        self.spelled_array = pa.array(self.spelled, pa.large_binary())
         self.byte_weight = -float(np.log(2 + size))
         self.longest = max(map(len, pieces))
         self.weights = np.full(size + 2, self.byte_weight)  # by id; the last two are for what is no piece
@@ -109,25 +119,23 @@ class Lattice:
 
     end: np.ndarray  # of each row: is it a word's end
     ids: np.ndarray  # -1: no piece, -2: the bytes of one character beyond ASCII
-    reach: np.ndarray  # chance of the pieces up to a column, given the position; over 1 from the last piece on
+    reach: np.ndarray  # chance of the pieces up to a column, given the position; 0 where there is no piece, over 1 at the last one
     mass: np.ndarray  # log mass of the paths from a position to the end
     points: np.ndarray
 
-    def columns(self) -> tuple[np.ndarray, ...]:
-        return self.end, self.ids, self.reach, self.mass, self.points
-
 
-def lattice(words: list[str], known: Vocabulary, alpha: float) -> tuple[Lattice, np.ndarray]:
-    """The lattices of some words, and the first row of each."""
-    points = _points("\0".join([*words, ""]))
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
+def lattice(words: list[str], lengths: np.ndarray, known: Vocabulary, alpha: float, into: Lattice) -> np.ndarray:
+    """Write the lattices of some words, given without their first mark but with lengths that count it, and give the first row of each. into: rows for all of them."""
+    points, is_end, ids, mass, reach = into.points, into.end, into.ids, into.mass, into.reach
+    points[:] = _points((MARK + f"\0{MARK}".join([*words, ""]))[:-1])
     ends = np.cumsum(lengths + 1) - 1
-    is_end = np.zeros(len(points), bool)
+    is_end[:] = False
     is_end[ends] = True
     points[ends] = np.uint64(2**32)  # no character; a NUL of a text stays one
 
     width = known.longest
-    ids = np.full((len(points), width), -1, np.int32)
+    ids[:], mass[:], reach[:] = -1, 0.0, 0.0
+    flat = ids.reshape(-1)
     alive = np.flatnonzero(~is_end)
     hashes = np.zeros(len(alive), np.uint64)
     rows, columns, weights = [], [], []  # of the pieces
@@ -150,7 +158,7 @@ def lattice(words: list[str], known: Vocabulary, alpha: float) -> tuple[Lattice,
         alive, hashes, at = alive.take(hit), hashes.take(hit), at.take(hit)
         whole = np.flatnonzero(piece.take(at) >= 0)
         found, at = alive.take(whole), at.take(whole)
-        ids[found, k] = piece.take(at)
+        flat[found * width + k] = piece.take(at)
         rows.append(found)
         columns.append(np.full(len(found), k))
         weights.append(alpha * log_weight.take(at))
@@ -158,11 +166,15 @@ def lattice(words: list[str], known: Vocabulary, alpha: float) -> tuple[Lattice,
     # log mass of what follows each position, from the ends back, all words at the same time
     row, column, weight = np.concatenate(rows), np.concatenate(columns), np.concatenate(weights)
     to_end = np.repeat(ends, lengths + 1) - np.arange(len(points))
-    order = np.argsort((to_end[row] << 34) | (row << 4) | column)  # at most 16 columns, and fewer than 2**30 rows
+    cells = row * width + column
+    left = to_end.take(row)
+    order = np.argsort(cells, kind="stable")  # of runs that are sorted: merged
+    left = left.take(order)
+    order = order.take(np.argsort(left.astype(np.uint16) if len(left) and left.max() < 1 << 16 else left, kind="stable"))
     row, column, weight = row.take(order), column.take(order), weight.take(order)
     firsts = np.flatnonzero(np.diff(row, prepend=-1))
-    borders = np.searchsorted(to_end[row[firsts]], np.arange(1, int(lengths.max(initial=0)) + 2))
-    mass, chance = np.zeros(len(points)), np.zeros(len(row))
+    borders = np.searchsorted(to_end.take(row.take(firsts)), np.arange(1, int(lengths.max(initial=0)) + 2))
+    chance = np.zeros(len(row))
     for a, b in zip(borders, borders[1:], strict=False):
         lo, hi = firsts[a], firsts[b] if b < len(firsts) else len(row)
         values = weight[lo:hi] + mass.take(row[lo:hi] + column[lo:hi] + 1)
@@ -177,10 +189,8 @@ def lattice(words: list[str], known: Vocabulary, alpha: float) -> tuple[Lattice,
     sizes = np.diff(firsts, append=len(row))
     reached = sums - np.repeat(sums[firsts] - chance[firsts], sizes)
     reached[firsts + sizes - 1] = 2.0
-    reach = np.zeros((len(points), width), np.float32)
-    reach[row, column] = reached
-    np.maximum.accumulate(reach, axis=1, out=reach)
-    return Lattice(is_end, ids, reach, mass, points), ends - lengths
+    reach.reshape(-1)[row * width + column] = reached
+    return ends - lengths
 
 
 def _byte_count(points: np.ndarray) -> np.ndarray:
@@ -195,7 +205,7 @@ class Store:
         self.kept: dict[str, int] = {}
         self.rows = 0
         width = known.longest
-        self.room = [np.zeros((KEPT_ROWS, *shape), kind) for shape, kind in (((), bool), ((width,), np.int32), ((width,), np.float32), ((), np.float64), ((), np.uint64))]
+        self.room = [np.zeros((KEPT_ROWS, *shape), kind) for shape, kind in (((), bool), ((width,), known.id_kind), ((width,), np.float32), ((), np.float64), ((), np.uint64))]
 
     def of(self, words: dict[str, int]) -> tuple[Lattice, np.ndarray]:
         """The lattices, and the first row of each word. words: in order of their numbers."""
@@ -205,12 +215,11 @@ class Store:
         starts = np.array(places, np.int64)
         if not fresh:
             return Lattice(*(x[: self.rows] for x in self.room)), starts
-        more, first = lattice(fresh, self.known, self.alpha)
-        size = self.rows + len(more.end)
+        lengths = np.fromiter(map(len, fresh), np.int64, len(fresh)) + 1
+        size = self.rows + int(lengths.sum()) + len(fresh)
         if size > len(self.room[0]):
             self.room = [np.concatenate((x[: self.rows], np.zeros((size - self.rows + size // 4, *x.shape[1:]), x.dtype))) for x in self.room]
-        for room, x in zip(self.room, more.columns(), strict=True):
-            room[self.rows : size] = x
+        first = lattice(fresh, lengths, self.known, self.alpha, Lattice(*(x[self.rows : size] for x in self.room)))
         starts[starts < 0] = first + self.rows
         return Lattice(*(x[:size] for x in self.room)), starts
 
@@ -218,7 +227,7 @@ class Store:
         """Move the lattices of the slice's frequent new words to the kept ones."""
         named = list(words)
         for number in np.flatnonzero((counts >= least) & (starts >= self.rows)).tolist():
-            size, start = len(named[number]) + 1, int(starts[number])
+            size, start = len(named[number]) + 2, int(starts[number])
             if self.rows + size > min(KEPT_ROWS, start + size):
                 break
             if start > self.rows:
@@ -231,12 +240,14 @@ class Store:
 _STORES: dict[tuple[str, float], Store] = {}
 
 
-def salted(keys: np.ndarray, salt: int) -> np.ndarray:
+def salted(keys: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
+    if isinstance(salt, np.ndarray):
+        return mix(keys ^ (salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)))
     return mix(keys ^ np.uint64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF))
 
 
-def uniform(keys: np.ndarray, *salts: int) -> np.ndarray:
-    """In (0, 1), a hash of keys and salts."""
+def uniform(keys: np.ndarray, *salts: int | np.ndarray) -> np.ndarray:
+    """In (0, 1), a hash of keys and salts; an array of salts has one for each key."""
     h = keys
     for salt in salts:
         h = salted(h, salt)
@@ -279,9 +290,7 @@ def draw(lat: Lattice, keys: np.ndarray, words: np.ndarray, rows: np.ndarray, sa
         if not len(active):
             break
         u = uniform(keys.take(active), step).astype(np.float32)
-        above = lat.reach.take(row, axis=0)
-        above -= u[:, None]
-        column = np.argmax(above >= 0, axis=1)
+        column = np.argmax(lat.reach.take(row, axis=0) >= u[:, None], axis=1)  # u is over 0: a column without a piece is never taken
         out.append((active, row, column))
         row = row + column + 1
         step += 1
@@ -317,6 +326,30 @@ def other_keys(log: np.ndarray, sums: np.ndarray, key: np.ndarray, u: np.ndarray
         return below(sums + np.log(rest), key, u)
 
 
+def other_child(lat: Lattice, known: Vocabulary, alpha: float, text_keys: np.ndarray, word_row: np.ndarray, bounds: np.ndarray, popped: list[tuple], sample: int) -> tuple[np.ndarray, ...]:
+    """Of a node of each text (text, -key, serial, path, step, columns taken there, log mass before it) a column that is not taken: itself, its log chance, and the key of all that are left (-inf: none)."""
+    text, key, before = (np.array([x[k] for x in popped]) for k in (0, 1, 6))
+    word, row = (np.array([getattr(path, of)[step] for *_, path, step, _, _ in popped]) for of in ("word", "row"))
+    free = lat.ids.take(row, axis=0) != -1
+    for k, (*_, taken, _) in enumerate(popped):
+        free[k, list(taken)] = False
+    node, columns = np.nonzero(free)
+    log = np.zeros(free.shape)
+    log[node, columns] = logs(lat, row.take(node), columns, known, alpha)
+    share = np.where(free, np.exp(log), 0.0)
+    total = np.cumsum(share, axis=1)
+    word_key = text_keys.take(text) ^ mix((word - bounds.take(text)).astype(np.uint64))
+    place = row - word_row.take(word)
+    count = free.sum(axis=1)
+    chosen = np.minimum((free & (total < (uniform(word_key, sample, place, 13) * total[:, -1])[:, None])).sum(axis=1), count - 1)
+    column = np.argmax(np.cumsum(free, axis=1) > chosen[:, None], axis=1)
+    at = np.arange(len(popped)), column
+    left = total[:, -1] - share[at]
+    more = (count > 1) & (left > 1e-12)
+    value = below(before + np.log(np.where(more, left, 1.0)), -key, uniform(word_key, sample, place, 17))
+    return column, log[at], np.where(more, value, -np.inf)
+
+
 def search(lat: Lattice, known: Vocabulary, alpha: float, keys: np.ndarray, text_keys: np.ndarray, word_row: np.ndarray, bounds: np.ndarray, k: int) -> list[list[Drawn]]:
     """For each text its k segmentations or all. bounds: words bounds[t]..bounds[t + 1] are text t's; word_row: start of each."""
     n = len(text_keys)
@@ -367,25 +400,16 @@ def search(lat: Lattice, known: Vocabulary, alpha: float, keys: np.ndarray, text
         jobs = []
         if sample == k - 1:
             break
-        for t in range(n):
-            if not heaps[t]:
-                continue
-            key, _, path, step, taken, before = heapq.heappop(heaps[t])
-            row = int(path.row[step])
-            columns = np.array([c for c in np.flatnonzero(lat.ids[row] != -1).tolist() if c not in taken])
-            log = logs(lat, np.full(len(columns), row), columns, known, alpha)
-            total = np.cumsum(np.exp(log))
-            word_key = text_keys[t : t + 1] ^ mix(np.array([path.word[step] - bounds[t]], np.uint64))
-            place = row - int(word_row[path.word[step]])
-            chosen = min(int((total < uniform(word_key, sample, place, 13)[0] * total[-1]).sum()), len(columns) - 1)
-            left = total[-1] - np.exp(log[chosen])
-            column = int(columns[chosen])
-            if len(columns) > 1 and left > 1e-12:
+        popped = [(t, *heapq.heappop(heap)) for t, heap in enumerate(heaps) if heap]
+        if not popped:
+            break
+        column, chance, value = other_child(lat, known, alpha, text_keys, word_row, bounds, popped, sample)
+        for (t, key, _, path, step, taken, before), c, log, left in zip(popped, column.tolist(), chance.tolist(), value.tolist(), strict=True):
+            if left > -np.inf:
                 serial += 1
-                value = below(np.array([before + np.log(left)]), np.array([-key]), uniform(word_key, sample, place, 17))[0]
-                heapq.heappush(heaps[t], (-float(value), serial, path, step, (*taken, column), before))
-            prefix = Path(*(np.concatenate((x[:step], [y])) for x, y in ((path.word, path.word[step]), (path.row, row), (path.column, column), (path.log, log[chosen]))))
-            jobs.append((t, -key, prefix, step + 1, before + float(log[chosen])))
+                heapq.heappush(heaps[t], (-left, serial, path, step, (*taken, c), before))
+            prefix = Path(*(np.concatenate((x[:step], [y])) for x, y in ((path.word, path.word[step]), (path.row, path.row[step]), (path.column, c), (path.log, log))))
+            jobs.append((t, -key, prefix, step + 1, before + log))
     for t in range(n):
         threshold = -heaps[t][0][0] if heaps[t] and len(found[t]) == k else -np.inf
         for x in found[t]:
@@ -412,7 +436,7 @@ def sampled(texts: list[str], row_keys: np.ndarray, known: Vocabulary, k: int, a
     bounds = [0]
     for text in texts:
         if text:
-            words += _WORDS.findall(MARK + text.replace(" ", MARK))
+            words += split(text)
         bounds.append(len(words))
     seen = {w: i for i, w in enumerate(dict.fromkeys(words))}
     kinds = list(map(seen.__getitem__, words))
@@ -450,7 +474,7 @@ def sample(docs: DataFrame, k: int = SAMPLES, alpha: float = ALPHA, seed: int =
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         columns = [pa.array(list(c), kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], kind) for kind in kinds]
         if with_text:
-            columns.append(pa.array([decoded(r[2], known) for r in rows], pa.string()))
+            columns.append(pa.array(decoded([np.frombuffer(r[2], "<u4") for r in rows], known), pa.string()))
         return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
     return map_columns(docs, ["doc_id", "text"], run, schema, SLICE_TEXT)
@@ -467,9 +491,14 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     return map_columns(docs, ["doc_id", "text"], run, "doc_id long, ids binary")
 
 
-def decoded(ids: bytes | None, known: Vocabulary) -> str:
-    spelled = known.spelled
-    return b"".join([spelled[i] for i in np.frombuffer(ids or b"", "<u4").tolist()])[1:].decode("utf-8", "replace")
+def decoded(ids: list[np.ndarray], known: Vocabulary) -> list[str]:
+    """The text of each array of ids; the pieces of all of them are looked up together and come end to end."""
+    ends = np.cumsum([0, *map(len, ids)])
+    if not ends[-1]:
+        return [""] * len(ids)
+    _, places, pieces = known.spelled_array.take(pa.array(np.concatenate(ids))).buffers()
+    edges = np.frombuffer(places, np.int64)[ends].tolist()
+    return [str(pieces[a + 1 : b], "utf-8", "replace") if b > a else "" for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def decode(encoded: DataFrame, carry: tuple[str, ...] = ("doc_id",), model: str | None = None) -> DataFrame:
@@ -478,7 +507,7 @@ def decode(encoded: DataFrame, carry: tuple[str, ...] = ("doc_id",), model: str
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = vocabulary(path)
-        texts = pa.array([decoded(x.as_py(), known) for x in batch.column(len(carry))], pa.string())
+        texts = pa.array(decoded([np.frombuffer(x.as_py() or b"", "<u4") for x in batch.column(len(carry))], known), pa.string())
         return pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], texts], names=[*carry, "text"])
 
     return map_columns(encoded, [*carry, "ids"], run, ", ".join([*(f"{c} {kinds[c]}" for c in carry), "text string"]))

@@ -88,3 +88,25 @@ def test_round_trip(spark):
     plain = {r["doc_id"]: r["text"] for r in S.decode(S.encode(docs)).collect()}
     assert plain[2] == TEXTS[2]
     assert S.sample(docs.limit(0)).count() == 0
+
+
+def test_texts_take_their_next_nodes_together(monkeypatch):
+    calls = Counter()
+    for name in ("below", "logs"):
+        monkeypatch.setattr(S, name, lambda *args, _name=name, _own=getattr(S, name): (calls.update([_name]), _own(*args))[1])
+
+    def called(n):
+        calls.clear()
+        S._STORES.clear()
+        assert [len(x) for x in S.sampled(["a word of some length"] * n, keys(n), K, 3, 1.0)] == [3] * n
+        return dict(calls)
+
+    assert called(200) == called(2)
+
+
+def test_ids_are_spelled_together():
+    ids = [K.model.encode(t) for t in TEXTS]
+    assert S.decoded([np.array(x, "<u4") for x in ids], K) == TEXTS
+    assert S.decoded([], K) == [] and S.decoded([np.zeros(0, "<u4")], K) == [""]
+    broken = np.array([K.bytes[0x20], K.bytes[0xE6], K.bytes[0x97]], "<u4")  # a cut character
+    assert S.decoded([broken, np.zeros(0, "<u4"), broken[:1]], K) == ["�", "", ""]
