@@ -226,15 +226,18 @@ class Store:
     def keep(self, words: dict[str, int], counts: np.ndarray, starts: np.ndarray, least: int = 2) -> None:
         """Move the lattices of the slice's frequent new words to the kept ones."""
         named = list(words)
-        for number in np.flatnonzero((counts >= least) & (starts >= self.rows)).tolist():
-            size, start = len(named[number]) + 2, int(starts[number])
-            if self.rows + size > min(KEPT_ROWS, start + size):
-                break
-            if start > self.rows:
-                for room in self.room:
-                    room[self.rows : self.rows + size] = room[start : start + size].copy()
-            self.kept[named[number]] = self.rows
-            self.rows += size
+        chosen = np.flatnonzero((counts >= least) & (starts >= self.rows))
+        sizes = np.fromiter((len(named[k]) + 2 for k in chosen.tolist()), np.int64, len(chosen))
+        ends = np.cumsum(sizes)
+        fits = int(np.searchsorted(ends, KEPT_ROWS - self.rows, side="right"))
+        if not fits:
+            return
+        chosen, sizes, ends = chosen[:fits], sizes[:fits], ends[:fits]
+        rows = np.arange(ends[-1]) + np.repeat(starts.take(chosen) - ends + sizes, sizes)
+        for room in self.room:
+            room[self.rows : self.rows + len(rows)] = room.take(rows, axis=0)
+        self.kept.update(zip(map(named.__getitem__, chosen.tolist()), (self.rows + ends - sizes).tolist(), strict=True))
+        self.rows += len(rows)
 
 
 _STORES: dict[tuple[str, float], Store] = {}
