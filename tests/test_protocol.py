@@ -135,6 +135,28 @@ def test_every_model_copy_but_two_by_ocr_those_named_bases_first(spark):
     assert {d: r["deferred"] for d, r in chained(spark, files, False, (1, 2, 5)).items()} == {1: False, 2: True, 5: False}
 
 
+def test_every_copy_by_ocr_where_no_number_is_given(spark):
+    files = [(d, n, f"anexo {n}.pdf", "text", "") for d in (1, 2) for n in range(1, 71)]
+    files += [(d, n, "", "ocr", holds("7.00") if (d, n) == (1, 70) else LITTLE) for d in (1, 2) for n in range(1, 71)]
+    table = spark.createDataFrame([(*f, None) for f in files], "doc long, file int, name string, kind string, text string, error string")
+    docs = spark.createDataFrame([(1,), (2,)], "doc long")
+    found = {r["doc"]: r for r in chain.read_documents(docs, table, readers.AMOUNT, "doc", ocr_files=None).collect()}
+    assert shown(found[1]) == ("7.00", "anexo 70.pdf", "ocr", None, None, 70)
+    assert shown(found[2]) == (None, None, None, None, readers.NO_SECTION, 70)
+
+
+def test_the_query_of_the_chain_reads_a_third_copy_by_ocr(spark, data):
+    from tendril import catalog
+
+    row = catalog.QUERIES["chain_of_files"](spark, data).filter("nid = 11").collect()[0]
+    assert row["amount"] is not None and (row["name"], row["source"], row["review"], row["looked"]) == ("anexo 3.pdf", "ocr", None, 3)
+
+
+def test_an_image_after_150_pages(spark):
+    files = [(1, 1, "a.pdf", "text", "\f".join([PLENTY] * 200 + [LITTLE])), (1, 1, "a.pdf", "ocr", holds("7.00"))]
+    assert shown(chained(spark, files)[1]) == ("7.00", "a.pdf", "ocr", None, None, 2)
+
+
 def brute(files, document, ocr):
     """The chain file by file."""
     own = sorted((f for f in files if f[0] == document and f[3] == "text"), key=lambda f: f[1])
