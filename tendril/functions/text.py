@@ -272,9 +272,18 @@ def all_words(haystack: Column, query: str) -> Column:
     return out
 
 
+_HIGH = re.compile(r"[^\x00-\u02ff]")  # below are no marks
+
+
+def _unless_mark(m: re.Match) -> str:
+    return "" if unicodedata.category(m[0]) == "Mn" else m[0]
+
+
 def plain_text(text: str) -> str:
     """`plain` for one Python string."""
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
+    low = text.lower()
+    return low if low.isascii() else _HIGH.sub(_unless_mark, unicodedata.normalize("NFD", low))
+
 
 
 def name_words(text: Column, stop: tuple[str, ...] = SMALL_WORDS, first: int = 10) -> Column:

@@ -35,6 +35,9 @@ class Reader:
     alike: Mapping[str, Callable[[Column], Column]] = field(default_factory=dict)
 
 
+#: Texts whose records are Python objects at a time: a whole batch of them would keep the garbage collector busy.
+TEXTS = 250
+
 _KINDS = {"int": T.IntegerType(), "long": T.LongType(), "string": T.StringType(), "array<string>": T.ArrayType(T.StringType())}
 
 
@@ -87,13 +90,18 @@ def _crossing(readers: Sequence[Reader], document: str, values: Mapping[str, Col
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for texts, *more in batches:
-            beside = {w: column.to_pylist() for w, column in zip(wanted, more, strict=True)}
-            records: list[list[dict]] = [[] for _ in readers]
-            for k, text in enumerate(texts):
-                said = text.as_py()
-                for out, r in zip(records, readers, strict=True):
-                    out.append(r.read(said, *(beside[g][k] if g in beside else None for g in r.given)))
-            yield made(records)
+            parts = [read(texts[at : at + TEXTS], [column[at : at + TEXTS] for column in more]) for at in range(0, len(texts), TEXTS)]
+            yield pa.concat_arrays(parts) if parts else made([[] for _ in readers])
+
+    def read(texts: pa.Array, more: list[pa.Array]) -> pa.Array:
+        beside = {w: column.to_pylist() for w, column in zip(wanted, more, strict=True)}
+        nothing = [None] * len(texts)
+        values = [(r.read, [beside.get(g, nothing) for g in r.given], []) for r in readers]
+        for k, text in enumerate(texts):
+            said = text.as_py()
+            for of_text, given, out in values:
+                out.append(of_text(said, *[v[k] for v in given]))
+        return made([out for *_, out in values])
 
     def single(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from run((b,) for b in batches)
