@@ -85,6 +85,28 @@ def test_a_wide_gap_is_looked_at_once():
     assert more_readers.without_page_edges("a" + " " * 9 + "b     LICITACIÓN 3\nc") == "a\nc"
 
 
+def test_pages_after_the_section_of_the_object_are_not_looked_at(monkeypatch):
+    looked = []
+
+    class Counting:
+        search = staticmethod(lambda line, real=more_readers._EDGE: looked.append(line) or real.search(line))
+
+    monkeypatch.setattr(more_readers, "_EDGE", Counting)
+    head = "1.3 OBJETO DE LA CONVOCATORIA\n El procedimiento tiene por objeto la obra: “MEJORAMIENTO DEL CAMINO A”, con CUI 2345678\n"
+    pages = ["\n1.4 CUANTÍA\nuno\n", *("dos\ntres\n" for _ in range(50))]
+    read = more_readers.read_object_of(head + "\f".join(["", *pages]))
+    assert (read["name"], read["code"], read["review"]) == ("MEJORAMIENTO DEL CAMINO A", "2345678", None)
+    assert len(looked) <= 6
+
+
+def test_a_running_header_over_a_page_break_leaves_the_section_as_it_is():
+    # what stands beside the text goes with the break, so the second page is the last one, whose lower edge stays
+    text = "tiene por objeto la obra x     a\fb LICITACIÓN 3\n\f1.4\n12\n\n1.4 y"
+    pages = "tiene por objeto la obra x\n1.4\n12\n\n1.4 y"
+    assert more_readers.without_page_edges(text) == pages
+    assert more_readers.object_section(text) == "tiene por objeto la obra x"
+
+
 def test_records_of_few_texts_are_python_objects_at_a_time(spark, monkeypatch):
     sizes = []
     together = lambda records: sizes.append(len(records[0])) or pa.array(["x"] * len(records[0]))
